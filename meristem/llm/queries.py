@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
+from .line_dedup import dedup_lines
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,9 +28,38 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select(
+        "doc_id",
+        F.col("__n_lines").alias("n_lines"),
+        F.col("__n_dropped").alias("n_dropped"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
+_OP4_SQL = """
+WITH lines AS (
+    SELECT d.doc_id, u.line, u.pos,
+           translate(regexp_replace(regexp_replace(u.line, '^[ \\t-\\r]+', ''), '[ \\t-\\r]+$', ''),
+                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+    FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents) d,
+         LATERAL (SELECT unnest(d.parts) AS line, unnest(range(1, len(d.parts) + 1)) AS pos) u
+), owners AS (
+    SELECT key, min(doc_id) AS owner FROM lines WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2
+), flagged AS (
+    SELECT l.doc_id, l.line, l.pos, o.owner IS NOT NULL AND o.owner <> l.doc_id AS dropped
+    FROM lines l LEFT JOIN owners o ON l.key = o.key AND length(l.key) >= 10
+)
+SELECT doc_id, count(*)::BIGINT AS n_lines, sum(dropped::BIGINT)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+FROM flagged GROUP BY doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_decontaminate": op2_decontaminate}
+    return {"op2_decontaminate": op2_decontaminate, "op4_line_dedup": op4_line_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_line_dedup": _OP4_SQL}
