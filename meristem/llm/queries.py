@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
 from .line_dedup import dedup_lines
+from .packing import pack
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,8 +58,12 @@ FROM flagged GROUP BY doc_id
 """
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_decontaminate": op2_decontaminate, "op4_line_dedup": op4_line_dedup}
+    return {f.__name__: f for f in (op2_decontaminate, op4_line_dedup, op7_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
