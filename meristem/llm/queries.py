@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
 from .line_dedup import dedup_lines
+from .near_dedup import near_duplicates
 from .packing import pack
 
 
@@ -58,12 +59,16 @@ FROM flagged GROUP BY doc_id
 """
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontaminate, op4_line_dedup, op7_packing)}
+    return {f.__name__: f for f in (op2_decontaminate, op4_line_dedup, op6_near_dedup, op7_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
