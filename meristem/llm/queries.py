@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
+from .language_id import fold, predict, train
 from .line_dedup import dedup_lines
 from .near_dedup import near_duplicates
 from .packing import pack
@@ -67,8 +68,15 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    model = train(documents.where(fold("doc_id", 3) != 1))
+    scored = predict(documents.select("doc_id", "text"), model)
+    return scored.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontaminate, op4_line_dedup, op6_near_dedup, op7_packing)}
+    return {f.__name__: f for f in (op2_decontaminate, op4_line_dedup, op6_near_dedup, op7_packing, op8_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
