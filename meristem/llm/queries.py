@@ -12,6 +12,8 @@ from .language_id import fold, predict, train
 from .line_dedup import dedup_lines
 from .near_dedup import near_duplicates
 from .packing import pack
+from .quality import score as score_quality
+from .quality import train as train_quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,8 +77,21 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    model = train_quality(documents.where(fold("doc_id", 5) != 0), labels.where(fold("doc_id", 5) != 0))
+    scored = score_quality(documents, model)
+    return scored.select(
+        "doc_id",
+        F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"),
+        F.col("__score").alias("score"),
+        (F.col("__score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontaminate, op4_line_dedup, op6_near_dedup, op7_packing, op8_language_id)}
+    return {f.__name__: f for f in (op2_decontaminate, op4_line_dedup, op6_near_dedup, op7_packing, op8_language_id, op9_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
