@@ -117,12 +117,13 @@ def _merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def _pass(windows: WindowSet, last: bool, shard_bytes: int, sample: int):
-    """A mapInArrow function that adds a block's hits to each document's word spans and items."""
+def _pass(windows: WindowSet, last: bool, shard_bytes: int, sample: int, carried: list[str]):
+    """A mapInArrow function that adds a block's hits to each document's word spans and items. ``__text`` is what
+    it reads; ``carried`` columns pass through."""
     is_word = byte_class("alnum")
 
     def shard(batch: pa.RecordBatch) -> pa.RecordBatch:
-        data, offsets = utf8_views(batch.column("text"))
+        data, offsets = utf8_views(batch.column("__text"))
         n = batch.num_rows
         parts, word_at, byte_starts, byte_ends = [], [np.zeros(1, np.int64)], [], []
         total = 0
@@ -136,9 +137,9 @@ def _pass(windows: WindowSet, last: bool, shard_bytes: int, sample: int):
             total += len(h)
         rows = np.concatenate(word_at)
         which, word = search_shard(np.concatenate(parts) if parts else np.zeros(0, np.int64), rows, windows, sample)
-        spans: list[list[tuple[int, int]]] = [x or [] for x in batch.column("word_spans").to_pylist()] if "word_spans" in batch.schema.names else [[] for _ in range(n)]
+        spans: list[list[tuple[int, int]]] = [x or [] for x in batch.column("__word_spans").to_pylist()] if "__word_spans" in batch.schema.names else [[] for _ in range(n)]
         spans = [[(x["start"], x["end"]) if isinstance(x, dict) else x for x in own] for own in spans]
-        items: list[list[str]] = [x or [] for x in batch.column("item_ids").to_pylist()] if "item_ids" in batch.schema.names else [[] for _ in range(n)]
+        items: list[list[str]] = [x or [] for x in batch.column("__item_ids").to_pylist()] if "__item_ids" in batch.schema.names else [[] for _ in range(n)]
         if len(which):
             doc = np.searchsorted(rows, word, "right") - 1
             order = np.argsort(doc, kind="stable")
@@ -152,9 +153,9 @@ def _pass(windows: WindowSet, last: bool, shard_bytes: int, sample: int):
                 spans[d] = _merged(np.append(s, old[:, 0]), np.append(s + windows.lengths[which[i:j]], old[:, 1]))
                 owned = {windows.names[o] for x in w for o in windows.owners[windows.owner_at[x] : windows.owner_at[x + 1]]}
                 items[d] = sorted(owned.union(items[d]))
-        columns = {"doc_id": batch.column("doc_id")}
+        columns = {c: batch.column(c) for c in carried}
         if not last:
-            columns["text"] = batch.column("text")
+            columns["__text"] = batch.column("__text")
         as_spans = lambda x: pa.array([[{"start": s, "end": e} for s, e in own] for own in x], pa.list_(_SPAN))
         if last:
             starts = np.concatenate(byte_starts) if byte_starts else np.zeros(0, np.int64)
@@ -163,36 +164,43 @@ def _pass(windows: WindowSet, last: bool, shard_bytes: int, sample: int):
             for d in (d for d in range(n) if spans[d]):
                 lead = np.concatenate([[0], np.cumsum((data[offsets[d] : offsets[d + 1]] & 0xC0) != 0x80)])
                 chars[d] = [(int(lead[starts[rows[d] + s] - offsets[d]]), int(lead[ends[rows[d] + e - 1] - offsets[d]])) for s, e in spans[d]]
-            columns["n_words"] = pa.array(np.diff(rows), pa.int64())
-            columns["n_hit"] = pa.array([sum(e - s for s, e in own) for own in spans], pa.int64())
-            columns["spans"] = as_spans(chars)
-        columns["word_spans"] = as_spans(spans)
-        columns["item_ids"] = pa.array(items, pa.list_(pa.string()))
+            columns["__n_words"] = pa.array(np.diff(rows), pa.int64())
+            columns["__n_hit"] = pa.array([sum(e - s for s, e in own) for own in spans], pa.int64())
+            columns["__spans"] = as_spans(chars)
+        columns["__word_spans"] = as_spans(spans)
+        columns["__item_ids"] = pa.array(items, pa.list_(pa.string()))
         return pa.RecordBatch.from_pydict(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, offsets = utf8_views(batch.column("text"))
+            _, offsets = utf8_views(batch.column("__text"))
             for i, j in row_blocks(offsets, shard_bytes):
                 yield shard(batch.slice(i, j - i))
 
     return run
 
 
-def decontaminate(
-    documents: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = 8 << 20, shard_bytes: int = 16 << 20, sample: int = 8
-) -> DataFrame:
-    """For each document row: doc_id, n_words, n_hit, spans (code points, end exclusive), word_spans, item_ids."""
-    id_type = documents.schema["doc_id"].dataType.simpleString()
+def marked(documents: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = 8 << 20, shard_bytes: int = 16 << 20, sample: int = 8) -> DataFrame:
+    """``documents`` (text and any other columns) with ``__n_words``, ``__n_hit``, ``__spans`` (code points, end exclusive),
+    ``__word_spans`` and ``__item_ids``."""
     asked = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL AND text <> ''")
     total = asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-int(total) // block_bytes))
-    out = documents.select("doc_id", F.col("text").cast("string").alias("text"))
-    mid = f"doc_id {id_type}, text string, word_spans array<struct<start:bigint,end:bigint>>, item_ids array<string>"
-    end = f"doc_id {id_type}, n_words bigint, n_hit bigint, spans array<struct<start:bigint,end:bigint>>, word_spans array<struct<start:bigint,end:bigint>>, item_ids array<string>"
+    carried = documents.columns
+    out = documents.withColumn("__text", F.col("text").cast("string"))
+    spans, items, number = "array<struct<start:bigint,end:bigint>>", "array<string>", "bigint"
+    typed = lambda frame, **more: frame.withColumns({k: F.lit(None).cast(v) for k, v in more.items()}).schema
+    mid = typed(out, __word_spans=spans, __item_ids=items)
+    end = typed(documents, __n_words=number, __n_hit=number, __spans=spans, __word_spans=spans, __item_ids=items)
     for b in range(blocks):
         block = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
         windows = WindowSet([(r["item_id"], r["text"]) for r in block.toLocalIterator()], width)
         last = b == blocks - 1
-        out = out.mapInArrow(_pass(windows, last, shard_bytes, sample), end if last else mid)
+        out = out.mapInArrow(_pass(windows, last, shard_bytes, sample, carried), end if last else mid)
     return out
+
+
+def decontaminate(documents: DataFrame, benchmark: DataFrame, **parameters: int) -> DataFrame:
+    """For each document row: doc_id, n_words, n_hit, spans, word_spans, item_ids. Parameters as of ``marked``."""
+    found = marked(documents.select("doc_id", "text"), benchmark, **parameters).drop("text")
+    return found.toDF(*[c.removeprefix("__") for c in found.columns])
