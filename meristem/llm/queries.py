@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import matroska
 from .decontaminate import decontaminate
 from .language_id import fold, predict, train
 from .line_dedup import dedup_lines
@@ -90,8 +91,13 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = matroska.store(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    return matroska.features(stored, ["doc_id"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontaminate, op4_line_dedup, op6_near_dedup, op7_packing, op8_language_id, op9_quality)}
+    return {f.__name__: f for f in (op2_decontaminate, op4_line_dedup, op6_near_dedup, op7_packing, op8_language_id, op9_quality, op10_matroska)}
 
 
 def oracle_sql() -> dict[str, str]:
