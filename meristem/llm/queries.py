@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import matroska
+from . import matroska, pii
 from .decontaminate import decontaminate
 from .language_id import fold, predict, train
 from .line_dedup import dedup_lines
@@ -21,6 +21,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id",
+        *[count(k).alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)],
+        F.sha2(pii.spelled("base"), 256).alias("base_sha256"),
+        pii.spelled("spans").alias("spans"),
+    )
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -97,7 +108,7 @@ def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontaminate, op4_line_dedup, op6_near_dedup, op7_packing, op8_language_id, op9_quality, op10_matroska)}
+    return {f.__name__: f for f in (op1_pii, op2_decontaminate, op4_line_dedup, op6_near_dedup, op7_packing, op8_language_id, op9_quality, op10_matroska)}
 
 
 def oracle_sql() -> dict[str, str]:
