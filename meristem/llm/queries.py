@@ -15,6 +15,8 @@ from .near_dedup import near_duplicates
 from .packing import pack
 from .quality import score as score_quality
 from .quality import train as train_quality
+from .token_counts import edited_counts
+from .warc import FANOUT, audit
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +47,66 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts before and after four edits of every document: a replacement, an insertion and a deletion at places
+    that its id gives, and an appended line."""
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    n = F.length(F.coalesce("text", F.lit("")))
+    place = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    edit = lambda start, length, insert: F.struct(start.cast("long").alias("start"), F.lit(length).cast("long").alias("length"), F.lit(insert).alias("insert"))
+    edits = F.array(edit(place % (n + 1), 9, "revised"), edit((place * 31) % (n + 1), 0, " (see 42) "), edit(F.floor(n / 2), 12, ""), edit(n + 8, 0, "\nEnd."))
+    return edited_counts(documents, edits, ["doc_id"]).drop("text_after")
+
+
+def op5_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit of a replica of ``pages`` with faults planted by id: a changed character, a lost tail, a lost record."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    flipped = F.concat(F.expr("left(html, length(html) div 2)"), F.lit("~"), F.expr("substring(html, length(html) div 2 + 2)"))
+    damaged = F.when(F.col("page_id") % 997 == 5, flipped).when(F.col("page_id") % 1009 == 7, F.expr("left(html, greatest(length(html) - 10, 0))")).otherwise(F.col("html"))
+    replica = pages.where("page_id IS NULL OR page_id % 1511 <> 3").withColumn("html", damaged)
+    return audit(pages, replica)
+
+
+_OP5_SQL = f"""
+WITH pages2 AS (
+    SELECT 0 AS side, page_id, url, html FROM pages WHERE page_id IS NOT NULL
+    UNION ALL
+    SELECT 1, page_id, url,
+           CASE WHEN page_id % 997 = 5 THEN left(html, length(html) // 2) || '~' || substring(html, length(html) // 2 + 2)
+                WHEN page_id % 1009 = 7 THEN left(html, greatest(length(html) - 10, 0)) ELSE html END
+    FROM pages WHERE page_id IS NOT NULL AND page_id % 1511 <> 3
+), rec AS (
+    SELECT side, page_id, page_id // {FANOUT * FANOUT} AS file, page_id % {FANOUT * FANOUT} AS slot,
+           'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
+           || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10)
+           || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS r
+    FROM pages2
+), l0 AS (
+    SELECT side, file, slot, sha256(r) AS hash, strlen(r) AS n,
+           coalesce(sum(strlen(r)) OVER (PARTITION BY side, file ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off
+    FROM rec
+), l1 AS (
+    SELECT side, file, slot // {FANOUT} AS node, sha256(string_agg(slot || ':' || hash, ',' ORDER BY slot)) AS hash FROM l0 GROUP BY ALL
+), l2 AS (
+    SELECT side, file, sha256(string_agg(node || ':' || hash, ',' ORDER BY node)) AS hash FROM l1 GROUP BY ALL
+), roots AS (
+    SELECT file, max(hash) FILTER (WHERE side = 0) AS root, max(hash) FILTER (WHERE side = 1) AS replica_root FROM l2 GROUP BY file
+), nodes AS (
+    SELECT file, node FROM l1 GROUP BY file, node HAVING max(hash) FILTER (WHERE side = 0) IS DISTINCT FROM max(hash) FILTER (WHERE side = 1)
+), bad AS (
+    SELECT file, slot, coalesce(max(off) FILTER (WHERE side = 0), max(off)) AS off, coalesce(max(n) FILTER (WHERE side = 0), max(n)) AS n,
+           CASE WHEN count(*) FILTER (WHERE side = 1) = 0 THEN 'lost' WHEN count(*) FILTER (WHERE side = 0) = 0 THEN 'extra' ELSE 'changed' END AS state
+    FROM l0 GROUP BY file, slot HAVING max(hash) FILTER (WHERE side = 0) IS DISTINCT FROM max(hash) FILTER (WHERE side = 1)
+)
+SELECT r.file, (SELECT count(*) FROM l0 WHERE l0.side = 0 AND l0.file = r.file)::BIGINT AS n_records, r.root, r.replica_root,
+       r.root IS NOT DISTINCT FROM r.replica_root AS matches,
+       (SELECT count(*) FROM nodes n WHERE n.file = r.file)::BIGINT AS n_nodes,
+       (SELECT count(*) FROM bad b WHERE b.file = r.file)::BIGINT AS n_bad,
+       coalesce((SELECT string_agg(state || ':' || off || '+' || n, ',' ORDER BY off) FROM bad b WHERE b.file = r.file), '') AS bad
+FROM roots r
+"""
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select(
@@ -108,8 +170,8 @@ def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_decontaminate, op4_line_dedup, op6_near_dedup, op7_packing, op8_language_id, op9_quality, op10_matroska)}
+    return {f.__name__: f for f in (op1_pii, op2_decontaminate, op3_token_counts, op4_line_dedup, op5_warc_audit, op6_near_dedup, op7_packing, op8_language_id, op9_quality, op10_matroska)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": _OP4_SQL}
+    return {"op4_line_dedup": _OP4_SQL, "op5_warc_audit": _OP5_SQL}
