@@ -1 +1 @@
-"""Placeholder docstring."""
+"""Column builders and special functions."""

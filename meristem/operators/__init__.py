@@ -1 +1 @@
-"""Placeholder docstring."""
+"""Operators: each takes and returns DataFrames with documented columns."""

@@ -1 +1,30 @@
-"""Placeholder docstring."""
+"""Sessions and plan inspection."""
+
+from __future__ import annotations
+
+import contextlib
+import io
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def session(cores: str = "*", partitions: int = 8, memory: str = "8g", name: str = "meristem") -> SparkSession:
+    """A local session with the settings that tests and benchmarks share. On a cluster, use the cluster's own session."""
+    return (
+        SparkSession.builder.master(f"local[{cores}]").appName(name)
+        .config("spark.sql.shuffle.partitions", str(partitions)).config("spark.sql.adaptive.enabled", "true")
+        .config("spark.driver.memory", memory).config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
+        .getOrCreate()
+    )
+
+
+def plan_text(df: DataFrame) -> str:
+    """The formatted physical plan."""
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain("formatted")
+    return out.getvalue()
+
+
+def uses(df: DataFrame, node: str) -> bool:
+    return node in plan_text(df)
