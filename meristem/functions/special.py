@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _NORMAL = NormalDist()
 
@@ -121,7 +122,7 @@ def hypergeometric_tail(k: int, population: int, marked: int, drawn: int) -> flo
     return min(1.0, sum(math.exp(choose(marked, i) + choose(population - marked, drawn - i) - base) for i in range(max(k, drawn - population + marked, 0), min(marked, drawn) + 1)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _normal_sf(z: pd.Series) -> pd.Series:
     return pd.Series([0.5 * math.erfc(v / math.sqrt(2)) if v == v else np.nan for v in z.astype(float)])
 

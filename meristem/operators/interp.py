@@ -60,7 +60,7 @@ def grid_bins(points: DataFrame, bins: int, axes: tuple[str, ...] = ("x", "y"))
 
 def grid_counts(binned: DataFrame, label: str, values: list, axes: tuple[str, ...] = ("x", "y")) -> DataFrame:
     """Counts per bin, one column per label value."""
-    return binned.groupBy(*[f"bin_{a}" for a in axes]).pivot(label, values).agg(F.count("*")).na.fill(0)
+    return binned.groupBy(*[f"bin_{a}" for a in axes]).pivot(label, values).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def into_breaks(points: DataFrame, breaks: list[float], axis: str, extend: bool = False) -> DataFrame:

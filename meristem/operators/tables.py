@@ -57,7 +57,7 @@ def pair_counts(table: DataFrame, a: str, b: str, least: int) -> DataFrame:
 
 
 def pivot_counts(table: DataFrame, row: str, column: str, values: list) -> DataFrame:
-    return table.groupBy(row).pivot(column, values).agg(F.count("*")).na.fill(0)
+    return table.groupBy(row).pivot(column, values).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def unpivot(table: DataFrame, ids: list[str], values: list[str], name: str = "variable", value: str = "value") -> DataFrame:
