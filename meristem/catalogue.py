@@ -437,7 +437,7 @@ def sinkhorn_plan(spark, d):
 
 # Counts ---------------------------------------------------------------------------------------------------------------
 
-_FLAGS = {"small": r"(?i)^.*(small|economy)", "steel": r"(?i)steel", "promo": r"(?i)^promo"}
+_FLAGS = {"small": r"^(SMALL|ECONOMY)", "large": r"(?i)large", "promo": r"(?i)^promo"}
 
 
 @query(f"WITH {_EXPR}, g AS (SELECT p_partkey AS gene, " + ", ".join(f"regexp_matches(p_type, '{p}') AS {f}" for f, p in _FLAGS.items()) + ") , m AS (SELECT * FROM expr LEFT JOIN g USING (gene)) SELECT cell, sum(value) AS total, count(*) FILTER (WHERE value > 0) AS n_genes, ".replace(") , m", " FROM part), m") + ", ".join(f"round(100 * sum(CASE WHEN {f} THEN value ELSE 0 END) / sum(value), 6) AS pct_{f}" for f in _FLAGS) + " FROM m GROUP BY cell")
@@ -451,9 +451,9 @@ def gene_metrics(spark, d):
     return rounded(preprocess.gene_metrics(expr(spark, d), n_cells(spark, d)), "mean", "pct_dropout")
 
 
-@query("SELECT p_partkey, p_type FROM part WHERE NOT regexp_matches(p_type, '(?i)steel')")
+@query("SELECT p_partkey, p_type FROM part WHERE NOT regexp_matches(p_type, '(?i)^promo')")
 def drop_by_regex(spark, d):
-    return preprocess.drop_genes(table(spark, d, "part"), ["steel"], "p_type", _FLAGS).select("p_partkey", "p_type")
+    return preprocess.drop_genes(table(spark, d, "part"), ["promo"], "p_type", _FLAGS).select("p_partkey", "p_type")
 
 
 @query(f"WITH {_EXPR}, {_NORM} SELECT cell, gene, round(norm, 6) AS norm FROM norm")
