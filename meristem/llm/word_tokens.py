@@ -1,65 +1,66 @@
 """Token ids of whole texts with a word-level cache.
 
 The tokenizer lower-cases, drops white space and encodes each pre-token alone, so a text's ids are its pre-tokens' ids in
-order. A worker keeps a bounded cache from pre-token to ids and encodes only unseen pre-tokens. Texts with
-characters for which Unicode tables of libraries may differ go through the tokenizer whole.
+order. A worker keeps a bounded cache from pre-token to ids and runs the vocabulary's merges only for unseen ones. Texts
+with code points outside printable ASCII and Latin letters, for which Unicode tables of libraries may differ, go through
+the tokenizer whole.
 """
 
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 
 import numpy as np
-import regex
 
-#: Pre-token pattern and end-of-word mark of the vocabulary file (fixed values).
-PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-WORD_END = "</w>"
-_UNSURE = regex.compile(r"[^\t\n\r\x20-\x7e\xa1-ɏ]")
+_UNSURE = re.compile("[^\\t\\n\\r\\x20-\\x7e\\xa1-ɏ]")
+
+
+def _listed(kind: str) -> str:
+    """The code points below 0x250 of a Unicode category, for a character class."""
+    return "".join(re.escape(chr(i)) for i in range(0x250) if unicodedata.category(chr(i))[0] == kind)
+
+
+#: The vocabulary file's pre-tokens over code points below 0x250: letters, an English ending, one digit, other signs.
+PRE_TOKEN = re.compile(rf"[{_listed('L')}]+|'(?:s|t|re|ve|m|ll|d)|[{_listed('N')}]|[^\s{_listed('L')}{_listed('N')}]+")
+
+
+def _byte_letters() -> dict[int, int]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in plain)}
+
+
+class _Cache(dict):
+    """Pre-token to little-endian 32-bit ids."""
+
+    def __init__(self, model, most: int):
+        super().__init__()
+        self.model, self.most, self.letters = model, most, _byte_letters()
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        ids = self[word] = np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
+        return ids
 
 
 class WordTokenizer:
-    def __init__(self, path: str, cache_words: int = 400_000):
+    def __init__(self, path: str, cache_words: int = 800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        for token, i in vocabulary.items():
-            self.ends[i] = token.endswith(WORD_END)
-        self.find = regex.compile(PRE_TOKEN).findall
-        self.cache: dict[str, bytes] = {}
-        self.cache_words = cache_words
+        self.ids = _Cache(self.tokenizer.model, cache_words).__getitem__
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        if len(self.cache) + len(words) > self.cache_words:
-            self.cache.clear()
-        for i in range(0, len(words), 1000):
-            part = words[i : i + 1000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(part):
-                at = 0
-                for word, end in zip(part, cuts.tolist(), strict=True):
-                    self.cache[word] = ids[at:end].tobytes()
-                    at = end
-            else:
-                for word in part:
-                    self.cache[word] = self.whole(word)
-
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids."""
         if _UNSURE.search(text):
             return self.whole(text)
-        words = self.find(text.lower())
-        get = self.cache.get
-        out = [get(w) for w in words]
-        if None in out:
-            self._learn(list({w for w, x in zip(words, out, strict=True) if x is None}))
-            return b"".join([get(w) or self.whole(w) for w in words])
-        return b"".join(out)
+        return b"".join(map(self.ids, PRE_TOKEN.findall(text.lower())))
