@@ -14,6 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 CHUNK_BYTES = 1 << 17
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most ``rows`` rows in this session: whole texts and sets pass through workers, whose memory a batch
+    must not fill."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir`` (a local temporary one only where the setting is unset, as in tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)

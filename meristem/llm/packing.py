@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._shared import staged
+from ._shared import bounded_batches, staged
 from .word_tokens import WordTokenizer
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -126,6 +126,7 @@ def pack(documents: DataFrame, capacity: int = 4096, end_id: int = 2, tokenizer_
 
     ``tokenizer_path`` defaults to the public tokenizers' word-level vocabulary, as the executors find it.
     """
+    bounded_batches(documents.sparkSession)
     id_type = documents.schema["doc_id"].dataType.simpleString()
     numbers = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
     text = documents.select("doc_id", F.col("text").cast("string").alias("text"))
@@ -135,5 +136,6 @@ def pack(documents: DataFrame, capacity: int = 4096, end_id: int = 2, tokenizer_
     slots = slots_of(pack_histogram(histogram, capacity))
     before = W.partitionBy("length").orderBy("task").rowsBetween(W.unboundedPreceding, -1)
     offsets = tallies.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
-    ranked = pieces.join(offsets, ["task", "length"]).withColumn("rank", F.col("earlier") + F.col("local_rank"))
+    # The tallies grow with the number of tasks, so they are not to be broadcast.
+    ranked = pieces.join(offsets.hint("merge"), ["task", "length"]).withColumn("rank", F.col("earlier") + F.col("local_rank"))
     return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank").mapInArrow(_place(slots), f"doc_id {id_type}, {numbers}, sequence_id bigint, offset bigint")
