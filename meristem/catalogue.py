@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from . import sources
 from .functions import vectors
-from .operators import decompose, geometry, interp, labels, neighbors, network, preprocess, register, stats, tables, trajectory
+from .operators import decompose, geometry, graphs, interp, labels, neighbors, network, preprocess, register, residual, stats, tables, trajectory
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -868,3 +868,104 @@ def zstack_total(spark, d):
     near = neighbors.knn(p, k=1, scope="next", exclude_self=False).join(p.select(F.col("id").alias("src"), "grp"), "src").withColumn("d2", F.col("dist") * F.col("dist"))
     s = near.groupBy("grp").agg(F.exp(-F.avg("d2") / F.median("d2")).alias("v")).where("v > 0")
     return s.agg(F.round(F.exp(F.avg(F.ln("v"))), 6).alias("total"), F.count("*").alias("n"))
+
+
+# Graph building blocks ------------------------------------------------------------------------------------------------
+
+
+def _weighted(spark, d):
+    return edges(spark, d).select("src", "dst", F.exp(-F.col("dist")).alias("w"))
+
+
+@query(f"WITH {_EMB}, {_nn()}, w AS (SELECT src, dst, exp(-dist) AS w FROM nn) SELECT round(max(abs(coalesce(a.w, 0) - coalesce(b.w, 0))), 6) AS gap FROM w a FULL JOIN w b ON a.src = b.dst AND a.dst = b.src")
+def graph_asymmetry(spark, d):
+    return rounded(graphs.asymmetry(_weighted(spark, d)), "gap")
+
+
+@query(f"WITH {_EMB}, {_nn()}, w AS (SELECT src, dst, exp(-dist) AS w FROM nn) SELECT src, dst, round(sum(w) / 2, 6) AS w FROM (SELECT * FROM w UNION ALL SELECT dst, src, w FROM w) GROUP BY ALL")
+def graph_symmetrised(spark, d):
+    return rounded(graphs.symmetrised(_weighted(spark, d)), "w")
+
+
+@query("SELECT i.i, j.j FROM (SELECT unnest(range(0, 12)) AS i) i, (SELECT unnest(range(0, 12)) AS j) j WHERE i.i <> j.j AND abs(i.i - j.j) <= 2")
+def slice_window_pairs(spark, d):
+    return graphs.slice_pairs(spark, 12, 2)
+
+
+@query("SELECT l_partkey AS member, count(*) AS n FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_suppkey < 10) GROUP BY l_partkey HAVING count(*) >= 3")
+def common_genes(spark, d):
+    e = expr(spark, d).where("cell < 10")
+    return graphs.common_members(e.select(F.col("gene").alias("member")), 10, 0.3)
+
+
+@query(f"WITH {_EMB}, {_nn()}, m AS (SELECT src, min(dist) AS d FROM nn GROUP BY src), q AS (SELECT quantile_cont(d, 0.05) AS lo, quantile_cont(d, 0.95) AS hi FROM m) SELECT round(avg(d), 6) AS mean, count(*) AS n FROM m, q WHERE d >= lo AND d <= hi")
+def nearest_distance(spark, d):
+    return rounded(graphs.nearest_distance(edges(spark, d)), "mean")
+
+
+@query(f"WITH {_EMB}, {_nn()} SELECT round(sum(exp(-dist) * sqrt(dist * dist + 0.000001)), 4) AS loss FROM nn")
+def charbonnier_loss(spark, d):
+    return edges(spark, d).agg(F.round(graphs.charbonnier(F.col("dist") * F.col("dist"), F.exp(-F.col("dist"))), 4).alias("loss"))
+
+
+@query(f"WITH {_EXPR}, {_RES} SELECT round(sum(mu - x * ln(mu + 1e-8)), 2) AS nll FROM r")
+def poisson_nll(spark, d):
+    r = preprocess.null_residuals(expr(spark, d)).join(expr(spark, d), ["cell", "gene"])
+    return r.agg(F.round(graphs.poisson_nll(F.col("value"), F.col("mu")), 2).alias("nll"))
+
+
+@query()
+def fuzzy_connectivities(spark, d):
+    return rounded(graphs.fuzzy_connectivities(edges(spark, d, 15), 15), "w")
+
+
+@query()
+def graph_communities(spark, d):
+    e = _weighted(spark, d).where("src < dst")
+    return graphs.communities(e).select("id", "community")
+
+
+@query()
+def snn_clusters(spark, d):
+    return graphs.shared_neighbour_clusters(neighbors.shared_neighbours(edges(spark, d, 10).select("src", "dst")), 5, 3)
+
+
+@query()
+def point_normals(spark, d):
+    p = points(spark, d)
+    near = neighbors.knn(p.select("id", F.array("x", "y", "z").alias("vec")), k=12)
+    return rounded(graphs.normals(p, near), "nx", "ny", "nz", digits=4)
+
+
+@query(f"WITH {_EMB}, {_nn(3, 'a.id <> b.id', 'a.id, b.grp', extra=', b.grp AS target')} SELECT src, dst, round(dist, 6) AS dist, target FROM nn")
+def batch_balanced_knn(spark, d):
+    return rounded(graphs.balanced_neighbours(points(spark, d), 3), "dist")
+
+
+@query(f"WITH {_BRANDS}, b AS (SELECT s_suppkey AS cell, s_nationkey % 3 AS batch FROM supplier), e AS (SELECT expr.*, batch FROM expr JOIN b USING (cell)), w AS (SELECT *, avg(value) OVER g AS m, stddev_pop(value) OVER g AS s, avg(value) OVER p AS mb, stddev_pop(value) OVER p AS sb, count(*) OVER p AS n FROM e WINDOW g AS (PARTITION BY gene), p AS (PARTITION BY gene, batch)) SELECT cell, gene, round(m + (value - m - n / (n + 1.0) * (mb - m)) * coalesce(pow(s / nullif(sb, 0), n / (n + 1.0)), 1.0), 4) AS value FROM w")
+def batch_centred(spark, d):
+    b = table(spark, d, "supplier").select(F.col("s_suppkey").alias("cell"), (F.col("s_nationkey") % 3).alias("batch"))
+    return rounded(residual.centre_batches(brands(spark, d), b), "value", digits=4)
+
+
+@query()
+def hvg_trend(spark, d):
+    return rounded(residual.trend_variable_genes(expr(spark, d), n_cells(spark, d), 50), "mean", "variance", "variance_norm")
+
+
+@query()
+def regression_residuals(spark, d):
+    return rounded(residual.regression_residuals(brands(spark, d), n_cells(spark, d)), "residual", digits=4)
+
+
+@query()
+def gene_linkage(spark, d):
+    """Average linkage of genes on 1 - |r|, cut into five clusters."""
+    r = _cor(spark, d).orderBy("a", "b").toPandas()
+    genes = sorted(set(r["a"]) | set(r["b"]))
+    at = {g: k for k, g in enumerate(genes)}
+    dist = np.ones((len(genes), len(genes)))
+    for a, b, x in r.itertuples(index=False):
+        dist[at[a], at[b]] = dist[at[b], at[a]] = 1 - abs(x)
+    found = graphs.cut(graphs.linkage(dist), len(genes), 5)
+    return spark.createDataFrame([(g, int(c)) for g, c in zip(genes, found, strict=True)], "gene string, cluster bigint")
