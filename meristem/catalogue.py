@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from . import sources
 from .functions import vectors
-from .operators import decompose, geometry, graphs, interp, labels, neighbors, network, preprocess, register, residual, stats, tables, trajectory
+from .operators import decompose, geometry, graphs, interp, labels, neighbors, network, preprocess, register, residual, scores, stats, tables, trajectory
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -969,3 +969,49 @@ def gene_linkage(spark, d):
         dist[at[a], at[b]] = dist[at[b], at[a]] = 1 - abs(x)
     found = graphs.cut(graphs.linkage(dist), len(genes), 5)
     return spark.createDataFrame([(g, int(c)) for g, c in zip(genes, found, strict=True)], "gene string, cluster bigint")
+
+
+# Stack scores ---------------------------------------------------------------------------------------------------------
+
+_FLAT = "list_distance([a.x, a.y], [b.x, b.y])"
+_CROSS = f"""fwd AS (SELECT a.id AS src, b.id AS dst, {_FLAT} AS dist FROM emb a, emb b WHERE b.grp = a.grp + 1 QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY {_FLAT}, b.id) <= 4),
+back AS (SELECT a.id AS src, b.id AS dst, {_FLAT} AS dist FROM emb a, emb b WHERE b.grp = a.grp - 1 QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY {_FLAT}, b.id) <= 4)"""
+_WE = f"""{_CROSS}, e AS (SELECT src, dst, a.grp, dist * dist AS dx2, list_distance(a.vec, b.vec) ** 2 AS df2 FROM fwd JOIN emb a ON src = a.id JOIN emb b ON dst = b.id),
+w AS (SELECT *, exp(-dx2 / median(dx2) OVER (PARTITION BY grp) - df2 / median(df2) OVER (PARTITION BY grp)) AS w FROM e)"""
+
+
+def _stack(spark, d):
+    return points(spark, d).select("id", "grp", "x", "y", "vec", "label")
+
+
+@query(f"WITH {_EMB}, {_CROSS}, u AS (SELECT * FROM fwd UNION ALL SELECT * FROM back), k AS (SELECT *, row_number() OVER (ORDER BY dist, src, dst) AS r, count(*) OVER () AS n FROM u) SELECT src, dst, round(dist, 6) AS dist FROM k WHERE r <= floor(n * 0.99)")
+def cross_slice_edges(spark, d):
+    return rounded(scores.slice_edges(_stack(spark, d), 4), "dist").select("src", "dst", "dist")
+
+
+@query(f"WITH {_EMB}, {_WE} SELECT src, dst, round(w, 6) AS w FROM w")
+def cross_slice_weights(spark, d):
+    return rounded(scores.weighted_edges(_stack(spark, d), 4), "w").select("src", "dst", "w")
+
+
+@query(f"WITH {_EMB}, {_WE} SELECT round(avg(exp(-dx2)), 6) AS spatial, round(avg(exp(-df2)), 6) AS feature, round(avg(exp(-dx2 / 2) * exp(-df2 / 2)), 6) AS mixed, count(*) AS n FROM w")
+def match_scores(spark, d):
+    return rounded(scores.match_scores(scores.weighted_edges(_stack(spark, d), 4)), "spatial", "feature", "mixed")
+
+
+@query(f"WITH {_EMB}, {_WE}, n AS (SELECT count(*) AS n FROM emb) SELECT round(sum(w * dx2) / max(n), 6) AS spatial, round(sum(w * df2) / max(n), 6) AS feature FROM w, n")
+def stack_smoothness(spark, d):
+    p = _stack(spark, d)
+    return rounded(scores.smoothness(scores.weighted_edges(p, 4), p.count()), "spatial", "feature")
+
+
+@query(f"WITH {_EMB}, {_WE}, af AS (SELECT src AS id, dst AS after, w AS wa FROM w QUALIFY row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) = 1), be AS (SELECT dst AS id, src AS before, w AS wb FROM w QUALIFY row_number() OVER (PARTITION BY dst ORDER BY w DESC, src) = 1) SELECT round(sum(wa * wb * ((a.x - 2 * p.x + b.x) ** 2 + (a.y - 2 * p.y + b.y) ** 2)) / sum(wa * wb), 6) AS bending, count(*) AS n FROM af JOIN be USING (id) JOIN emb p USING (id) JOIN emb a ON a.id = after JOIN emb b ON b.id = before")
+def stack_bending(spark, d):
+    p = _stack(spark, d)
+    return rounded(scores.bending(p, scores.weighted_edges(p, 4)), "bending")
+
+
+@query(f"WITH {_EMB}, {_CROSS} SELECT round(avg((a.label = b.label)::INTEGER), 6) AS same, count(*) AS n FROM fwd JOIN emb a ON src = a.id JOIN emb b ON dst = b.id")
+def label_agreement(spark, d):
+    p = _stack(spark, d)
+    return rounded(scores.label_agreement(scores.weighted_edges(p, 4), p), "same")

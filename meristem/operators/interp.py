@@ -117,3 +117,45 @@ def density(points: DataFrame, queries: DataFrame, reach: float, bandwidth: floa
     every = queries.select(F.col("id")).join(raw.withColumnRenamed("src", "id"), "id", "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
     span = every.agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
     return every.crossJoin(F.broadcast(span)).select("id", F.coalesce(F.try_divide(F.col("d") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)).alias("density"))
+
+
+def voxel_label(points: DataFrame, voxels: DataFrame, space: dict[str, float]) -> DataFrame:
+    """``points`` with the label of the nearest voxel of a regular grid (integer indices and ``label``), null outside."""
+    axes = list(space)
+    at = points.withColumns({f"__{a}": F.round(F.col(a) / space[a]).cast("long") for a in axes})
+    cells = voxels.select(*[F.col(a).cast("long").alias(f"__{a}") for a in axes], "label")
+    return at.join(cells, [f"__{a}" for a in axes], "left").drop(*[f"__{a}" for a in axes])
+
+
+def pixels(images: DataFrame, column: str = "image", threshold: float = 0.0) -> DataFrame:
+    """(id, row, col, value) of a nested array column's entries above ``threshold``."""
+    rows = images.select("id", F.posexplode(column).alias("row", "__r"))
+    return rows.select("id", "row", F.posexplode("__r").alias("col", "value")).where(F.col("value") > threshold)
+
+
+def widened_bins(points: DataFrame, breaks: list[float], axis: str = "z", least: int = 100, grow: float = 0.05) -> list[tuple[float, float]]:
+    """Intervals between ``breaks``, each widened by ``grow`` of its span until it holds ``least`` points; counts come from one
+    aggregate per round for all intervals."""
+    spans = [(a, b) for a, b in zip(breaks, breaks[1:], strict=False)]
+    total = points.count()
+    while True:
+        counts = points.agg(*[F.count_if(F.col(axis).between(a, b)).alias(str(k)) for k, (a, b) in enumerate(spans)]).first()
+        short = [k for k in range(len(spans)) if counts[k] < min(least, total)]
+        if not short:
+            return spans
+        for k in short:
+            a, b = spans[k]
+            pad = max((b - a) * grow, 1e-9)
+            spans[k] = (a - pad, b + pad)
+
+
+def displaced(points: DataFrame, field: DataFrame, step: float, axes: tuple[str, str] = ("x", "y")) -> DataFrame:
+    """Points minus a displacement field (i, j, u, v on a grid of ``step``), bilinear between the four grid nodes."""
+    i, j = (F.floor(F.col(a) / step) for a in axes)
+    fx, fy = (F.col(a) / step - F.floor(F.col(a) / step) for a in axes)
+    corners = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.lit(q).alias("q")) for p in (0, 1) for q in (0, 1)]))
+    near = points.select("*", fx.alias("__fx"), fy.alias("__fy"), i.alias("__i"), j.alias("__j"), corners.alias("__c"))
+    near = near.withColumns({"i": F.col("__i") + F.col("__c.p"), "j": F.col("__j") + F.col("__c.q")}).join(field, ["i", "j"], "left")
+    w = F.when(F.col("__c.p") == 1, F.col("__fx")).otherwise(1 - F.col("__fx")) * F.when(F.col("__c.q") == 1, F.col("__fy")).otherwise(1 - F.col("__fy"))
+    moved = near.groupBy("id").agg(F.sum(w * F.coalesce("u", F.lit(0.0))).alias("__u"), F.sum(w * F.coalesce("v", F.lit(0.0))).alias("__v"))
+    return points.join(moved, "id").withColumns({axes[0]: F.col(axes[0]) - F.col("__u"), axes[1]: F.col(axes[1]) - F.col("__v")}).drop("__u", "__v")

@@ -151,3 +151,46 @@ def test_tree_helpers(spark):
     assert tables.chain_edges(5, 1, 2) == [(2, 3), (3, 4), (2, 1), (1, 0)]
     e = spark.createDataFrame([(1, 2), (1, 3), (4, 5), (5, 6), (4, 7)], "parent bigint, child bigint")
     assert {(r.parent, r.child, r.depth) for r in tables.tree_edges(spark, e, 4).collect()} == {(4, 5, 1), (4, 7, 1), (5, 6, 2)}
+
+
+def test_deformable_follows_a_smooth_warp(spark):
+    p, _ = cloud(spark, 60)
+    p = p.select("id", "x", "y")
+    warped = p.withColumn("y", F.col("y") + 0.15 * F.sin("x"))
+    c, w, s2 = register.em_deformable(warped, p, beta=2.0, stiffness=0.5)
+    out = geometry.kernel_displace(p, c, w, 2.0).join(warped.select("id", F.col("y").alias("v")), "id")
+    before = p.join(warped.select("id", F.col("y").alias("v")), "id").agg(F.avg(F.abs(F.col("y") - F.col("v")))).first()[0]
+    assert out.agg(F.avg(F.abs(F.col("y") - F.col("v")))).first()[0] < before / 2
+
+
+def test_stack_registration(spark):
+    p, _ = cloud(spark, 60)
+    t = geometry.compose([[np.cos(0.1), -np.sin(0.1)], [np.sin(0.1), np.cos(0.1)]], None, [0.05, 0.02])
+    a = p.select("id", "x", "y").withColumn("grp", F.lit(0))
+    b = geometry.transform_points(a, t).withColumn("grp", F.lit(1))
+    found = register.register_stack(a.unionByName(b), [(0, 1)], 0)
+    assert np.allclose(found[1] @ t, np.eye(3), atol=1e-3)
+
+
+def test_grids(spark):
+    p = spark.createDataFrame([(0, 0.2, 0.9), (1, 5.0, 5.0)], "id bigint, x double, y double")
+    v = spark.createDataFrame([(0, 1, "a")], "x bigint, y bigint, label string")
+    assert {r.id: r.label for r in interp.voxel_label(p, v, {"x": 1.0, "y": 1.0}).collect()} == {0: "a", 1: None}
+    img = spark.createDataFrame([(7, [[0.0, 2.0], [3.0, 0.0]])], "id bigint, image array<array<double>>")
+    assert {(r.row, r.col, r.value) for r in interp.pixels(img).collect()} == {(0, 1, 2.0), (1, 0, 3.0)}
+    z = spark.range(100).select((F.col("id") / 10.0).alias("z"))
+    assert all(z.where(F.col("z").between(a, b)).count() >= 30 for a, b in interp.widened_bins(z, [0.0, 1.0, 9.0], least=30))
+    field = spark.createDataFrame([(i, j, 1.0, 2.0) for i in range(3) for j in range(3)], "i bigint, j bigint, u double, v double")
+    got = interp.displaced(p.where("id = 0"), field, 1.0).first()
+    assert (round(got.x, 9), round(got.y, 9)) == (-0.8, -1.1)
+
+
+def test_communities_and_linkage(spark):
+    from meristem.operators import graphs
+
+    e = [(i, j, 1.0) for g in (0, 10) for i in range(g, g + 5) for j in range(i + 1, g + 5)] + [(0, 10, 0.1)]
+    got = {r.id: r.community for r in graphs.communities(spark.createDataFrame(e, "src bigint, dst bigint, w double")).collect()}
+    assert len({got[i] for i in range(5)}) == 1 and got[0] != got[10] and len(set(got.values())) == 2
+    d = np.array([[0, 1, 8], [1, 0, 9], [8, 9, 0]], float)
+    m = graphs.linkage(d, "average")
+    assert m[:, 2].tolist() == [1.0, 8.5] and graphs.cut(m, 3, clusters=2).tolist() == [0, 0, 1]
