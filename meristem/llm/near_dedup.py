@@ -4,35 +4,34 @@ A document's set is its distinct 5-word shingles (words: runs without 20 and 09-
 is one shingle, its whole word sequence; no words: the empty set, linked with nothing). Documents are linked if
 intersection / union >= ``threshold``, confirmed on full sets.
 
-Method. Equal sets collapse to their smallest doc_id first. Each remaining document has ``width`` minwise tokens. A tree's node
-chooses tokens by its own hash, one or two with expectation 1/threshold, and a document goes to the child named by the
-chosen token's value; all documents of a node choose alike, so a linked pair meets in at least one child on
-average at every level. A node splits further while it is large; small nodes are compared exhaustively. ``trees``
-independent trees bring recall to its target: with 16 trees a pair at the threshold is missed with probability
-2e-12 at depth 1 and about 1e-4 where all its nodes had to be split four times.
-
-Nothing emits all pairs of a group of near copies. In each round every document of a node is first compared with the
-node's smallest document only, links become components, and a node whose documents already share one component is
-finished. Only what is left is compared exhaustively, between different components, or split further. A node that is
-still large at ``depth`` is compared exhaustively in blocks. Pairs whose size ratio, or whose agreement of ``width``
-one-bit minwise sketches (six standard deviations below the expectation at the threshold), rules a link out are not
-confirmed.
+1. Equal sets collapse to their smallest doc_id. Each remaining document has ``width`` minwise values.
+2. Chosen-path trees over the first ``kept`` values. A node chooses tokens (minwise values at a position) by its own hash, one or two with expectation
+   1 / threshold, and a document goes to the child named by the chosen token's value. All documents of a node choose
+   alike, so a linked pair meets in at least one child on average at every level. Nodes of more than ``small``
+   documents split further; ``trees`` independent trees bring recall to its target: with 16, a pair at the threshold is
+   missed with probability 2e-12 where its nodes are small at level 1, and about 1e-4 where all had to be split four
+   times. A node that is still large at ``depth`` is dealt into pairs of blocks, which loses nothing.
+3. Small nodes are compared exhaustively on sketches (one bit of each minwise value, and the sets' sizes). A pair is likely
+   unless its sketches agree five standard deviations less than a pair at the threshold would. A node gives a
+   spanning set of its likely links, never all its pairs; their components are coarse groups that hold every link.
+4. Documents of coarse groups bring their full sets together: a small group in one task, a large one in the nodes of
+   step 2. There all intersections are counted exactly and links at the threshold give the final components.
 
 Defined cases: null or empty text has the empty set; rows that share a doc_id and differ in text take part each and are
-reported each, in one component if either is linked; a null doc_id is reported with a null component and kept as false; extra
+reported each, as one document for components; a null doc_id is reported with a null component and kept as false; extra
 columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import byte_class, hashed_words, mix64, row_blocks, scratch_path, staged, utf8_views
+from ._shared import bounded_batches, byte_class, hashed_words, mix64, row_blocks, staged, utf8_views
 
 _rng = np.random.default_rng(7)
 _STEP = _rng.integers(1, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -77,8 +76,8 @@ def signature(own: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
     return out
 
 
-def _profile(size: int, width: int):
-    """mapInArrow: set size, set fingerprint, one-bit sketch and minwise tokens of each document."""
+def _profile(size: int, width: int, kept: int):
+    """mapInArrow: set size, set fingerprint, one-bit sketch of all and the first ``kept`` minwise values."""
     multipliers = _multipliers(width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +86,7 @@ def _profile(size: int, width: int):
             for i, j in row_blocks(offsets):
                 sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size)
                 sig = np.stack([signature(own, multipliers) for own in sets])
-                sketch = np.packbits((sig >> np.uint32(7)) & np.uint32(1), axis=1).view(np.int64)
+                sketch = np.packbits(((sig >> np.uint32(7)) & np.uint32(1)).astype(np.uint8), axis=1)
                 f1 = np.array([mix64(own).sum() for own in sets], np.uint64)
                 f2 = np.array([mix64(own * _STEP[9]).sum() for own in sets], np.uint64)
                 yield pa.RecordBatch.from_pydict(
@@ -96,8 +95,8 @@ def _profile(size: int, width: int):
                         "n": pa.array([len(own) for own in sets], pa.int64()),
                         "f1": pa.array(f1.view(np.int64)),
                         "f2": pa.array(f2.view(np.int64)),
-                        "s": pa.FixedSizeListArray.from_arrays(pa.array(sketch.reshape(-1)), sketch.shape[1]).cast(pa.list_(pa.int64())),
-                        "sig": pa.array([row.tobytes() for row in sig], pa.binary()),
+                        "sketch": pa.array([row.tobytes() for row in sketch], pa.binary()),
+                        "sig": pa.array([row[:kept].tobytes() for row in sig], pa.binary()),
                     }
                 )
 
@@ -105,7 +104,7 @@ def _profile(size: int, width: int):
 
 
 def _sets(size: int):
-    """mapInArrow: (doc_id, set) with sets as arrays of longs."""
+    """mapInArrow: texts become sets, arrays of longs; other columns stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,19 +113,20 @@ def _sets(size: int):
                 sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size)
                 at = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
                 flat = np.concatenate(sets).view(np.int64)
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(i, j - i), "shingles": pa.ListArray.from_arrays(pa.array(at), pa.array(flat))})
+                out = {c: batch.column(c).slice(i, j - i) for c in batch.schema.names if c != "text"}
+                yield pa.RecordBatch.from_pydict(out | {"shingles": pa.ListArray.from_arrays(pa.array(at), pa.array(flat))})
 
     return run
 
 
-def _children(width: int, trees: int, twice: float, deeper: bool):
+def _children(kept: int, trees: int, twice: float, deeper: bool):
     """mapInArrow: the child nodes of each row; at the root, of each tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, width)
+            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, kept)
             rows = np.arange(batch.num_rows)
             if deeper:
                 parent, row = batch.column("node").to_numpy().view(np.uint64), rows
@@ -137,122 +137,232 @@ def _children(width: int, trees: int, twice: float, deeper: bool):
             for branch in range(2):
                 h = mix64(parent + _STEP[4 + branch])
                 chosen = np.ones(len(row), bool) if branch == 0 else (h >> np.uint64(40)).astype(np.float64) < twice * (1 << 24)
-                position = (h[chosen] % np.uint64(width)).astype(np.int64)
+                position = (h[chosen] % np.uint64(kept)).astype(np.int64)
                 value = sig[row[chosen], position].astype(np.uint64)
                 nodes.append(mix64(mix64(parent[chosen] + _STEP[6] * (position.astype(np.uint64) + np.uint64(1))) + value * _STEP[7]))
                 owners.append(row[chosen])
-            take = pa.array(np.concatenate(owners))
-            out = {"node": pa.array(np.concatenate(nodes).view(np.int64))} | {c: batch.column(c).take(take) for c in ("doc_id", "n", "s")}
-            yield pa.RecordBatch.from_pydict(out)
+            yield pa.RecordBatch.from_pydict({"node": pa.array(np.concatenate(nodes).view(np.int64)), "doc_id": batch.column("doc_id").take(pa.array(np.concatenate(owners)))})
 
     return run
 
 
-def _agreement(width: int, threshold: float) -> int:
-    """Least number of equal sketch bits for a pair at the threshold, six standard deviations down."""
+def shared_nodes(signatures: DataFrame, kept: int, threshold: float, trees: int, small: int, depth: int) -> DataFrame:
+    """(node, doc_id): nodes of 2 to ``small`` documents (up to twice that where blocks meet)."""
+    twice = 1 / threshold - 1
+    schema = "node bigint, doc_id bigint"
+    rows = staged(signatures.mapInArrow(_children(kept, trees, twice, False), schema), "nodes-1")
+    out = None
+    for level in range(1, depth + 1):
+        sizes = staged(rows.groupBy("node").agg(F.count("*").alias("members")).where("members > 1"), f"sizes-{level}")
+        fit = staged(rows.join(sizes.where(F.col("members") <= small).select("node").hint("merge"), "node", "left_semi"), f"small-{level}")
+        out = fit if out is None else out.unionAll(fit)
+        large = sizes.where(F.col("members") > small)
+        if large.isEmpty():
+            break
+        grown = rows.join(large.hint("merge"), "node")
+        if level < depth:
+            rows = staged(grown.join(signatures.hint("merge"), "doc_id").select("node", "doc_id", "sig").mapInArrow(_children(kept, trees, twice, True), schema), f"nodes-{level + 1}")
+        else:
+            blocks = F.ceil(2 * F.col("members") / small).cast("int")
+            dealt = grown.withColumn("p", F.pmod(F.xxhash64("doc_id"), blocks).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), blocks - 1))).where("p <> q")
+            out = out.unionAll(staged(dealt.select(F.xxhash64("node", F.least("p", "q"), F.greatest("p", "q")).alias("node"), "doc_id"), "blocks"))
+    return out
+
+
+def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest index connected with each of 0 .. n-1 by the links (i, j)."""
+    root = np.arange(n)
+    while True:
+        before = root.copy()
+        low = np.minimum(root[i], root[j])
+        np.minimum.at(root, i, low)
+        np.minimum.at(root, j, low)
+        root = root[root]
+        if np.array_equal(root, before):
+            return root
+
+
+def _by_group(key: str, links: Callable[[pa.Table, np.ndarray], tuple[np.ndarray, np.ndarray]]):
+    """mapInArrow over rows that are sorted by ``key`` and not split: calls ``links(rows, starts of groups)``, and gives a
+    spanning set (a, b) of the links between documents."""
+
+    def spanning(rows: pa.Table) -> pa.RecordBatch:
+        own = rows.column(key).to_numpy()
+        starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        i, j = links(rows, starts)
+        root = _roots(len(own), i, j)
+        moved = np.flatnonzero(root != np.arange(len(own)))
+        doc = rows.column("doc_id").to_numpy()
+        return pa.RecordBatch.from_pydict({"a": pa.array(doc[root[moved]]), "b": pa.array(doc[moved])})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = rows if rest is None else pa.concat_tables([rest, rows])
+            own = rows.column(key).to_numpy()
+            whole = int(np.flatnonzero(own != own[-1])[-1]) + 1 if own[0] != own[-1] else 0
+            if whole:
+                yield spanning(rows.slice(0, whole))
+            rest = rows.slice(whole)
+        if rest is not None:
+            yield spanning(rest)
+
+    return run
+
+
+def _likely_links(width: int, threshold: float):
+    """Links of ``_by_group`` on sketches."""
     p = (1 + threshold) / 2
-    return int(np.floor(width * p - 6 * np.sqrt(width * p * (1 - p))))
+    most = width - int(np.floor(width * p - 5 * np.sqrt(width * p * (1 - p))))
+
+    def links(rows: pa.Table, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        total = rows.num_rows
+        s = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(total, -1)
+        n = rows.column("n").to_numpy().astype(np.float64)
+        size = np.diff(np.append(starts, total))
+        left, right = [], []
+
+        def likely(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            apart = np.zeros(np.broadcast_shapes(a.shape, b.shape), np.int64)
+            for k in range(s.shape[1]):
+                apart += np.bitwise_count(s[a, k] ^ s[b, k])
+            return (apart <= most) & (np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b]))
+
+        few = np.repeat(size <= 24, size)
+        group = np.repeat(np.arange(len(size)), size)
+        for d in range(1, int(size[size <= 24].max(initial=1))):
+            a = np.flatnonzero(few[:-d] & (group[d:] == group[:-d]))
+            a = a[likely(a, a + d)] if len(a) else a
+            left.append(a)
+            right.append(a + d)
+        for at, m in zip(starts[size > 24].tolist(), size[size > 24].tolist(), strict=True):
+            own = np.arange(at, at + m)
+            for k in range(0, m, 128):
+                a, b = np.nonzero(likely(own[k : k + 128, None], own[None, :]))
+                a += k
+                left.append(own[a[a < b]])
+                right.append(own[b[a < b]])
+        return np.concatenate([*left, starts[:0]]), np.concatenate([*right, starts[:0]])
+
+    return links
+
+
+def _exact_links(threshold: float):
+    """Links of ``_by_group`` on full sets: all intersections of a group, counted over columns of shared shingles."""
+    share = round(threshold * 100)
+
+    def links(rows: pa.Table, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        column = rows.column("shingles").combine_chunks()
+        if isinstance(column, pa.ChunkedArray):
+            column = column.chunk(0) if column.num_chunks else pa.array([], column.type)
+        at = column.offsets.to_numpy().astype(np.int64)
+        flat = column.values.to_numpy()
+        left, right = [], []
+        for a, b in zip(starts.tolist(), np.append(starts[1:], rows.num_rows).tolist(), strict=True):
+            m = b - a
+            if m < 2:
+                continue
+            n = np.diff(at[a : b + 1])
+            if m == 2:
+                common = np.array([[n[0], (c := len(np.intersect1d(flat[at[a] : at[a + 1]], flat[at[a + 1] : at[b]], assume_unique=True)))], [c, n[1]]])
+            else:
+                shingles, owner = flat[at[a] : at[b]], np.repeat(np.arange(m), n)
+                order = np.argsort(shingles, kind="stable")
+                shingles, owner = shingles[order], owner[order]
+                fresh = np.append(True, shingles[1:] != shingles[:-1])
+                times = np.diff(np.append(np.flatnonzero(fresh), len(shingles)))
+                shared = np.repeat(times > 1, times)
+                place = (np.cumsum(fresh) - 1)[shared]
+                if len(place):
+                    place = np.cumsum(np.append(0, (place[1:] != place[:-1]).astype(np.int64)))
+                owner = owner[shared]
+                common = np.zeros((m, m))
+                wide = 2048
+                cuts = np.searchsorted(place, np.arange(0, (int(place[-1]) if len(place) else -1) + 1 + wide, wide))
+                for k, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+                    held = np.zeros((m, wide), np.float32)
+                    held[owner[x:y], place[x:y] - k * wide] = 1
+                    common += held @ held.T
+            linked = np.triu(100 * common >= share * (n[:, None] + n[None, :] - common), 1)
+            i, j = np.nonzero(linked)
+            left.append(i + a)
+            right.append(j + a)
+        return np.concatenate([*left, starts[:0]]), np.concatenate([*right, starts[:0]])
+
+    return links
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
-    """(v, c): the smallest vertex reachable from each vertex of ``links`` (a, b). Rounds of smallest neighbour and
-    pointer jumping, each written to the shared folder; nothing is collected but a count."""
-    edges = staged(links.select(F.col("a").alias("v"), F.col("b").alias("u")).unionAll(links.select(F.col("b").alias("v"), F.col("a").alias("u"))), f"{name}-edges")
-    label = staged(edges.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("c")), f"{name}-0")
-    turn = 0
+    """(v, c): the smallest vertex reachable from each vertex of ``links`` (a, b).
+
+    Rounds of contraction: each vertex points to its smallest neighbour if that is smaller, pointers are followed to their ends,
+    and links between different ends are left for the next round. Every step is written to the shared folder; nothing is
+    collected but whether something is left.
+    """
+    edges = staged(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-edges")
+    whole, turn = None, 0
     while True:
+        both = edges.select(F.col("a").alias("v"), F.col("b").alias("u")).unionAll(edges.select(F.col("b").alias("v"), F.col("a").alias("u")))
+        label = staged(both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("c")), f"{name}-{turn}")
+        step = 0
+        while True:
+            on = label.select(F.col("v").alias("c"), F.col("c").alias("d")).hint("merge")
+            after = staged(label.join(on, "c").select("v", F.col("d").alias("c"), (F.col("d") != F.col("c")).alias("moved")), f"{name}-{turn}-{step}")
+            label, step = after.select("v", "c"), step + 1
+            if after.where("moved").isEmpty():
+                break
+        if whole is None:
+            whole = label
+        else:
+            on = label.select(F.col("v").alias("c"), F.col("c").alias("d")).hint("merge")
+            whole = staged(whole.join(on, "c", "left").select("v", F.coalesce("d", "c").alias("c")), f"{name}-{turn}-whole")
+        ca, cb = label.select(F.col("v").alias("a"), F.col("c").alias("ca")).hint("merge"), label.select(F.col("v").alias("b"), F.col("c").alias("cb")).hint("merge")
+        met = edges.join(ca, "a").join(cb, "b").where("ca <> cb")
+        edges = staged(met.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct(), f"{name}-{turn}-edges")
+        if edges.isEmpty():
+            return whole
         turn += 1
-        near = edges.join(label.select(F.col("v").alias("u"), F.col("c").alias("cu")), "u").groupBy("v").agg(F.min("cu").alias("cn"))
-        step = label.join(near, "v").select("v", "c", F.least("c", "cn").alias("m"))
-        jump = step.join(label.select(F.col("v").alias("m"), F.col("c").alias("cm")), "m", "left")
-        after = staged(jump.select("v", F.least("m", F.coalesce("cm", "m")).alias("c"), (F.least("m", F.coalesce("cm", "m")) != F.col("c")).alias("moved")), f"{name}-{turn}")
-        label = after.select("v", "c")
-        if after.where("moved").isEmpty():
-            return label
 
 
-def near_duplicates(documents: DataFrame, size: int = 5, threshold: float = 0.75, width: int = 128, trees: int = 16, small: int = 64, depth: int = 4) -> DataFrame:
+def _compared(rows: DataFrame, key: str, links, name: str) -> DataFrame:
+    """Spanning links (a, b) of groups, written to the shared folder."""
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(partitions, key).sortWithinPartitions(key, "doc_id")
+    return staged(dealt.mapInArrow(_by_group(key, links), "a bigint, b bigint").distinct(), name)
+
+
+def near_duplicates(documents: DataFrame, size: int = 5, threshold: float = 0.75, width: int = 256, kept: int = 64, trees: int = 16, small: int = 512, depth: int = 4) -> DataFrame:
     """A row per document row: doc_id, n_shingles, component_id, kept."""
+    bounded_batches(documents.sparkSession)
     id_type = documents.schema["doc_id"].dataType
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    profile = staged(texts.mapInArrow(_profile(size, width), "doc_id bigint, n bigint, f1 bigint, f2 bigint, s array<bigint>, sig binary"), "profiles")
+    profile = staged(texts.mapInArrow(_profile(size, width, kept), "doc_id bigint, n bigint, f1 bigint, f2 bigint, sketch binary, sig binary"), "profiles")
     named = profile.where("doc_id IS NOT NULL AND n > 0")
     # One representative of each set.
     first = staged(named.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep")), "representatives")
-    # Rows of one doc_id with other texts are linked through their common id.
-    heads = first.select(F.col("rep").alias("doc_id"), "f1", "f2")
-    alone = profile.join(heads, ["doc_id", "f1", "f2"], "left_semi").dropDuplicates(["doc_id", "f1", "f2"])
-    twice = 1 / threshold - 1
-    rows = staged(alone.select("doc_id", "n", "s", "sig").mapInArrow(_children(width, trees, twice, False), "node bigint, doc_id bigint, n bigint, s array<bigint>"), "nodes-1")
-    tokens = alone.select("doc_id", "sig")
-    need = _agreement(width, threshold)
-
-    def likely(a: str, b: str) -> Column:
-        bits = sum((F.bit_count(F.col(f"{a}.s")[k].bitwiseXOR(F.col(f"{b}.s")[k])) for k in range(width // 64)), F.lit(0))
-        ratio = F.least(f"{a}.n", f"{b}.n") >= F.lit(threshold) * F.greatest(f"{a}.n", f"{b}.n")
-        return ratio & (bits <= width - need)
-
-    links = label = None
-    for level in range(1, depth + 1):
-        # Stars: each document against the smallest of its node.
-        heads_of = rows.groupBy("node").agg(F.min(F.struct("doc_id", "n", "s")).alias("head"), F.count("*").alias("members")).where("members > 1")
-        met = rows.alias("x").join(heads_of.alias("h"), "node")
-        stars = met.select("node", "x.doc_id", "x.n", "x.s", "head", "members")
-        stars = staged(stars, f"stars-{level}")
-        near = stars.select(F.struct("doc_id", "n", "s").alias("b"), F.col("head").alias("a")).where("a.doc_id < b.doc_id").where(likely("a", "b"))
-        # The smallest likely head is enough here: other heads are met again below if components stay apart.
-        found = _confirmed(near.groupBy(F.col("b.doc_id").alias("b")).agg(F.min("a.doc_id").alias("a")), texts, size, threshold, f"star-{level}")
-        links = found if links is None else links.unionAll(found)
-        label = components(links, f"star-{level}")
-        # Nodes whose documents are still in several components.
-        seen = stars.select("node", "doc_id", "n", "s", "members").join(label, F.col("doc_id") == F.col("v"), "left").withColumn("c", F.coalesce("c", "doc_id")).drop("v")
-        apart = seen.groupBy("node").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("node")
-        seen = staged(seen.join(apart, "node", "left_semi"), f"apart-{level}")
-        last = level == depth
-        little = seen if last else seen.where(F.col("members") <= small)
-        found = _confirmed(_between(little, likely, small), texts, size, threshold, f"pairs-{level}")
-        links = staged(links.unionAll(found), f"links-{level}")
-        large = seen.where(F.col("members") > small)
-        if last or large.isEmpty():
-            break
-        grown = large.select("node", "doc_id", "n", "s").join(tokens, "doc_id")
-        rows = staged(grown.mapInArrow(_children(width, trees, twice, True), "node bigint, doc_id bigint, n bigint, s array<bigint>"), f"nodes-{level + 1}")
+    heads = first.select(F.col("rep").alias("doc_id"), "f1", "f2", "n")
+    alone = staged(named.join(heads.hint("merge"), ["doc_id", "f1", "f2", "n"], "left_semi").dropDuplicates(["doc_id", "f1", "f2", "n"]).select("doc_id", "n", "sketch", "sig"), "alone")
+    nodes = shared_nodes(alone.select("doc_id", "sig"), kept, threshold, trees, small, depth)
+    sketched = nodes.join(alone.select("doc_id", "n", "sketch").hint("merge"), "doc_id")
+    likely = _compared(sketched, "node", _likely_links(width, threshold), "likely")
+    coarse = components(likely, "coarse").select(F.col("v").alias("doc_id"), F.col("c").alias("grp"))
+    members = coarse.join(coarse.groupBy("grp").agg(F.count("*").alias("members")).hint("merge"), "grp").select("doc_id", "grp", "members")
+    # Only documents with a likely partner bring their sets.
+    sets = staged(texts.join(members.hint("merge"), "doc_id").mapInArrow(_sets(size), "doc_id bigint, grp bigint, members bigint, shingles array<bigint>"), "sets")
+    exact = _exact_links(threshold)
+    links = _compared(sets.where(F.col("members") <= small).select("grp", "doc_id", "shingles"), "grp", exact, "links-small")
+    large = sets.where(F.col("members") > small)
+    if not large.isEmpty():
+        links = links.unionAll(_compared(nodes.join(large.select("doc_id", "shingles").hint("merge"), "doc_id"), "node", exact, "links-large"))
     # Copies of a set follow their representative; the sets of one doc_id belong together.
-    copies = named.select("doc_id", "f1", "f2").distinct().join(first, ["f1", "f2"]).select("doc_id", "rep")
+    copies = named.select("doc_id", "f1", "f2", "n").distinct().join(first.hint("merge"), ["f1", "f2", "n"]).select("doc_id", "rep")
     owned = copies.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"))
     doubled = copies.join(owned.where("lo < hi"), "doc_id").where("rep <> lo").select(F.col("lo").alias("a"), F.col("rep").alias("b"))
     label = components(links.select("a", "b").unionAll(doubled), "links")
-    whole = owned.join(label.withColumnRenamed("v", "lo"), "lo", "left").select(F.col("doc_id").alias("v"), F.coalesce("c", "lo").alias("c"))
-    out = profile.select("doc_id", F.col("n").alias("n_shingles")).join(whole, F.col("doc_id") == F.col("v"), "left")
+    whole = owned.join(label.withColumnRenamed("v", "lo").hint("merge"), "lo", "left").select(F.col("doc_id").alias("v"), F.coalesce("c", "lo").alias("c"))
+    out = profile.select("doc_id", F.col("n").alias("n_shingles")).join(whole.hint("merge"), F.col("doc_id") == F.col("v"), "left")
     out = out.withColumn("component_id", F.coalesce("c", "doc_id"))
     return out.select(F.col("doc_id").cast(id_type).alias("doc_id"), "n_shingles", F.col("component_id").cast(id_type).alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
-
-
-def _between(rows: DataFrame, likely, block: int) -> DataFrame:
-    """Pairs of likely links between different components of a node. Large nodes are dealt into blocks, so that a task
-    holds pairs of blocks and not a node."""
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("members") / block)).cast("int")
-    dealt = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
-    left = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = left.select("node", F.col("block").alias("p"), F.col("other").alias("q"), F.struct("doc_id", "n", "s", "c").alias("a"))
-    right = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    right = right.select("node", F.col("other").alias("p"), F.col("block").alias("q"), F.struct("doc_id", "n", "s", "c").alias("b"))
-    pairs = left.join(right, ["node", "p", "q"]).where("a.doc_id < b.doc_id AND a.c <> b.c").where(likely("a", "b"))
-    return pairs.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).distinct()
-
-
-def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, threshold: float, name: str) -> DataFrame:
-    """The pairs (a, b) that full sets confirm, written to the shared folder."""
-    pairs = staged(pairs.select("a", "b"), f"candidates-{name}")
-    if pairs.isEmpty():
-        return pairs
-    asked = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = staged(texts.join(asked, "doc_id", "left_semi").mapInArrow(_sets(size), "doc_id bigint, shingles array<bigint>"), f"sets-{name}")
-    sa = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
-    sb = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-    both = pairs.join(sa, "a").join(sb, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
-    fits = both.where(F.col("common") * 100 >= (F.size("x") + F.size("y") - F.col("common")) * round(threshold * 100))
-    return staged(fits.select("a", "b"), f"confirmed-{name}")
-
-
-__all__ = ["components", "near_duplicates", "scratch_path", "shingle_sets", "signature"]
