@@ -97,7 +97,7 @@ def smallest_reachable(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(id, component): connected components by smallest labels with pointer jumping; state goes to the checkpoint folder
     where one is set."""
     both = edges.select("src", "dst").unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    keep = bool(edges.sparkSession.conf.get("spark.checkpoint.dir", None))
+    keep = edges.sparkSession.sparkContext.getCheckpointDir() is not None
     state = both.groupBy(F.col("src").alias("id")).agg(F.least(F.min("dst"), F.col("src")).alias("component"))
     for _ in range(rounds):
         near = both.join(state.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("component").alias("n"))

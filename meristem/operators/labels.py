@@ -38,7 +38,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, gamma: float = 0.7, steps: int
     s = edges.join(total, "src").select("src", "dst", F.try_divide(F.col(weight), F.col("total")).alias("s"))
     y = seeds.select("id", "label", F.lit(1.0).alias("f"))
     state = y
-    reliable = bool(edges.sparkSession.conf.get("spark.checkpoint.dir", None))
+    reliable = edges.sparkSession.sparkContext.getCheckpointDir() is not None
     for turn in range(steps):
         moved = s.join(state.withColumnRenamed("id", "dst"), "dst").groupBy("src", "label").agg((F.sum(F.col("s") * F.col("f")) * gamma).alias("f"))
         new = moved.select(F.col("src").alias("id"), "label", "f").unionAll(y).groupBy("id", "label").agg(F.sum("f").alias("f"))
