@@ -927,7 +927,7 @@ def graph_communities(spark, d):
 
 @query()
 def snn_clusters(spark, d):
-    return graphs.shared_neighbour_clusters(neighbors.shared_neighbours(edges(spark, d, 10).select("src", "dst")), 5, 3)
+    return graphs.shared_neighbour_clusters(neighbors.shared_neighbours(edges(spark, d, 10).select("src", "dst")), 4, 2)
 
 
 @query()
