@@ -18,10 +18,9 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._shared import row_blocks, staged, utf8_views
+from ._shared import bounded_batches, row_blocks, utf8_views
 from .ngrams import code_points, count_matrix, gram_ids, letters
 
 ORDERS = (1, 2, 3)
@@ -137,6 +136,7 @@ def fit_temperature(logits: np.ndarray, classes: np.ndarray) -> float:
 
 def train(documents: DataFrame, per_language: int = 800, most_languages: int = 200, bits: int = 14) -> LanguageModel:
     """Fit a model on ``documents`` (doc_id, text, lang); rows with a null among them teach nothing."""
+    bounded_batches(documents.sparkSession)
     known = documents.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
     tally = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
     languages = sorted(r["lang"] for r in tally)
@@ -151,13 +151,13 @@ def train(documents: DataFrame, per_language: int = 800, most_languages: int = 2
     model = LanguageModel(languages, bits, idf)
     if not languages:
         return model
-    # The sample is chosen on ids alone: its size is bounded by per_language x most_languages.
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.where(F.col("lang").isin(languages)).select("doc_id", "lang").withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= per_language)
-    sample = known.join(F.broadcast(staged(chosen.select("doc_id").distinct(), "language-sample")), "doc_id", "left_semi").where(F.col("lang").isin(languages))
+    # Chosen by hash, about ``per_language`` documents of each language at any size of the table.
+    share = {r["lang"]: min(1.0, per_language / r["count"]) for r in tally}
+    limits = F.create_map(*[F.lit(x) for lang, s in share.items() for x in (lang, int(s * (1 << 40)))])
+    sample = known.where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 40)) < F.coalesce(F.try_element_at(limits, F.col("lang")), F.lit(0)))
     rows, held, number = [], [], {x: k for k, x in enumerate(languages)}
     sparse = sample.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").mapInArrow(_sparse(bits), "doc_id bigint, lang string, features binary, counts binary")
-    got = sparse.collect()  # at most per_language x most_languages rows
+    got = sparse.collect()  # about per_language x most_languages rows at most
     for k, r in enumerate(sorted(got, key=lambda r: (r["doc_id"], r["lang"]))):
         i = np.frombuffer(r["features"], np.int32).astype(np.int64)
         v = np.log1p(np.frombuffer(r["counts"], np.int32)) * idf[i]
@@ -189,6 +189,7 @@ def _predict(model: LanguageModel, columns: list[str]):
 
 def predict(documents: DataFrame, model: LanguageModel) -> DataFrame:
     """``documents`` (text and any other columns) with ``__lang`` and ``__score``."""
+    bounded_batches(documents.sparkSession)
     documents = documents.withColumn("text", F.col("text").cast("string"))
     schema = documents.withColumns({"__lang": F.lit("").cast("string"), "__score": F.lit(0.0)}).schema
     return documents.mapInArrow(_predict(model, documents.columns), schema)
