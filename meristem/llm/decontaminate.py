@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import byte_class, hashed_words, row_blocks, utf8_views
+from ._shared import bounded_batches, byte_class, hashed_words, row_blocks, utf8_views
 from .fm_index import FMIndex
 
 _SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
@@ -172,10 +172,21 @@ def _pass(windows: WindowSet, last: bool, shard_bytes: int, sample: int, carried
         return pa.RecordBatch.from_pydict(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
         for batch in batches:
             _, offsets = utf8_views(batch.column("__text"))
             for i, j in row_blocks(offsets, shard_bytes):
-                yield shard(batch.slice(i, j - i))
+                part = int(offsets[j] - offsets[i])
+                if held and size + part > shard_bytes:
+                    yield shard(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+                    held, size = [], 0
+                held.append(batch.slice(i, j - i))
+                size += part
+        if size or held:
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()
+            if whole:
+                yield shard(whole[0])
 
     return run
 
@@ -183,6 +194,7 @@ def _pass(windows: WindowSet, last: bool, shard_bytes: int, sample: int, carried
 def marked(documents: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = 8 << 20, shard_bytes: int = 16 << 20, sample: int = 8) -> DataFrame:
     """``documents`` (text and any other columns) with ``__n_words``, ``__n_hit``, ``__spans`` (code points, end exclusive),
     ``__word_spans`` and ``__item_ids``."""
+    bounded_batches(documents.sparkSession)
     asked = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL AND text <> ''")
     total = asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-int(total) // block_bytes))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import staged, utf8_views
+from ._shared import bounded_batches, staged, utf8_views
 
 _STRIP = b" \t\n\x0b\x0c\r"
 
@@ -161,6 +161,7 @@ def dedup_lines(documents: DataFrame, least: int = 10, batches: int = 4, fanout:
     """``documents`` (doc_id, text and any other columns) with duplicated lines removed from ``text``, and the columns
     ``__n_lines`` (before) and ``__n_dropped``."""
     spark = documents.sparkSession
+    bounded_batches(spark)
     known = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     shares = [k / batches for k in range(1, batches)]
     bounds = known.agg(F.percentile_approx("doc_id", shares, 10_000)).first()[0] if shares else []
@@ -174,7 +175,7 @@ def dedup_lines(documents: DataFrame, least: int = 10, batches: int = 4, fanout:
         owned = staged(owned.withColumnRenamed("doc_id", "__owner"), "line-owners")
     finally:
         store.drop()
-    joined = documents.join(owned, F.col("doc_id").cast("long") == F.col("__owner"), "left").drop("__owner")
+    joined = documents.join(owned.hint("merge"), F.col("doc_id").cast("long") == F.col("__owner"), "left").drop("__owner")
     columns = documents.columns
     schema = documents.withColumns({"text": F.col("text").cast("string"), "__n_lines": F.lit(0).cast("long"), "__n_dropped": F.lit(0).cast("long")}).schema
     return joined.mapInArrow(_apply(least, columns), schema)
