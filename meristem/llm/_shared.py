@@ -28,6 +28,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if not base:
         base = tempfile.mkdtemp(prefix="meristem-")
         spark.conf.set("spark.checkpoint.dir", base)
+        spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/meristem/{name}-{uuid.uuid4().hex}"
 
 

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import bounded_batches
+
 # Element ids of the public EBML and Matroska specifications.
 EBML, EBML_VERSION, EBML_READ_VERSION, EBML_MAX_ID, EBML_MAX_SIZE = 0x1A45DFA3, 0x4286, 0x42F7, 0x42F2, 0x42F3
 DOC_TYPE, DOC_TYPE_VERSION, DOC_TYPE_READ_VERSION = 0x4282, 0x4287, 0x4285
@@ -289,6 +291,7 @@ def _store(columns: list[str]):
 
 def store(rows: DataFrame, payload: str) -> DataFrame:
     """``rows`` with ``__n_bytes`` and ``__media``, a Matroska file that holds the string or binary column ``payload``."""
+    bounded_batches(rows.sparkSession)
     schema = rows.withColumns({"__n_bytes": F.lit(0).cast("long"), "__media": F.lit(None).cast("binary")}).schema
     return rows.withColumn("__payload", F.col(payload).cast("binary")).mapInArrow(_store(rows.columns), schema)
 

@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import bounded_batches
+
 BLOCK = 64
 
 
@@ -192,6 +194,7 @@ def _apply(path: str | None, columns: list[str]):
 def edited_counts(documents: DataFrame, edits: Column, keys: list[str], tokenizer_path: str | None = None) -> DataFrame:
     """``keys`` of ``documents`` (text ...) with n_pieces, tokens_before, tokens_after, n_encoded (pre-tokens encoded for the
     edits) and text_after. ``edits``: an array column of structs (start, length, insert)."""
+    bounded_batches(documents.sparkSession)
     kind = "array<struct<start:bigint,length:bigint,insert:string>>"
     names = {"n_pieces": "bigint", "tokens_before": "bigint", "tokens_after": "bigint", "n_encoded": "bigint", "text_after": "string"}
     schema = documents.select(*keys).withColumns({c: F.lit(None).cast(t) for c, t in names.items()}).schema
