@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import byte_class, hashed_words, row_blocks, staged, utf8_views
+from ._shared import bounded_batches, byte_class, hashed_words, row_blocks, staged, utf8_views
 from .ngrams import code_points, count_matrix, gram_ids
 
 ORDERS = (1, 2, 3)
@@ -143,13 +143,15 @@ def fit_logistic(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]
 
 def train(documents: DataFrame, labels: DataFrame, most: int = 4000, bits: int = 15, smoothing: float = 1.0, blend: float = 0.25, cost: float = 1.0) -> QualityModel:
     """Fit on ``documents`` (doc_id, text) and ``labels`` (doc_id, label 0/1)."""
+    bounded_batches(documents.sparkSession)
     dims = 1 << bits
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label")).where("doc_id IS NOT NULL AND label IN (0, 1)")
     share = most / max(1, known.count())
     # Chosen by hash: about ``most`` documents at any size of the table.
     known = known.withColumn("sampled", F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 40)) < int(min(1.0, share) * (1 << 40)))
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    evidence = staged(texts.join(known, "doc_id").mapInArrow(_evidence(bits), "doc_id bigint, label int, features binary, feature int, n0 bigint, n1 bigint"), "quality-evidence")
+    # Labels grow with the corpus: they are merged, never broadcast.
+    evidence = staged(texts.join(known.hint("merge"), "doc_id").mapInArrow(_evidence(bits), "doc_id bigint, label int, features binary, feature int, n0 bigint, n1 bigint"), "quality-evidence")
     counts, size = np.zeros((2, dims)), np.zeros(2)
     for r in evidence.where("feature IS NOT NULL").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).collect():
         if r["feature"] >= 0:
