@@ -73,8 +73,9 @@ def dual_pca(x: DataFrame, y: DataFrame, k: int, column: str = "vec") -> tuple[n
 
 def kmeans(rows: DataFrame, k: int, column: str = "vec", seed: int = 7, rounds: int = 20) -> tuple[DataFrame, np.ndarray]:
     """(rows with ``cluster``, centres): Lloyd rounds whose sums are aggregated per task; starting centres are the first of a hash order."""
-    start = rows.select(column).where(F.col(column).isNotNull()).orderBy(F.xxhash64(F.lit(seed), column)).limit(4 * k).toArrow()
+    start = rows.select(column).where(F.col(column).isNotNull()).orderBy(F.xxhash64(F.lit(seed), column)).limit(64 * k).toArrow()
     pool = _matrix(start.column(0))
+    pool = pool[np.sort(np.unique(pool, axis=0, return_index=True)[1])] if len(pool) else pool
     centres = pool[:1]
     while len(centres) < min(k, len(pool)):
         far = ((pool[:, None, :] - centres[None]) ** 2).sum(axis=2).min(axis=1)
