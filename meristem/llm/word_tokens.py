@@ -2,19 +2,23 @@
 
 The tokenizer lower-cases, drops white space and encodes each pre-token alone, so a text's ids are its pre-tokens' ids in
 order. A worker keeps a bounded cache from pre-token to ids and runs the vocabulary's merges only for unseen ones. Texts
-with code points outside printable ASCII and Latin letters, for which Unicode tables of libraries may differ, go through
-the tokenizer whole.
+with code points outside printable ASCII and Latin letters, for which Unicode tables of libraries may differ, or capitals
+whose lower case lies outside them, and texts that spell an added token go through the tokenizer whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
 
 import numpy as np
 
-_UNSURE = re.compile("[^\\t\\n\\r\\x20-\\x7e\\xa1-ɏ]")
+_PLAIN = {"\t", "\n", "\r", *map(chr, range(0x20, 0x7F)), *map(chr, range(0xA1, 0x250))}
+
+#: A code point that is not plain itself or in lower case.
+_UNSURE = re.compile(f"[^{''.join(re.escape(c) for c in sorted(_PLAIN) if set(c.lower()) <= _PLAIN)}]")
 
 
 def _listed(kind: str) -> str:
@@ -53,7 +57,10 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # Added tokens are matched before pre-tokenisation, which the cache does not see.
+        added = [(t["content"], t["normalized"]) for t in json.loads(self.tokenizer.to_str()).get("added_tokens") or []]
+        self.raw = [content for content, normalized in added if not normalized]
+        self.lowered = [content.lower() for content, normalized in added if normalized]
         self.ids = _Cache(self.tokenizer.model, cache_words).__getitem__
 
     def whole(self, text: str) -> bytes:
@@ -61,6 +68,7 @@ class WordTokenizer:
 
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids."""
-        if _UNSURE.search(text):
+        low = text.lower()
+        if any(c in text for c in self.raw) or any(c in low for c in self.lowered) or _UNSURE.search(text):
             return self.whole(text)
-        return b"".join(map(self.ids, PRE_TOKEN.findall(text.lower())))
+        return b"".join(map(self.ids, PRE_TOKEN.findall(low)))

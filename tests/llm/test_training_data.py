@@ -199,6 +199,17 @@ def test_pack(spark):
     assert packing.pack(docs(spark, []), capacity=256).isEmpty()
 
 
+@pytest.mark.parametrize("text", ["end <|endoftext|> start", "<|startoftext|>x", "\u4e2d <|endoftext|>", "<|ENDOFTEXT|> a", *(f"a{chr(i)}b" for i in (0x130, 0x181, 0x186, 0x18F, 0x190, 0x193, 0x23A, 0x24E))])
+def test_pack_ids_of_added_tokens_and_capitals(spark, text):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    ids = np.array([*t.encode(text, add_special_tokens=False).ids, 2], "<u4")
+    (row,) = packing.pack(docs(spark, [text]), capacity=256).collect()
+    assert (row["length"], row["ids_crc32"]) == (len(ids), zlib.crc32(ids.tobytes()))
+
+
 def test_histogram_patterns_hold_every_piece():
     rng = np.random.default_rng(2)
     for _ in range(30):
