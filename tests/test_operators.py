@@ -55,6 +55,13 @@ def test_ransac_survives_outliers(spark):
     assert np.allclose(m[:2, 2], [2, -1], atol=1e-6) and n >= 37
 
 
+def test_ransac_counts_every_pair(spark):
+    p = spark.range(70_000).select("id", (F.col("id") % 331).cast("double").alias("x"), (F.col("id") % 577).cast("double").alias("y"))
+    pairs = p.select("x", "y", (F.col("x") + 2).alias("u"), F.when(F.col("id") % 7 == 0, -F.col("y") - 5).otherwise(F.col("y") - 1).alias("v"))
+    m, n = register.ransac(pairs, ("x", "y"), ("u", "v"), 0.01, trials=60)
+    assert np.allclose(m, [[1, 0, 2], [0, 1, -1], [0, 0, 1]], atol=1e-6) and n == 60_000
+
+
 def test_sinkhorn_marginals(spark):
     c = spark.range(4).select(F.col("id").alias("a")).crossJoin(spark.range(5).select(F.col("id").alias("b"))).withColumn("cost", (F.col("a") - F.col("b")) ** 2 / 10.0)
     plan = register.sinkhorn(c, 0.5, 30)
