@@ -898,6 +898,12 @@ def common_genes(spark, d):
     return graphs.common_members(e.select(F.col("gene").alias("member")), 10, 0.3)
 
 
+@query("SELECT l_partkey AS member, count(*) AS n FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) GROUP BY l_partkey HAVING count(*) >= 0.3 * (SELECT count(DISTINCT l_suppkey) FROM lineitem)")
+def common_genes_all(spark, d):
+    """``common_genes`` over every cell."""
+    return graphs.common_members(expr(spark, d).select(F.col("gene").alias("member")), n_cells(spark, d), 0.3)
+
+
 @query(f"WITH {_EMB}, {_nn()}, m AS (SELECT src, min(dist) AS d FROM nn GROUP BY src), q AS (SELECT quantile_cont(d, 0.05) AS lo, quantile_cont(d, 0.95) AS hi FROM m) SELECT round(avg(d), 6) AS mean, count(*) AS n FROM m, q WHERE d >= lo AND d <= hi")
 def nearest_distance(spark, d):
     return rounded(graphs.nearest_distance(edges(spark, d)), "mean")
