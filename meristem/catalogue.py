@@ -173,6 +173,29 @@ def swnn_score(spark, d):
     return rounded(neighbors.matched_score(qr, rq, rr, qq, 6, 20, 12), "score")
 
 
+_SWNN_ALL_SQL = f"""
+WITH {_EMB},
+qr AS (SELECT q.id AS src, r.id AS dst, row_number() OVER (PARTITION BY q.id ORDER BY list_distance(q.vec, r.vec), r.id) AS rank FROM emb q JOIN emb r ON q.grp = r.grp + 1 QUALIFY rank <= 20),
+rq AS (SELECT r.id AS src, q.id AS dst, row_number() OVER (PARTITION BY r.id ORDER BY list_distance(q.vec, r.vec), q.id) AS rank FROM emb q JOIN emb r ON q.grp = r.grp + 1 QUALIFY rank <= 20),
+near AS (SELECT a.id AS src, b.id AS dst FROM emb a JOIN emb b ON a.grp = b.grp QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY list_distance([a.x, a.y], [b.x, b.y]), b.id) <= 12),
+pairs AS (SELECT qr.src AS q, qr.dst AS r FROM qr JOIN rq ON rq.src = qr.dst AND rq.dst = qr.src WHERE qr.rank <= 6 AND rq.rank <= 6),
+a AS (SELECT qr.src AS q, near.dst AS r, count(*) AS a FROM qr JOIN near ON near.src = qr.dst GROUP BY ALL),
+b AS (SELECT rq.src AS r, near.dst AS q, count(*) AS b FROM rq JOIN near ON near.src = rq.dst GROUP BY ALL)
+SELECT emb.grp AS pair, p.r, p.q, round(sqrt(sqrt(a.a * b.b) / 12.0), 6) AS score FROM pairs p JOIN a USING (q, r) JOIN b USING (q, r) JOIN emb ON emb.id = p.r
+"""
+
+
+@query(_SWNN_ALL_SQL)
+def swnn_score_all(spark, d):
+    """``swnn_score`` of every consecutive slice pair; ``pair`` is the reference's slice."""
+    p = points(spark, d)
+    back = p.withColumn("grp", -F.col("grp"))
+    rq, qr = neighbors.knn(p, k=20, scope="next", exclude_self=False), neighbors.knn(back, k=20, scope="next", exclude_self=False)
+    near = neighbors.knn(p.select("id", "grp", F.array("x", "y").alias("vec")), k=12, scope="within", exclude_self=False)
+    out = rounded(neighbors.matched_score(qr, rq, near, near, 6, 20, 12), "score")
+    return out.join(p.select(F.col("id").alias("r"), F.col("grp").alias("pair")), "r").select("pair", "r", "q", "score")
+
+
 @query(f"WITH {_EMB}, {_nn()} SELECT src, dst, round(list_cosine_similarity(a.vec, b.vec), 6) + 0.0 AS cosine FROM nn JOIN emb a ON src = a.id JOIN emb b ON dst = b.id")
 def cosine_pairs(spark, d):
     return _pairs(spark, d, "cosine", vectors.cosine)
@@ -382,6 +405,12 @@ def sigma_square(spark, d):
     return spark.createDataFrame([(round(geometry.mean_square_distance(p.where("grp = 0"), p.where("grp = 1")), 8),)], "sigma2 double")
 
 
+@query(f"WITH {_EMB} SELECT a.grp AS pair, round(avg((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 8) AS sigma2 FROM emb a JOIN emb b ON b.grp = a.grp + 1 GROUP BY a.grp")
+def sigma_square_all(spark, d):
+    """``sigma_square`` of every consecutive slice pair; ``pair`` is the first slice."""
+    return geometry.next_square_distances(points(spark, d)).select(F.col("grp").alias("pair"), F.round("sigma2", 8).alias("sigma2"))
+
+
 @query(f"WITH {_EMB} SELECT id, round(sqrt(list_inner_product(vec, vec)), 6) AS length FROM emb")
 def vector_norms(spark, d):
     return rounded(points(spark, d).select("id", vectors.norm(F.col("vec")).alias("length")), "length")

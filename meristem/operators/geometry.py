@@ -150,3 +150,12 @@ def mean_square_distance(a: DataFrame, b: DataFrame, axes: tuple[str, ...] = ("x
     x, y = row(a), row(b)
     cross = sum(x[f"s_{c}"] * y[f"s_{c}"] for c in axes)
     return x["q"] / x["n"] + y["q"] / y["n"] - 2 * cross / (x["n"] * y["n"])
+
+
+def next_square_distances(points: DataFrame, axes: tuple[str, ...] = ("x", "y")) -> DataFrame:
+    """(grp, sigma2): mean squared distance over all cross pairs of each group and the next, from sums alone."""
+    square = sum((F.col(c) * F.col(c) for c in axes), F.lit(0.0))
+    own = points.groupBy("grp").agg(F.avg(square).alias("q"), *[F.avg(c).alias(f"m_{c}") for c in axes])
+    after = own.select((F.col("grp") - 1).alias("grp"), F.col("q").alias("q2"), *[F.col(f"m_{c}").alias(f"n_{c}") for c in axes])
+    cross = sum((F.col(f"m_{c}") * F.col(f"n_{c}") for c in axes), F.lit(0.0))
+    return own.join(after, "grp").select("grp", (F.col("q") + F.col("q2") - 2 * cross).alias("sigma2"))
