@@ -459,9 +459,7 @@ def ransac_fit(spark, d):
 
 @query()
 def sinkhorn_plan(spark, d):
-    p = points(spark, d).select("id", "grp", F.array("x", "y").alias("vec"))
-    near = neighbors.knn(p.where("grp = 0"), p.where("grp = 1"), 50, exclude_self=False)
-    return rounded(register.sinkhorn(near.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("dist").alias("cost"))), "plan")
+    return rounded(register.sinkhorn_slices(points(spark, d)), "plan")
 
 
 # Counts ---------------------------------------------------------------------------------------------------------------

@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from meristem import catalogue
 
@@ -47,3 +48,9 @@ def test_common_genes_of_every_cell(spark, tmp_path):
 @pytest.mark.parametrize("name", ["swnn_score_all", "sigma_square_all"])
 def test_every_slice_pair(spark, small, name):
     assert {r.pair for r in catalogue.QUERIES[name](spark, small).select("pair").distinct().collect()} == {0, 1, 2}
+
+
+def test_sinkhorn_plan_has_every_cell(spark, small):
+    n = {r["g"]: r["n"] for r in spark.read.parquet(f"{small}/embeddings.parquet").selectExpr("vec_id % 4 AS g").groupBy("g").agg(F.count("*").alias("n")).collect()}
+    plan = catalogue.QUERIES["sinkhorn_plan"](spark, small)
+    assert {r["pair"]: r["n"] for r in plan.groupBy("pair").agg(F.count("*").alias("n")).collect()} == {g: n[g] * n[g + 1] for g in (0, 1, 2)}

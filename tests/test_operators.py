@@ -68,6 +68,22 @@ def test_sinkhorn_marginals(spark):
     assert plan.groupBy("b").agg(F.sum("plan").alias("s")).agg(F.max(F.abs(F.col("s") - 0.2))).first()[0] < 1e-6
 
 
+def test_sinkhorn_slices_plan_every_cell(spark):
+    rng = np.random.default_rng(5)
+    xy = [rng.normal(size=(n, 2)) * 0.3 for n in (60, 70, 55)]
+    p = spark.createDataFrame([(100 * g + i, g, float(a), float(b)) for g, x in enumerate(xy) for i, (a, b) in enumerate(x)], "id bigint, grp bigint, x double, y double")
+    got = {(r.pair, r.a, r.b): r.plan for r in register.sinkhorn_slices(p, 0.2, 25).collect()}
+    assert len(got) == 60 * 70 + 70 * 55
+    for g in (0, 1):
+        k = np.exp(-np.sqrt(((xy[g][:, None] - xy[g + 1][None]) ** 2).sum(-1)) / 0.2)
+        u = np.ones(len(k))
+        for _ in range(25):
+            v = 1 / k.shape[1] / (k.T @ u)
+            u = 1 / k.shape[0] / (k @ v)
+        want = u[:, None] * k * v
+        assert np.allclose([[got[(g, 100 * g + i, 100 * (g + 1) + j)] for j in range(k.shape[1])] for i in range(len(k))], want, atol=1e-9)
+
+
 def test_pca_and_ridge(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(200, 5)) @ rng.normal(size=(5, 5))
