@@ -22,14 +22,31 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir`` (a local temporary one only where the setting is unset, as in tests)."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names. Unset, a local session (tests) gets a temporary one; a cluster, whose
+    executors can't see such a folder, is refused."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="meristem-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/meristem/{name}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, so that any shared store works, and the path."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, removed when the driver ends at the latest."""
+    path = f"{shared_folder(spark)}/meristem/{name}-{uuid.uuid4().hex}"
+    system, found = _hadoop(spark, path)
+    system.deleteOnExit(found)
+    return path
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -41,10 +58,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
-    """Remove a scratch folder through Hadoop's file system, so any shared store works."""
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
+    """Remove a scratch folder."""
+    system, found = _hadoop(spark, path)
+    system.delete(found, True)
+
+
+def release(*frames: DataFrame | None) -> None:
+    """Remove the folders of staged frames that nothing reads any more."""
+    for df in frames:
+        if df is not None:
+            for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
+                if "/meristem/" in folder:
+                    drop_path(df.sparkSession, folder)
 
 
 def utf8_views(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
