@@ -5,17 +5,21 @@ is one shingle, its whole word sequence; no words: the empty set, linked with no
 intersection / union >= ``threshold``, confirmed on full sets.
 
 1. Equal sets collapse to their smallest doc_id. Each remaining document has ``width`` minwise values.
-2. Chosen-path trees over the first ``kept`` values. A node chooses tokens (minwise values at a position) by its own hash, one or two with expectation
-   1 / threshold, and a document goes to the child named by the chosen token's value. All documents of a node choose
-   alike, so a linked pair meets in at least one child on average at every level. Nodes of more than ``small``
-   documents split further; ``trees`` independent trees bring recall to its target: with 16, a pair at the threshold is
-   missed with probability 2e-12 where its nodes are small at level 1, and about 1e-4 where all had to be split four
-   times. A node that is still large at ``depth`` is dealt into pairs of blocks, which loses nothing.
-3. Small nodes are compared exhaustively on sketches (one bit of each minwise value, and the sets' sizes). A pair is likely
-   unless its sketches agree five standard deviations less than a pair at the threshold would. A node gives a
-   spanning set of its likely links, never all its pairs; their components are coarse groups that hold every link.
-4. Documents of coarse groups bring their full sets together: a small group in one task, a large one in the nodes of
-   step 2. There all intersections are counted exactly and links at the threshold give the final components.
+2. Chosen-path trees over the first ``kept`` values. A node chooses tokens (minwise values at a position) by its own hash, one
+   or two with expectation 1 / threshold, and a document goes to the child named by the chosen token's value. All documents
+   of a node choose alike, so a linked pair meets in at least one child on average at every level. ``trees`` independent trees
+   bring recall to its target.
+3. A node of at most ``small`` documents is compared exhaustively on sketches (one bit of each minwise value, and the sets'
+   sizes). A pair is likely unless its sketches agree five standard deviations less than a pair at the threshold would. What
+   likely pairs connect within a node is a bundle; bundles of the same documents count once.
+4. The documents of a bundle bring their full sets together in one task, where all intersections are counted exactly. Linked
+   documents contract to components. The first tree's bundles go first; of the other trees only those that still hold
+   two components are compared, as pairs within a component can't change the result.
+5. A node of more documents is dealt into blocks, each with the node's leader (one document) beside it, and blocks are compared
+   like small nodes: a large group of near copies contracts through its leaders. Where few of a large node's documents are
+   left outside its largest component, blocks of that component meet all of them, and the node is done. The others split into
+   children, level by level, until no node is both large and mixed: nothing is dropped, and rows grow by 1 / threshold a
+   level only for such nodes.
 
 Defined cases: null or empty text has the empty set; rows that share a doc_id and differ in text take part each and are
 reported each, as one document for components; a null doc_id is reported with a null component and kept as false; extra
@@ -28,10 +32,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import bounded_batches, byte_class, hashed_words, mix64, row_blocks, staged, utf8_views
+from ._shared import bounded_batches, byte_class, hashed_words, mix64, release, row_blocks, staged, utf8_views
 
 _rng = np.random.default_rng(7)
 _STEP = _rng.integers(1, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -120,7 +124,7 @@ def _sets(size: int):
 
 
 def _children(kept: int, trees: int, twice: float, deeper: bool):
-    """mapInArrow: the child nodes of each row; at the root, of each tree."""
+    """mapInArrow: the child nodes (node, doc_id, tree) of each row; at the root, of each tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,11 +133,11 @@ def _children(kept: int, trees: int, twice: float, deeper: bool):
             sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, kept)
             rows = np.arange(batch.num_rows)
             if deeper:
-                parent, row = batch.column("node").to_numpy().view(np.uint64), rows
+                parent, row, tree = batch.column("node").to_numpy().view(np.uint64), rows, batch.column("tree").to_numpy()
             else:
                 parent = np.tile(mix64(np.arange(1, trees + 1, dtype=np.uint64) * _STEP[3]), batch.num_rows)
-                row = np.repeat(rows, trees)
-            nodes, owners = [], []
+                row, tree = np.repeat(rows, trees), np.tile(np.arange(trees, dtype=np.int32), batch.num_rows)
+            nodes, owners, origins = [], [], []
             for branch in range(2):
                 h = mix64(parent + _STEP[4 + branch])
                 chosen = np.ones(len(row), bool) if branch == 0 else (h >> np.uint64(40)).astype(np.float64) < twice * (1 << 24)
@@ -141,32 +145,19 @@ def _children(kept: int, trees: int, twice: float, deeper: bool):
                 value = sig[row[chosen], position].astype(np.uint64)
                 nodes.append(mix64(mix64(parent[chosen] + _STEP[6] * (position.astype(np.uint64) + np.uint64(1))) + value * _STEP[7]))
                 owners.append(row[chosen])
-            yield pa.RecordBatch.from_pydict({"node": pa.array(np.concatenate(nodes).view(np.int64)), "doc_id": batch.column("doc_id").take(pa.array(np.concatenate(owners)))})
+                origins.append(tree[chosen])
+            out = {"node": pa.array(np.concatenate(nodes).view(np.int64)), "doc_id": batch.column("doc_id").take(pa.array(np.concatenate(owners)))}
+            yield pa.RecordBatch.from_pydict(out | {"tree": pa.array(np.concatenate(origins).astype(np.int32))})
 
     return run
 
 
-def shared_nodes(signatures: DataFrame, kept: int, threshold: float, trees: int, small: int, depth: int) -> DataFrame:
-    """(node, doc_id): nodes of 2 to ``small`` documents (up to twice that where blocks meet)."""
-    twice = 1 / threshold - 1
-    schema = "node bigint, doc_id bigint"
-    rows = staged(signatures.mapInArrow(_children(kept, trees, twice, False), schema), "nodes-1")
-    out = None
-    for level in range(1, depth + 1):
-        sizes = staged(rows.groupBy("node").agg(F.count("*").alias("members")).where("members > 1"), f"sizes-{level}")
-        fit = staged(rows.join(sizes.where(F.col("members") <= small).select("node").hint("merge"), "node", "left_semi"), f"small-{level}")
-        out = fit if out is None else out.unionAll(fit)
-        large = sizes.where(F.col("members") > small)
-        if large.isEmpty():
-            break
-        grown = rows.join(large.hint("merge"), "node")
-        if level < depth:
-            rows = staged(grown.join(signatures.hint("merge"), "doc_id").select("node", "doc_id", "sig").mapInArrow(_children(kept, trees, twice, True), schema), f"nodes-{level + 1}")
-        else:
-            blocks = F.ceil(2 * F.col("members") / small).cast("int")
-            dealt = grown.withColumn("p", F.pmod(F.xxhash64("doc_id"), blocks).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), blocks - 1))).where("p <> q")
-            out = out.unionAll(staged(dealt.select(F.xxhash64("node", F.least("p", "q"), F.greatest("p", "q")).alias("node"), "doc_id"), "blocks"))
-    return out
+def _dealt(rows: DataFrame, nodes: DataFrame, copied: DataFrame, n: Column) -> DataFrame:
+    """(node, doc_id, tree): nodes cut into ``n`` blocks: each of ``rows`` goes to one block of its node by hash, each of ``copied``
+    to every block. ``nodes`` has what ``n`` needs."""
+    own = rows.join(nodes.hint("merge"), "node").select(F.xxhash64("node", F.pmod(F.xxhash64("doc_id"), n.cast("long"))).alias("node"), "doc_id", "tree")
+    every = copied.join(nodes.hint("merge"), "node").select("node", F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)).alias("block"), "doc_id", "tree")
+    return own.unionAll(every.select(F.xxhash64("node", "block").alias("node"), "doc_id", "tree"))
 
 
 def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -182,18 +173,14 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return root
 
 
-def _by_group(key: str, links: Callable[[pa.Table, np.ndarray], tuple[np.ndarray, np.ndarray]]):
-    """mapInArrow over rows that are sorted by ``key`` and not split: calls ``links(rows, starts of groups)``, and gives a
-    spanning set (a, b) of the links between documents."""
+def _by_group(key: str, links: Callable[[pa.Table, np.ndarray], tuple[np.ndarray, np.ndarray]], result: Callable[[pa.Table, np.ndarray], dict[str, pa.Array]]):
+    """mapInArrow over rows that are sorted by ``key`` and not split: calls ``links(rows, starts of groups)`` and gives
+    ``result(rows, smallest row connected with each row)``."""
 
-    def spanning(rows: pa.Table) -> pa.RecordBatch:
+    def found(rows: pa.Table) -> pa.RecordBatch:
         own = rows.column(key).to_numpy()
-        starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-        i, j = links(rows, starts)
-        root = _roots(len(own), i, j)
-        moved = np.flatnonzero(root != np.arange(len(own)))
-        doc = rows.column("doc_id").to_numpy()
-        return pa.RecordBatch.from_pydict({"a": pa.array(doc[root[moved]]), "b": pa.array(doc[moved])})
+        i, j = links(rows, np.flatnonzero(np.append(True, own[1:] != own[:-1])))
+        return pa.RecordBatch.from_pydict(result(rows, _roots(len(own), i, j)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -205,23 +192,39 @@ def _by_group(key: str, links: Callable[[pa.Table, np.ndarray], tuple[np.ndarray
             own = rows.column(key).to_numpy()
             whole = int(np.flatnonzero(own != own[-1])[-1]) + 1 if own[0] != own[-1] else 0
             if whole:
-                yield spanning(rows.slice(0, whole))
+                yield found(rows.slice(0, whole))
             rest = rows.slice(whole)
         if rest is not None:
-            yield spanning(rest)
+            yield found(rest)
 
     return run
 
 
+def _spanning(rows: pa.Table, root: np.ndarray) -> dict[str, pa.Array]:
+    """A spanning set (a, b) of the links between documents."""
+    moved = np.flatnonzero(root != np.arange(len(root)))
+    doc = rows.column("doc_id").to_numpy()
+    return {"a": pa.array(doc[root[moved]]), "b": pa.array(doc[moved])}
+
+
+def _bundles(rows: pa.Table, root: np.ndarray) -> dict[str, pa.Array]:
+    """(bundle, doc_id, tree): connected rows of two documents or more, named by their documents alone."""
+    doc = rows.column("doc_id").to_numpy()
+    name = np.zeros(len(root), np.uint64)
+    np.add.at(name, root, mix64(doc.view(np.uint64) + _STEP[11]))
+    several = np.flatnonzero((np.bincount(root, minlength=len(root)) > 1)[root])
+    return {"bundle": pa.array(mix64(name)[root[several]].view(np.int64)), "doc_id": pa.array(doc[several]), "tree": pa.array(rows.column("tree").to_numpy()[several])}
+
+
 def _likely_links(width: int, threshold: float):
-    """Links of ``_by_group`` on sketches."""
+    """Links of ``_by_group`` on sketches, between different components."""
     p = (1 + threshold) / 2
     most = width - int(np.floor(width * p - 5 * np.sqrt(width * p * (1 - p))))
 
     def links(rows: pa.Table, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         total = rows.num_rows
         s = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(total, -1)
-        n = rows.column("n").to_numpy().astype(np.float64)
+        n, c = rows.column("n").to_numpy().astype(np.float64), rows.column("c").to_numpy()
         size = np.diff(np.append(starts, total))
         left, right = [], []
 
@@ -229,7 +232,7 @@ def _likely_links(width: int, threshold: float):
             apart = np.zeros(np.broadcast_shapes(a.shape, b.shape), np.int64)
             for k in range(s.shape[1]):
                 apart += np.bitwise_count(s[a, k] ^ s[b, k])
-            return (apart <= most) & (np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b]))
+            return (c[a] != c[b]) & (apart <= most) & (np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b]))
 
         few = np.repeat(size <= 24, size)
         group = np.repeat(np.arange(len(size)), size)
@@ -311,30 +314,144 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         while True:
             on = label.select(F.col("v").alias("c"), F.col("c").alias("d")).hint("merge")
             after = staged(label.join(on, "c").select("v", F.col("d").alias("c"), (F.col("d") != F.col("c")).alias("moved")), f"{name}-{turn}-{step}")
+            release(label)
             label, step = after.select("v", "c"), step + 1
             if after.where("moved").isEmpty():
                 break
-        if whole is None:
+        before = whole
+        if before is None:
             whole = label
         else:
             on = label.select(F.col("v").alias("c"), F.col("c").alias("d")).hint("merge")
-            whole = staged(whole.join(on, "c", "left").select("v", F.coalesce("d", "c").alias("c")), f"{name}-{turn}-whole")
+            whole = staged(before.join(on, "c", "left").select("v", F.coalesce("d", "c").alias("c")), f"{name}-{turn}-whole")
+            release(before)
         ca, cb = label.select(F.col("v").alias("a"), F.col("c").alias("ca")).hint("merge"), label.select(F.col("v").alias("b"), F.col("c").alias("cb")).hint("merge")
         met = edges.join(ca, "a").join(cb, "b").where("ca <> cb")
-        edges = staged(met.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct(), f"{name}-{turn}-edges")
+        left = staged(met.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct(), f"{name}-{turn}-edges")
+        release(edges, label if whole is not label else None)
+        edges = left
         if edges.isEmpty():
             return whole
         turn += 1
 
 
-def _compared(rows: DataFrame, key: str, links, name: str) -> DataFrame:
-    """Spanning links (a, b) of groups, written to the shared folder."""
+def _together(rows: DataFrame, key: str) -> DataFrame:
+    """Each group in one task, sorted."""
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(partitions, key).sortWithinPartitions(key, "doc_id")
-    return staged(dealt.mapInArrow(_by_group(key, links), "a bigint, b bigint").distinct(), name)
-
-
-def near_duplicates(documents: DataFrame, size: int = 5, threshold: float = 0.75, width: int = 256, kept: int = 64, trees: int = 16, small: int = 512, depth: int = 4) -> DataFrame:
+    return rows.repartition(partitions, key).sortWithinPartitions(key, "doc_id")
+
+
+class _Join:
+    """The state of one join: sketched documents, full sets, and the components that confirmed links have made so far."""
+
+    def __init__(self, alone: DataFrame, texts: DataFrame, size: int, threshold: float, width: int):
+        self.alone, self.texts, self.size, self.threshold, self.width = alone, texts, size, threshold, width
+        self.label: DataFrame | None = None  # (v, c), for documents with a link
+        self.sets: DataFrame | None = None
+        self.turn = 0
+
+    def stage(self, df: DataFrame, name: str) -> DataFrame:
+        return staged(df, f"near-{name}-{self.turn}")
+
+    def bundles(self, nodes: DataFrame) -> DataFrame:
+        """(bundle, doc_id, tree) of nodes (node, doc_id, tree) that fit a task."""
+        rows = _together(self.labelled(nodes.join(self.alone.select("doc_id", "n", "sketch").hint("merge"), "doc_id")), "node")
+        found = rows.mapInArrow(_by_group("node", _likely_links(self.width, self.threshold), _bundles), "bundle bigint, doc_id bigint, tree int")
+        return self.stage(found.groupBy("bundle", "doc_id").agg(F.min("tree").alias("tree")), "bundles")
+
+    def bring(self, documents: DataFrame) -> None:
+        """Full sets of documents (doc_id)."""
+        wanted = self.stage(documents.distinct(), "wanted")
+        if self.sets is not None:
+            wanted = wanted.join(self.sets.select("doc_id").distinct().hint("merge"), "doc_id", "left_anti")
+            if wanted.isEmpty():
+                return
+        new = self.stage(self.texts.join(wanted.hint("merge"), "doc_id").mapInArrow(_sets(self.size), "doc_id bigint, shingles array<bigint>"), "sets")
+        self.sets = new if self.sets is None else self.sets.unionAll(new)
+
+    def component(self) -> Column:
+        return F.coalesce("c", "doc_id")
+
+    def labelled(self, rows: DataFrame) -> DataFrame:
+        """Rows with their document's component as c."""
+        if self.label is None:
+            return rows.withColumn("c", F.col("doc_id"))
+        return rows.join(self.label.select(F.col("v").alias("doc_id"), "c").hint("merge"), "doc_id", "left").withColumn("c", self.component())
+
+    def mixed(self, rows: DataFrame, key: str) -> DataFrame:
+        """The groups of rows (key, doc_id) that hold two components: key, members, leader, tree."""
+        leader = F.min(F.struct(F.xxhash64("doc_id", F.lit(self.turn)), "doc_id"))["doc_id"].alias("leader")
+        sizes = self.labelled(rows).groupBy(key).agg(F.count("*").alias("members"), F.min("c").alias("lo"), F.max("c").alias("hi"), leader, F.min("tree").alias("tree"))
+        return self.stage(sizes.where("lo < hi").drop("lo", "hi"), "mixed")
+
+    def confirm(self, bundles: DataFrame) -> None:
+        """Links within the bundles that hold two components, and what they connect."""
+        self.turn += 1
+        groups = self.mixed(bundles, "bundle")
+        rows = bundles.select("bundle", "doc_id").join(groups.select("bundle").hint("merge"), "bundle", "left_semi").join(self.sets.hint("merge"), "doc_id")
+        found = _together(rows, "bundle").mapInArrow(_by_group("bundle", _exact_links(self.threshold), _spanning), "a bigint, b bigint").where("a <> b").distinct()
+        self.contract(self.stage(found, "links"))
+
+    def contract(self, links: DataFrame) -> None:
+        if links.isEmpty():
+            return
+        if self.label is not None:
+            links = links.unionAll(self.label.select(F.col("v").alias("a"), F.col("c").alias("b")))
+        before, self.label = self.label, components(links, f"near-components-{self.turn}")
+        release(before)
+
+    def led(self, rows: DataFrame, large: DataFrame, small: int) -> DataFrame:
+        """Blocks of large nodes, each with the node's leader."""
+        leaders = large.select("node", F.col("leader").alias("doc_id"), "tree")
+        others = rows.join(leaders.drop("tree").hint("merge"), ["node", "doc_id"], "left_anti")
+        return _dealt(others, large.select("node", "members"), leaders, F.ceil(2 * F.col("members") / small))
+
+    def against_main(self, rows: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
+        """Of large nodes that hold two components: blocks in which a node's largest component meets all its other documents,
+        where those are few; and the rows of the other nodes."""
+        labelled = self.stage(self.labelled(rows), "labelled")
+        counts = labelled.groupBy("node", "c").agg(F.count("*").alias("n"))
+        top = F.max(F.struct("n", "c"))
+        nodes = self.stage(counts.groupBy("node").agg(top["n"].alias("top"), top["c"].alias("main"), F.sum("n").alias("members")).where("members > top"), "mains")
+        few = F.col("members") - F.col("top") <= small // 2
+        own = labelled.join(nodes.where(few).hint("merge"), "node").select("node", "doc_id", "tree", (F.col("c") == F.col("main")).alias("of_main"))
+        met = _dealt(own.where("of_main"), nodes.where(few).select("node", "top"), own.where("NOT of_main"), F.ceil(2 * F.col("top") / small))
+        return met, labelled.drop("c").join(nodes.where(~few).select("node").hint("merge"), "node", "left_semi")
+
+
+def _linked(join: _Join, kept: int, trees: int, small: int) -> None:
+    """Runs the trees: afterwards ``join.label`` has the components of every link that met."""
+    twice = 1 / join.threshold - 1
+    schema = "node bigint, doc_id bigint, tree int"
+    signatures = join.alone.select("doc_id", "sig")
+
+    def by_size(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Of nodes with two components: the rows of small ones, the large ones, and their rows."""
+        nodes = join.mixed(rows, "node")
+        large = nodes.where(F.col("members") > small)
+        fit = rows.join(nodes.where(F.col("members") <= small).select("node").hint("merge"), "node", "left_semi")
+        return fit, large, join.stage(rows.join(large.select("node").hint("merge"), "node", "left_semi"), "large")
+
+    nodes = join.stage(signatures.mapInArrow(_children(kept, trees, twice, False), schema), "nodes")
+    fit, large, rows = by_size(nodes)
+    # Large nodes of the first tree show what their leaders are linked with, before any other large node is looked at.
+    bundles = join.bundles(fit.unionAll(join.led(rows.where("tree = 0"), large.where("tree = 0"), small)))
+    release(nodes)
+    join.bring(bundles.select("doc_id").unionAll(rows.select("doc_id")))
+    join.confirm(bundles.where("tree = 0"))
+    join.confirm(bundles.where("tree > 0"))
+    while not rows.isEmpty():
+        join.turn += 1
+        met, rows = join.against_main(rows, small)
+        join.confirm(join.bundles(met))
+        grown = rows.join(signatures.hint("merge"), "doc_id").select("node", "doc_id", "tree", "sig")
+        nodes = join.stage(grown.mapInArrow(_children(kept, trees, twice, True), schema), "nodes")
+        fit, large, rows = by_size(nodes)
+        join.confirm(join.bundles(fit.unionAll(join.led(rows, large, small))))
+        release(nodes)
+
+
+def near_duplicates(documents: DataFrame, size: int = 5, threshold: float = 0.75, width: int = 256, kept: int = 64, trees: int = 16, small: int = 2048) -> DataFrame:
     """A row per document row: doc_id, n_shingles, component_id, kept."""
     bounded_batches(documents.sparkSession)
     id_type = documents.schema["doc_id"].dataType
@@ -345,24 +462,18 @@ def near_duplicates(documents: DataFrame, size: int = 5, threshold: float = 0.75
     first = staged(named.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep")), "representatives")
     heads = first.select(F.col("rep").alias("doc_id"), "f1", "f2", "n")
     alone = staged(named.join(heads.hint("merge"), ["doc_id", "f1", "f2", "n"], "left_semi").dropDuplicates(["doc_id", "f1", "f2", "n"]).select("doc_id", "n", "sketch", "sig"), "alone")
-    nodes = shared_nodes(alone.select("doc_id", "sig"), kept, threshold, trees, small, depth)
-    sketched = nodes.join(alone.select("doc_id", "n", "sketch").hint("merge"), "doc_id")
-    likely = _compared(sketched, "node", _likely_links(width, threshold), "likely")
-    coarse = components(likely, "coarse").select(F.col("v").alias("doc_id"), F.col("c").alias("grp"))
-    members = coarse.join(coarse.groupBy("grp").agg(F.count("*").alias("members")).hint("merge"), "grp").select("doc_id", "grp", "members")
-    # Only documents with a likely partner bring their sets.
-    sets = staged(texts.join(members.hint("merge"), "doc_id").mapInArrow(_sets(size), "doc_id bigint, grp bigint, members bigint, shingles array<bigint>"), "sets")
-    exact = _exact_links(threshold)
-    links = _compared(sets.where(F.col("members") <= small).select("grp", "doc_id", "shingles"), "grp", exact, "links-small")
-    large = sets.where(F.col("members") > small)
-    if not large.isEmpty():
-        links = links.unionAll(_compared(nodes.join(large.select("doc_id", "shingles").hint("merge"), "doc_id"), "node", exact, "links-large"))
     # Copies of a set follow their representative; the sets of one doc_id belong together.
     copies = named.select("doc_id", "f1", "f2", "n").distinct().join(first.hint("merge"), ["f1", "f2", "n"]).select("doc_id", "rep")
-    owned = copies.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"))
-    doubled = copies.join(owned.where("lo < hi"), "doc_id").where("rep <> lo").select(F.col("lo").alias("a"), F.col("rep").alias("b"))
-    label = components(links.select("a", "b").unionAll(doubled), "links")
-    whole = owned.join(label.withColumnRenamed("v", "lo").hint("merge"), "lo", "left").select(F.col("doc_id").alias("v"), F.coalesce("c", "lo").alias("c"))
-    out = profile.select("doc_id", F.col("n").alias("n_shingles")).join(whole.hint("merge"), F.col("doc_id") == F.col("v"), "left")
+    owned = staged(copies.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")), "owned")
+    doubled = owned.where("lo < hi").select("doc_id", "lo")
+    join = _Join(alone, texts, size, threshold, width)
+    join.contract(copies.join(doubled.hint("merge"), "doc_id").where("rep <> lo").select(F.col("lo").alias("a"), F.col("rep").alias("b")))
+    _linked(join, kept, trees, small)
+    release(alone, join.sets)
+    whole = owned.withColumnRenamed("doc_id", "v").withColumn("c", F.col("lo"))
+    if join.label is not None:
+        label = join.label.select(F.col("v").alias("lo"), F.col("c").alias("found"))
+        whole = whole.join(label.hint("merge"), "lo", "left").withColumn("c", F.coalesce("found", "lo"))
+    out = profile.select("doc_id", F.col("n").alias("n_shingles")).join(whole.select("v", "c").hint("merge"), F.col("doc_id") == F.col("v"), "left")
     out = out.withColumn("component_id", F.coalesce("c", "doc_id"))
     return out.select(F.col("doc_id").cast(id_type).alias("doc_id"), "n_shingles", F.col("component_id").cast(id_type).alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
