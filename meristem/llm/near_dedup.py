@@ -282,14 +282,21 @@ def _exact_links(threshold: float):
                 if len(place):
                     place = np.cumsum(np.append(0, (place[1:] != place[:-1]).astype(np.int64)))
                 owner = owner[shared]
-                common = np.zeros((m, m))
                 wide = 2048
                 cuts = np.searchsorted(place, np.arange(0, (int(place[-1]) if len(place) else -1) + 1 + wide, wide))
-                for k, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
-                    held = np.zeros((m, wide), np.float32)
-                    held[owner[x:y], place[x:y] - k * wide] = 1
-                    common += held @ held.T
-            linked = np.triu(100 * common >= share * (n[:, None] + n[None, :] - common), 1)
+                for top in range(0, m, 1024):  # strips of rows bound the matrix of intersections
+                    common = np.zeros((min(1024, m - top), m), np.float32)
+                    for k, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+                        held = np.zeros((m, wide), np.float32)
+                        held[owner[x:y], place[x:y] - k * wide] = 1
+                        common += held[top : top + 1024] @ held.T
+                    # Counts are whole and far below 2**24, but 100 times them need not be.
+                    i, j = np.nonzero((100 + share) * common.astype(np.float64) >= share * (n[top : top + 1024, None] + n[None, :]))
+                    ahead = i + top < j
+                    left.append(i[ahead] + top + a)
+                    right.append(j[ahead] + a)
+                continue
+            linked = np.triu((100 + share) * common >= share * (n[:, None] + n[None, :]), 1)
             i, j = np.nonzero(linked)
             left.append(i + a)
             right.append(j + a)
@@ -299,14 +306,13 @@ def _exact_links(threshold: float):
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
-    """(v, c): the smallest vertex reachable from each vertex of ``links`` (a, b).
+    """(v, c): the smallest vertex reachable from each vertex of staged ``links`` (a, b).
 
     Rounds of contraction: each vertex points to its smallest neighbour if that is smaller, pointers are followed to their ends,
     and links between different ends are left for the next round. Every step is written to the shared folder; nothing is
     collected but whether something is left.
     """
-    edges = staged(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-edges")
-    whole, turn = None, 0
+    edges, whole, turn = links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), None, 0
     while True:
         both = edges.select(F.col("a").alias("v"), F.col("b").alias("u")).unionAll(edges.select(F.col("b").alias("v"), F.col("a").alias("u")))
         label = staged(both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("c")), f"{name}-{turn}")
@@ -328,7 +334,7 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         ca, cb = label.select(F.col("v").alias("a"), F.col("c").alias("ca")).hint("merge"), label.select(F.col("v").alias("b"), F.col("c").alias("cb")).hint("merge")
         met = edges.join(ca, "a").join(cb, "b").where("ca <> cb")
         left = staged(met.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct(), f"{name}-{turn}-edges")
-        release(edges, label if whole is not label else None)
+        release(edges if turn else None, label if whole is not label else None)
         edges = left
         if edges.isEmpty():
             return whole
@@ -361,13 +367,8 @@ class _Join:
 
     def bring(self, documents: DataFrame) -> None:
         """Full sets of documents (doc_id)."""
-        wanted = self.stage(documents.distinct(), "wanted")
-        if self.sets is not None:
-            wanted = wanted.join(self.sets.select("doc_id").distinct().hint("merge"), "doc_id", "left_anti")
-            if wanted.isEmpty():
-                return
-        new = self.stage(self.texts.join(wanted.hint("merge"), "doc_id").mapInArrow(_sets(self.size), "doc_id bigint, shingles array<bigint>"), "sets")
-        self.sets = new if self.sets is None else self.sets.unionAll(new)
+        wanted = self.texts.join(documents.hint("merge"), "doc_id", "left_semi")
+        self.sets = self.stage(wanted.mapInArrow(_sets(self.size), "doc_id bigint, shingles array<bigint>"), "sets")
 
     def component(self) -> Column:
         return F.coalesce("c", "doc_id")
@@ -443,15 +444,14 @@ def _linked(join: _Join, kept: int, trees: int, small: int) -> None:
     while not rows.isEmpty():
         join.turn += 1
         met, rows = join.against_main(rows, small)
-        join.confirm(join.bundles(met))
         grown = rows.join(signatures.hint("merge"), "doc_id").select("node", "doc_id", "tree", "sig")
         nodes = join.stage(grown.mapInArrow(_children(kept, trees, twice, True), schema), "nodes")
         fit, large, rows = by_size(nodes)
-        join.confirm(join.bundles(fit.unionAll(join.led(rows, large, small))))
+        join.confirm(join.bundles(met.unionAll(fit).unionAll(join.led(rows, large, small))))
         release(nodes)
 
 
-def near_duplicates(documents: DataFrame, size: int = 5, threshold: float = 0.75, width: int = 256, kept: int = 64, trees: int = 16, small: int = 2048) -> DataFrame:
+def near_duplicates(documents: DataFrame, size: int = 5, threshold: float = 0.75, width: int = 256, kept: int = 64, trees: int = 16, small: int = 4096) -> DataFrame:
     """A row per document row: doc_id, n_shingles, component_id, kept."""
     bounded_batches(documents.sparkSession)
     id_type = documents.schema["doc_id"].dataType
