@@ -1,14 +1,13 @@
 """Nearest-neighbour and radius joins.
 
-Vectors are ``array<double>``. ``knn`` is exact: workers hold a block of reference vectors and keep each query's k best with
-numpy. A reference set of at most ``block_bytes`` goes to the workers whole, after its size was counted; a larger one is
-dealt into blocks of that size, queries meet every block in turn, and partial results merge by a top-k window. ``radius`` is
-a grid join in two or three dimensions and never leaves the JVM.
+Vectors are ``array<double>``. ``knn`` is exact. References and queries are dealt by id into blocks of a counted size, each pair of
+blocks meets in one task, which keeps each query's k best with numpy, and partial results merge by a top-k window;
+nothing passes through the driver but two counts. ``radius`` is a grid join in two or three dimensions and never leaves the JVM.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import product
 
 import numpy as np
@@ -28,81 +27,91 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return values.reshape(n, -1) if n else np.zeros((0, 0))
 
 
-def _best(q: np.ndarray, ref: np.ndarray, ids: np.ndarray, allowed: np.ndarray | None, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query the ids and distances of its k best, by distance and id."""
-    out = []
+def _best(q: np.ndarray, ref: np.ndarray, ids: np.ndarray, allowed: Callable[[slice], np.ndarray], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each query the ids and distances of its k best, by distance and id.
+
+    Candidates are all references whose expanded distance is within its rounding error of the k-th; they are ordered by
+    exact distance, so ties at the k-th place are decided by id alone.
+    """
     square = np.einsum("ij,ij->i", ref, ref)
+    most = float(square.max(initial=0.0))
     for i in range(0, len(q), 256):
         part = q[i : i + 256]
-        d = square[None, :] - 2 * part @ ref.T + np.einsum("ij,ij->i", part, part)[:, None]
-        if allowed is not None:
-            d[~allowed[i : i + 256]] = np.inf
-        take = min(k + 16, d.shape[1])
-        near = np.argpartition(d, take - 1, axis=1)[:, :take] if take < d.shape[1] else np.broadcast_to(np.arange(d.shape[1]), d.shape)
-        for r, own in enumerate(near):
-            own = own[np.isfinite(d[r, own])]
+        own_square = np.einsum("ij,ij->i", part, part)
+        d = square[None, :] - 2 * part @ ref.T + own_square[:, None]
+        d[~allowed(slice(i, i + 256))] = np.inf
+        if k < d.shape[1]:
+            error = 1e-13 * (ref.shape[1] + 8) * (most + own_square)
+            cut = np.partition(d, k - 1, axis=1)[:, k - 1] + 2 * error
+        else:
+            cut = np.full(len(part), np.finfo(float).max)
+        for r in range(len(part)):
+            own = np.flatnonzero(d[r] <= min(cut[r], np.finfo(float).max))
             exact = np.sqrt(((ref[own] - part[r]) ** 2).sum(axis=1))
             order = np.lexsort((ids[own], exact))[:k]
-            out.append((ids[own][order], exact[order]))
-    return out
-
-
-def _search(ids: np.ndarray, ref: np.ndarray, groups: np.ndarray | None, k: int, exclude_self: bool, scope: str, steps: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            q = _matrix(batch.column("vec"))
-            qid = batch.column("id").to_numpy(zero_copy_only=False)
-            if not len(q) or not len(ref):
-                continue
-            own = batch.column("grp").to_numpy(zero_copy_only=False) if groups is not None else None
-            targets = [None] if scope in ("global", "within", "rest") else sorted(set(groups.tolist()))
-            columns: list[list] = [[], [], [], []]
-            for target in targets:
-                allowed = np.ones((len(q), len(ref)), bool)
-                if exclude_self:
-                    allowed &= qid[:, None] != ids[None, :]
-                if scope == "within":
-                    allowed &= own[:, None] == groups[None, :]
-                elif scope == "rest":
-                    allowed &= own[:, None] != groups[None, :]
-                elif target is not None:
-                    fits = own != target if scope == "each" else (own < target) & (target <= own + steps)
-                    allowed &= (groups == target)[None, :] & fits[:, None]
+            yield ids[own][order], exact[order]
+
+
+def _search(k: int, exclude_self: bool, scope: str, steps: int):
+    """Cogrouped blocks of queries and references to partial results."""
+    schema = pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("dist", pa.float64()), ("target", pa.int64())])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        columns: list[list] = [[], [], [], []]
+        if left.num_rows and right.num_rows:
+            q, ref = _matrix(left.column("vec")), _matrix(right.column("ref_vec"))
+            qid, ids = left.column("id").to_numpy(), right.column("ref_id").to_numpy()
+            own = left.column("grp").to_numpy() if scope != "global" else None
+            groups = right.column("ref_grp").to_numpy() if scope != "global" else None
+            for target in [None] if scope in ("global", "within", "rest") else np.unique(groups).tolist():
+
+                def allowed(at: slice, target=target) -> np.ndarray:
+                    out = qid[at, None] != ids[None, :] if exclude_self else np.ones((len(qid[at]), len(ids)), bool)
+                    if scope == "within":
+                        out &= own[at, None] == groups[None, :]
+                    elif scope == "rest":
+                        out &= own[at, None] != groups[None, :]
+                    elif target is not None:
+                        fits = own[at] != target if scope == "each" else (own[at] < target) & (target <= own[at] + steps)
+                        out &= (groups == target)[None, :] & fits[:, None]
+                    return out
+
                 for i, (near, dist) in enumerate(_best(q, ref, ids, allowed, k)):
                     columns[0] += [qid[i]] * len(near)
                     columns[1] += near.tolist()
                     columns[2] += dist.tolist()
                     columns[3] += [target] * len(near)
-            yield pa.RecordBatch.from_pydict({"src": pa.array(columns[0], pa.int64()), "dst": pa.array(columns[1], pa.int64()), "dist": pa.array(columns[2], pa.float64()), "target": pa.array(columns[3], pa.int64())})
+        return pa.Table.from_pydict(dict(zip(schema.names, columns, strict=True)), schema)
 
     return run
 
 
 def knn(
-    queries: DataFrame, refs: DataFrame | None = None, k: int = 5, exclude_self: bool | None = None, scope: str = "global", steps: int = 1, block_bytes: int = 64 << 20
+    queries: DataFrame, refs: DataFrame | None = None, k: int = 5, exclude_self: bool | None = None, scope: str = "global", steps: int = 1, block_bytes: int = 16 << 20, query_rows: int = 4096
 ) -> DataFrame:
     """(src, dst, dist, rank): the ``k`` nearest ``refs`` (default: the queries themselves) of each query.
 
     Inputs have ``id`` bigint, ``vec`` array<double> and, for any scope but global, ``grp`` bigint. Scopes: ``within`` a query's
     group, the ``rest``, ``each`` other group (k of each), the ``next`` ``steps`` groups (k of each); the last two also give
-    ``target``. Rows with a null id or vector are left out. Ties go to the smaller id.
+    ``target``. Rows with a null id or vector are left out. Ties go to the smaller id. A task holds one block of references (about
+    ``block_bytes``) and one of queries (about ``query_rows`` rows).
     """
     assert scope in SCOPES
     exclude_self = refs is None if exclude_self is None else exclude_self
     refs = queries if refs is None else refs
     columns = ["id", "vec"] + (["grp"] if scope != "global" else [])
-    usable = "id IS NOT NULL AND vec IS NOT NULL"
+    usable = "id IS NOT NULL AND vec IS NOT NULL" + (" AND grp IS NOT NULL" if scope != "global" else "")
     queries, refs = queries.select(*columns).where(usable), refs.select(*columns).where(usable)
     size = refs.agg(F.count("*"), F.max(F.size("vec"))).first()
     rows = max(1, block_bytes // (8 * max(1, size[1] or 1)))
-    blocks = max(1, -(-size[0] // rows))
-    schema = "src bigint, dst bigint, dist double, target bigint"
-    found = None
-    for b in range(blocks):
-        block = (refs if blocks == 1 else refs.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)).toArrow()
-        groups = block.column("grp").to_numpy() if scope != "global" else None
-        part = queries.mapInArrow(_search(block.column("id").to_numpy(), _matrix(block.column("vec")), groups, k, exclude_self, scope, steps), schema)
-        found = part if found is None else found.unionAll(part)
+    blocks, chunks = max(1, -(-size[0] // rows)), max(1, -(-queries.count() // query_rows))
+
+    def dealt(frame: DataFrame, n: int, m: int, prefix: str) -> DataFrame:
+        own = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(f"{prefix}own")
+        return frame.select(*[F.col(c).alias(prefix + c) for c in columns], own, F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(f"{prefix}met"))
+
+    left, right = dealt(queries, chunks, blocks, ""), dealt(refs, blocks, chunks, "ref_")
+    found = left.groupBy("own", "met").cogroup(right.groupBy("ref_met", "ref_own")).applyInArrow(_search(k, exclude_self, scope, steps), "src bigint, dst bigint, dist double, target bigint")
     keys = ["src", "target"] if scope in ("each", "next") else ["src"]
     ranked = found.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy("dist", "dst"))).where(F.col("rank") <= k)
     return ranked.select("src", "dst", "dist", "rank", *keys[1:])
@@ -136,10 +145,24 @@ def shared_neighbours(edges: DataFrame) -> DataFrame:
 
 
 def shortest(edges: DataFrame, share: float) -> DataFrame:
-    """The ``share`` of shortest edges, ties by (src, dst). A global rank without a single task: edges are counted below
-    their distance's range partition first."""
-    n = edges.count()
-    return edges.orderBy("dist", "src", "dst").limit(int(n * share))
+    """The ``share`` of shortest edges, ties by (src, dst). A global rank without a single task: edges are sorted in ranges, a
+    range's rows are counted, and an edge's rank is its place in its range plus the rows of the ranges before."""
+    order = ("dist", "src", "dst")
+    ranges = edges.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    dealt = edges.repartitionByRange(int(ranges), *order).sortWithinPartitions(*order)
+    # The lower 33 bits of the id are a row's place in its partition, the upper ones the partition.
+    placed = dealt.withColumn("__id", F.monotonically_increasing_id())
+    placed = placed.checkpoint() if edges.sparkSession.sparkContext.getCheckpointDir() else placed.persist()
+    part, place = F.shiftright("__id", 33), F.col("__id").bitwiseAND((1 << 33) - 1)
+    counts = sorted((r[0], r[1]) for r in placed.groupBy(part.alias("p")).count().collect())
+    take, left = {}, int(sum(n for _, n in counts) * share)
+    for p, n in counts:
+        take[p] = min(n, left)
+        left -= take[p]
+    limits = [F.lit(x) for p, n in take.items() if n for x in (p, n)]
+    if not limits:
+        return placed.where("false").drop("__id")
+    return placed.where(place < F.coalesce(F.try_element_at(F.create_map(*limits), part), F.lit(0))).drop("__id")
 
 
 def matched_score(qr: DataFrame, rq: DataFrame, rr: DataFrame, qq: DataFrame, m: int, f: int, s: int) -> DataFrame:

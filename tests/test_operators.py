@@ -23,6 +23,26 @@ def test_knn_blocks_agree(spark):
     assert all(one[(i, 1)][0] == int(d[i].argmin()) for i in range(60))
 
 
+def test_knn_ties_go_to_the_smaller_id(spark):
+    rng = np.random.default_rng(5)
+    vectors = np.vstack([np.ones((100, 8)) * 0.1, rng.normal(size=(60, 8)), rng.normal(size=(30, 8)).round(0)])
+    ids = rng.permutation(1000)[: len(vectors)]
+    p = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, vectors)], "id bigint, vec array<double>")
+    d = np.sqrt(((vectors[:, None] - vectors[None]) ** 2).sum(-1))
+    for parameters in ({}, {"block_bytes": 8 * 8 * 30, "query_rows": 40}):
+        got = {(r.src, r.rank): r.dst for r in neighbors.knn(p, k=5, exclude_self=False, **parameters).collect()}
+        for q in range(len(vectors)):
+            assert [got[(int(ids[q]), k + 1)] for k in range(5)] == ids[np.lexsort((ids, d[q]))[:5]].tolist()
+
+
+def test_shortest_is_a_global_rank(spark):
+    rows = [(k % 7, k, float(k % 5)) for k in range(200)]
+    e = spark.createDataFrame(rows, "src bigint, dst bigint, dist double")
+    got = {(r.src, r.dst, r.dist) for r in neighbors.shortest(e, 0.45).collect()}
+    assert got == set(sorted(rows, key=lambda r: (r[2], r[0], r[1]))[:90])
+    assert neighbors.shortest(e.where("false"), 0.5).count() == 0
+
+
 def test_knn_empty_and_nulls(spark):
     p, _ = cloud(spark, 5)
     assert neighbors.knn(p.where("id < 0"), k=3).count() == 0
