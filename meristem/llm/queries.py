@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import matroska, pii
+from . import matroska, pii, warc
 from .decontaminate import decontaminate
 from .language_id import fold, predict, train
 from .line_dedup import dedup_lines
@@ -16,7 +16,6 @@ from .packing import pack
 from .quality import score as score_quality
 from .quality import train as train_quality
 from .token_counts import edited_counts
-from .warc import FANOUT, audit
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,50 +58,63 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audit of a replica of ``pages`` with faults planted by id: a changed character, a lost tail, a lost record."""
-    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    flipped = F.concat(F.expr("left(html, length(html) div 2)"), F.lit("~"), F.expr("substring(html, length(html) div 2 + 2)"))
-    damaged = F.when(F.col("page_id") % 997 == 5, flipped).when(F.col("page_id") % 1009 == 7, F.expr("left(html, greatest(length(html) - 10, 0))")).otherwise(F.col("html"))
-    replica = pages.where("page_id IS NULL OR page_id % 1511 <> 3").withColumn("html", damaged)
-    return audit(pages, replica)
+    """Audit of a replica of the WARC store of ``pages`` whose bytes have faults planted by id: a changed character, a lost
+    tail, a lost record."""
+    store = warc.lay_out(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    text = F.decode("record", "UTF-8")
+    half = F.floor(F.length(text) / 2).cast("int")
+    flipped = F.concat(F.left(text, half), F.lit("~"), F.substring(text, half + 2, F.length(text)))
+    damaged = F.when(F.col("page_id") % 997 == 5, flipped).when(F.col("page_id") % 1009 == 7, F.left(text, F.greatest(F.length(text) - 10, F.lit(0)))).otherwise(text)
+    replica = store.where("page_id % 1511 <> 3").withColumn("record", F.encode(damaged, "UTF-8"))
+    return warc.audit(store, replica)
 
 
 _OP5_SQL = f"""
-WITH pages2 AS (
-    SELECT 0 AS side, page_id, url, html FROM pages WHERE page_id IS NOT NULL
-    UNION ALL
-    SELECT 1, page_id, url,
-           CASE WHEN page_id % 997 = 5 THEN left(html, length(html) // 2) || '~' || substring(html, length(html) // 2 + 2)
-                WHEN page_id % 1009 = 7 THEN left(html, greatest(length(html) - 10, 0)) ELSE html END
-    FROM pages WHERE page_id IS NOT NULL AND page_id % 1511 <> 3
-), rec AS (
-    SELECT side, page_id, page_id // {FANOUT * FANOUT} AS file, page_id % {FANOUT * FANOUT} AS slot,
+WITH stored AS (
+    SELECT page_id, page_id // {warc.FANOUT**2} AS file, page_id % {warc.FANOUT**2} AS slot,
            'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
            || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10)
            || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS r
-    FROM pages2
+    FROM pages WHERE page_id IS NOT NULL
+), rec AS (
+    SELECT 0 AS side, file, slot, r FROM stored
+    UNION ALL
+    SELECT 1, file, slot,
+           CASE WHEN page_id % 997 = 5 THEN left(r, length(r) // 2) || '~' || substring(r, length(r) // 2 + 2)
+                WHEN page_id % 1009 = 7 THEN left(r, greatest(length(r) - 10, 0)) ELSE r END
+    FROM stored WHERE page_id % 1511 <> 3
+), cut AS (
+    SELECT *, split_part(r, chr(13) || chr(10) || chr(13) || chr(10), 1) AS head FROM rec
 ), l0 AS (
-    SELECT side, file, slot, sha256(r) AS hash, strlen(r) AS n,
-           coalesce(sum(strlen(r)) OVER (PARTITION BY side, file ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off
-    FROM rec
+    SELECT side, file, slot, sha256(r) AS bytes_hash, strlen(r) AS n,
+           coalesce(sum(strlen(r)) OVER (PARTITION BY side, file ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off,
+           coalesce(head LIKE 'WARC/1.%' AND TRY_CAST(regexp_extract(head, 'Content-Length: ([0-9]+)', 1) AS BIGINT) = strlen(r) - strlen(head) - 8
+                    AND ends_with(r, chr(13) || chr(10) || chr(13) || chr(10)), false) AS whole
+    FROM cut
+), leaf AS (
+    SELECT *, sha256(slot || ':' || off || ':' || n || ':' || bytes_hash) AS hash FROM l0
 ), l1 AS (
-    SELECT side, file, slot // {FANOUT} AS node, sha256(string_agg(slot || ':' || hash, ',' ORDER BY slot)) AS hash FROM l0 GROUP BY ALL
+    SELECT side, file, slot // {warc.FANOUT} AS node, min(off) AS off, max(off + n) - min(off) AS n,
+           sha256(min(off) || '+' || (max(off + n) - min(off)) || '|' || string_agg(slot || ':' || hash, ',' ORDER BY slot)) AS hash
+    FROM leaf GROUP BY ALL
 ), l2 AS (
-    SELECT side, file, sha256(string_agg(node || ':' || hash, ',' ORDER BY node)) AS hash FROM l1 GROUP BY ALL
+    SELECT side, file, sha256(min(off) || '+' || (max(off + n) - min(off)) || '|' || string_agg(node || ':' || hash, ',' ORDER BY node)) AS hash FROM l1 GROUP BY ALL
 ), roots AS (
     SELECT file, max(hash) FILTER (WHERE side = 0) AS root, max(hash) FILTER (WHERE side = 1) AS replica_root FROM l2 GROUP BY file
 ), nodes AS (
     SELECT file, node FROM l1 GROUP BY file, node HAVING max(hash) FILTER (WHERE side = 0) IS DISTINCT FROM max(hash) FILTER (WHERE side = 1)
-), bad AS (
+), met AS (
     SELECT file, slot, coalesce(max(off) FILTER (WHERE side = 0), max(off)) AS off, coalesce(max(n) FILTER (WHERE side = 0), max(n)) AS n,
-           CASE WHEN count(*) FILTER (WHERE side = 1) = 0 THEN 'lost' WHEN count(*) FILTER (WHERE side = 0) = 0 THEN 'extra' ELSE 'changed' END AS state
-    FROM l0 GROUP BY file, slot HAVING max(hash) FILTER (WHERE side = 0) IS DISTINCT FROM max(hash) FILTER (WHERE side = 1)
+           CASE WHEN count(*) FILTER (WHERE side = 1) = 0 THEN 'lost' WHEN count(*) FILTER (WHERE side = 0) = 0 THEN 'extra'
+                WHEN min(bytes_hash) = max(bytes_hash) THEN 'moved' WHEN bool_and(whole) FILTER (WHERE side = 1) THEN 'changed' ELSE 'torn' END AS state
+    FROM leaf GROUP BY file, slot HAVING max(hash) FILTER (WHERE side = 0) IS DISTINCT FROM max(hash) FILTER (WHERE side = 1)
 )
-SELECT r.file, (SELECT count(*) FROM l0 WHERE l0.side = 0 AND l0.file = r.file)::BIGINT AS n_records, r.root, r.replica_root,
+SELECT r.file, (SELECT count(*) FROM leaf WHERE leaf.side = 0 AND leaf.file = r.file)::BIGINT AS n_records, r.root, r.replica_root,
        r.root IS NOT DISTINCT FROM r.replica_root AS matches,
        (SELECT count(*) FROM nodes n WHERE n.file = r.file)::BIGINT AS n_nodes,
-       (SELECT count(*) FROM bad b WHERE b.file = r.file)::BIGINT AS n_bad,
-       coalesce((SELECT string_agg(state || ':' || off || '+' || n, ',' ORDER BY off) FROM bad b WHERE b.file = r.file), '') AS bad
+       (SELECT count(*) FROM met m WHERE m.file = r.file AND state = 'moved')::BIGINT AS n_moved,
+       (SELECT count(*) FROM met m WHERE m.file = r.file AND state <> 'moved')::BIGINT AS n_bad,
+       coalesce((SELECT string_agg(state || ':' || off || '+' || n, ',' ORDER BY off) FROM met m WHERE m.file = r.file AND state <> 'moved'), '') AS bad
 FROM roots r
 """
 

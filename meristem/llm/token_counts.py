@@ -1,14 +1,18 @@
-"""Edit-aware token counts: a segment tree over each document's pre-tokens.
+"""Edit-aware token counts: a segment tree over each document's pre-tokens, kept in a table.
 
-``TokenTree`` keeps the pre-tokens' lengths and token counts in blocks and the blocks' sums in a segment tree. An edit
-re-splits the text from the first pre-token that it can change (the pattern looks at most two code points beyond what it takes,
-so from the one that ends one code point before the edit) until a new pre-token begins where an old one did beyond the edit; only these pre-tokens
-are encoded again, and only the sums above touched blocks are updated.
+``tree_table`` encodes every document once and stores its tree: the pre-tokens' lengths and token counts in blocks, and the
+segment tree of the blocks' sums. ``edited_trees`` takes stored trees and a batch of edits and gives the trees after them, which a
+later batch takes in turn; no document is split or encoded as a whole again. An edit re-splits the text from the first
+pre-token that it can change (the pattern looks at most two code points beyond what it takes, so from the one that ends one code
+point before the edit) until a new pre-token begins where an old one did beyond the edit; only these pre-tokens are encoded
+again. Touched blocks are cut anew into blocks of at most ``BLOCK`` pre-tokens; if their number stays, only the sums above them are
+updated, otherwise the sums are laid out anew from the blocks' sums.
 
 The pattern looks ahead but never behind, so a split from any pre-token's start equals the whole text's split there.
 
 Defined cases: a null text counts as empty; edits apply in order, each to the text that the one before it left; positions are
-code points, cut to the text; null edits are none; repeated rows each get a row; an empty table gives no rows.
+code points, cut to the text; null edits are none; repeated rows each get a row; an empty table gives no rows; key columns
+may have any name but those of the results.
 """
 
 from __future__ import annotations
@@ -21,32 +25,54 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import bounded_batches
+from ._shared import bounded_batches, staged
 
 BLOCK = 64
 
 
+def _chunks(values: list[int]) -> list[list[int]]:
+    return [values[i : i + BLOCK] for i in range(0, len(values), BLOCK)]
+
+
 class TokenTree:
     """Pre-token segment tree of one text."""
 
     def __init__(self, text: str, split: Callable, count: Callable[[str], int]):
-        self.text, self.split, self.count = text, split, count
         parts = split(text)
-        sizes, tokens = list(map(len, parts)), list(map(count, parts))
-        self.sizes = [sizes[i : i + BLOCK] for i in range(0, len(sizes), BLOCK)] or [[]]
-        self.tokens = [tokens[i : i + BLOCK] for i in range(0, len(tokens), BLOCK)] or [[]]
-        self.leaves = 1 << (len(self.sizes) - 1).bit_length()
-        self.chars = np.zeros(2 * self.leaves, np.int64)
-        self.sums = np.zeros(2 * self.leaves, np.int64)
-        n = len(self.sizes)
-        self.chars[self.leaves : self.leaves + n] = [sum(x) for x in self.sizes]
-        self.sums[self.leaves : self.leaves + n] = [sum(x) for x in self.tokens]
+        self.text, self.split, self.count, self.encoded = text, split, count, 0
+        self.sizes = _chunks(list(map(len, parts))) or [[]]
+        self.tokens = _chunks(list(map(count, parts))) or [[]]
+        self._lay_out([sum(x) for x in self.sizes], [sum(x) for x in self.tokens])
+
+    @classmethod
+    def stored(cls, row: dict, split: Callable, count: Callable[[str], int]) -> TokenTree:
+        """A tree as ``row`` keeps it."""
+        tree = cls.__new__(cls)
+        tree.text, tree.split, tree.count, tree.encoded = row["text"] or "", split, count, 0
+        ends = np.cumsum(np.frombuffer(row["blocks"], "<u4")).tolist()
+        starts = [0, *ends[:-1]]
+        sizes, tokens = (np.frombuffer(row[c], "<u4").tolist() for c in ("sizes", "counts"))
+        tree.sizes = [sizes[i:j] for i, j in zip(starts, ends, strict=True)]
+        tree.tokens = [tokens[i:j] for i, j in zip(starts, ends, strict=True)]
+        tree.chars, tree.sums = (np.frombuffer(row[c], "<i8").copy() for c in ("chars", "sums"))
+        tree.leaves = len(tree.sums) // 2
+        return tree
+
+    def row(self) -> dict:
+        flat = lambda blocks: np.array([x for own in blocks for x in own], "<u4").tobytes()
+        lengths = np.array([len(x) for x in self.sizes], "<u4").tobytes()
+        return {"text": self.text, "blocks": lengths, "sizes": flat(self.sizes), "counts": flat(self.tokens), "chars": self.chars.astype("<i8").tobytes(), "sums": self.sums.astype("<i8").tobytes()}
+
+    def _lay_out(self, chars: list[int], sums: list[int]) -> None:
+        """The segment tree above the blocks' sums."""
+        self.leaves = 1 << (len(chars) - 1).bit_length()
+        self.chars, self.sums = np.zeros(2 * self.leaves, np.int64), np.zeros(2 * self.leaves, np.int64)
+        self.chars[self.leaves : self.leaves + len(chars)], self.sums[self.leaves : self.leaves + len(chars)] = chars, sums
         level = self.leaves
         while level > 1:
             for tree in (self.chars, self.sums):
                 tree[level // 2 : level] = tree[level : 2 * level].reshape(-1, 2).sum(axis=1)
             level //= 2
-        self.encoded = 0
 
     @property
     def total(self) -> int:
@@ -117,17 +143,20 @@ class TokenTree:
         self.encoded += len(sizes)
         if not done:
             block, i = len(self.sizes), 0
-        keep_sizes, keep_tokens = self.sizes[first][:k] + sizes, self.tokens[first][:k] + tokens
-        if block == first:
-            keep_sizes += self.sizes[first][i:]
-            keep_tokens += self.tokens[first][i:]
-        elif block < len(self.sizes):
-            self.sizes[block], self.tokens[block] = self.sizes[block][i:], self.tokens[block][i:]
-        for b in range(first + 1, min(block, len(self.sizes))):
-            self.sizes[b], self.tokens[b] = [], []
-        self.sizes[first], self.tokens[first] = keep_sizes, keep_tokens
-        for b in range(first, min(block + 1, len(self.sizes))):
-            self._refresh(b)
+        keep_sizes, keep_tokens, last = self.sizes[first][:k] + sizes, self.tokens[first][:k] + tokens, min(block, len(self.sizes) - 1)
+        if block < len(self.sizes):
+            keep_sizes += self.sizes[block][i:]
+            keep_tokens += self.tokens[block][i:]
+        own = _chunks(keep_sizes) or ([[]] if last - first + 1 == len(self.sizes) else [])
+        blocks = len(self.sizes)
+        chars, sums = (tree[self.leaves : self.leaves + blocks].tolist() for tree in (self.chars, self.sums))
+        self.sizes[first : last + 1], self.tokens[first : last + 1] = own, _chunks(keep_tokens) or ([[]] if own else [])
+        if len(self.sizes) == blocks:
+            for b in range(first, last + 1):
+                self._refresh(b)
+        else:
+            chars[first : last + 1], sums[first : last + 1] = [sum(x) for x in own], [sum(x) for x in self.tokens[first : first + len(own)]]
+            self._lay_out(chars, sums)
 
 
 class _Split:
@@ -172,31 +201,63 @@ def counter(path: str | None = None) -> tuple[_Split, Callable[[str], int]]:
     return _LOADED[where]
 
 
-def _apply(path: str | None, columns: list[str]):
+#: A stored tree's columns: the text, the blocks' lengths, the pre-tokens' sizes and token counts, the two segment trees.
+TREE = {"text": "string", "blocks": "binary", "sizes": "binary", "counts": "binary", "chars": "binary", "sums": "binary"}
+_ARROW = {"string": pa.string(), "binary": pa.binary(), "bigint": pa.int64()}
+EDITS = "array<struct<start:bigint,length:bigint,insert:string>>"
+
+
+def _batch(batch: pa.RecordBatch, keys: list[str], names: dict[str, str], rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({c: batch.column(c) for c in keys} | {n: pa.array([r[n] for r in rows], _ARROW[t]) for n, t in names.items()})
+
+
+def _schema(frame: DataFrame, keys: list[str], names: dict[str, str]):
+    return frame.select(*keys).withColumns({c: F.lit(None).cast(t) for c, t in names.items()}).schema
+
+
+def tree_table(documents: DataFrame, keys: list[str], tokenizer_path: str | None = None) -> DataFrame:
+    """``keys`` of ``documents`` (text ...) with each text's tree (``TREE``), and n_pieces and n_tokens."""
+    bounded_batches(documents.sparkSession)
+    names = TREE | {"n_pieces": "bigint", "n_tokens": "bigint"}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, count = counter(tokenizer_path)
+        for batch in batches:
+            trees = [TokenTree(text or "", split, count) for text in batch.column("__text").to_pylist()]
+            yield _batch(batch, keys, names, [t.row() | {"n_pieces": t.pieces, "n_tokens": t.total} for t in trees])
+
+    return documents.select(*keys, F.col("text").cast("string").alias("__text")).mapInArrow(run, _schema(documents, keys, names))
+
+
+def edited_trees(trees: DataFrame, edits: Column | DataFrame, keys: list[str], tokenizer_path: str | None = None, keep: bool = True) -> DataFrame:
+    """Trees (``keys`` and ``TREE``) after a batch of edits: ``keys``, n_pieces and tokens_before, tokens_after, n_encoded (pre-tokens
+    encoded for the edits), text_after and, with ``keep``, the new trees. ``edits``: an array of structs (start, length, insert),
+    as a column of ``trees`` or as a table (``keys``, edits) that is joined."""
+    bounded_batches(trees.sparkSession)
+    names = {"n_pieces": "bigint", "tokens_before": "bigint", "tokens_after": "bigint", "n_encoded": "bigint", "text_after": "string"} | (TREE if keep else {})
+    if isinstance(edits, DataFrame):
+        rows = trees.join(edits.select(*keys, F.col("edits").cast(EDITS).alias("__edits")).hint("merge"), keys, "left").select(*keys, *TREE, "__edits")
+    else:
+        rows = trees.select(*keys, *TREE, edits.cast(EDITS).alias("__edits"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, count = counter(path)
+        split, count = counter(tokenizer_path)
         for batch in batches:
-            rows = []
-            for text, edits in zip(batch.column("__text").to_pylist(), batch.column("__edits").to_pylist(), strict=True):
-                tree = TokenTree(text or "", split, count)
-                before, pieces = tree.total, tree.pieces
-                for e in edits or ():
+            out = []
+            for row in batch.select([*TREE, "__edits"]).to_pylist():
+                tree = TokenTree.stored(row, split, count)
+                was = {"n_pieces": tree.pieces, "tokens_before": tree.total}
+                for e in row["__edits"] or ():
                     if e is not None:
                         tree.edit(e["start"] or 0, e["length"] or 0, e["insert"] or "")
-                rows.append((pieces, before, tree.total, tree.encoded, tree.text))
-            names = (("n_pieces", pa.int64()), ("tokens_before", pa.int64()), ("tokens_after", pa.int64()), ("n_encoded", pa.int64()), ("text_after", pa.string()))
-            out = {c: batch.column(c) for c in columns} | {n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(names)}
-            yield pa.RecordBatch.from_pydict(out)
+                out.append((tree.row() if keep else {}) | was | {"tokens_after": tree.total, "n_encoded": tree.encoded, "text_after": tree.text})
+            yield _batch(batch, keys, names, out)
 
-    return run
+    return rows.mapInArrow(run, _schema(trees, keys, names))
 
 
 def edited_counts(documents: DataFrame, edits: Column, keys: list[str], tokenizer_path: str | None = None) -> DataFrame:
-    """``keys`` of ``documents`` (text ...) with n_pieces, tokens_before, tokens_after, n_encoded (pre-tokens encoded for the
-    edits) and text_after. ``edits``: an array column of structs (start, length, insert)."""
-    bounded_batches(documents.sparkSession)
-    kind = "array<struct<start:bigint,length:bigint,insert:string>>"
-    names = {"n_pieces": "bigint", "tokens_before": "bigint", "tokens_after": "bigint", "n_encoded": "bigint", "text_after": "string"}
-    schema = documents.select(*keys).withColumns({c: F.lit(None).cast(t) for c, t in names.items()}).schema
-    rows = documents.select(*keys, F.col("text").cast("string").alias("__text"), edits.cast(kind).alias("__edits"))
-    return rows.mapInArrow(_apply(tokenizer_path, keys), schema)
+    """Counts before and after ``edits`` (a column of ``documents``) through a stored table of trees."""
+    kept = documents.select(*keys, "text", edits.cast(EDITS).alias("__kept_edits"))
+    trees = staged(tree_table(kept, [*keys, "__kept_edits"], tokenizer_path), "token-trees")
+    return edited_trees(trees, F.col("__kept_edits"), keys, tokenizer_path, keep=False)

@@ -301,19 +301,56 @@ def test_edited_counts(spark):
     for r in got.values():
         assert r["tokens_after"] == sum(map(count, split(r["text_after"])))
     assert got[0]["tokens_before"] == 0 and got[2]["n_encoded"] < 20
+    assert token_counts.edited_counts(df.where("false"), e, ["doc_id"]).isEmpty()
+
+
+def test_stored_trees_take_batch_after_batch(spark):
+    split, count = token_counts.counter()
+    texts = {0: None, 1: "", 2: prose(3, 2000), 3: prose(4, 30), 4: "same", 5: "same"}
+    rows = spark.createDataFrame([*texts.items(), (3, texts[3])], "doc_id bigint, text string").withColumn("blocks", F.lit("clash"))
+    trees = token_counts.tree_table(rows.drop("blocks"), ["doc_id"])
+    now = {i: t or "" for i, t in texts.items()}
+    for turn in range(3):
+        batch = spark.createDataFrame([(2, [(5, 3, " new words here"), (900, 700, "")]), (3, [(0, 0, "Start "), None]), (1, [(9, 9, "x y")]), (5, None)], f"doc_id bigint, edits {token_counts.EDITS}")
+        for i, edits in ((2, [(5, 3, " new words here"), (900, 700, "")]), (3, [(0, 0, "Start ")]), (1, [(9, 9, "x y")])):
+            for a, n, new in edits:
+                now[i] = now[i][: min(a, len(now[i]))] + new + now[i][min(a, len(now[i])) + n :]
+        done = token_counts.edited_trees(trees, batch, ["doc_id"])
+        got = done.collect()
+        assert len(got) == 7
+        for r in got:
+            assert r["text"] == r["text_after"] == now[r["doc_id"]] and r["tokens_after"] == sum(map(count, split(now[r["doc_id"]])))
+            assert r["n_encoded"] < 60 and np.frombuffer(r["sums"], "<i8")[1] == r["tokens_after"]
+        trees = spark.createDataFrame(done.select("doc_id", *token_counts.TREE).collect(), trees.select("doc_id", *token_counts.TREE).schema)
 
 
 # Fixity ---------------------------------------------------------------------------------------------------------------
 
 
 def test_audit_finds_every_fault(spark):
-    pages = spark.createDataFrame([(i, f"u{i}", f"<p>{i}</p>" * 3) for i in range(600)] + [(None, "x", "y"), (601, None, None)], "page_id bigint, url string, html string")
+    pages = spark.createDataFrame([(i, f"u{i}", f"<p>{i}</p>" * 3, "clash") for i in range(600)] + [(None, "x", "y", ""), (601, None, None, ""), (602, "u", "<é>" * 100_000, "")], "page_id bigint, url string, html string, slot string")
+    store = warc.lay_out(pages)
     damaged = pages.where("page_id IS NULL OR page_id <> 300").withColumn("html", F.when(F.col("page_id") == 5, "<p>X</p>").otherwise(F.col("html")))
-    damaged = damaged.unionAll(spark.createDataFrame([(700, "new", "n")], pages.schema))
-    got = {r["file"]: r for r in warc.audit(pages, damaged).collect()}
-    assert [got[f]["n_bad"] for f in (0, 1, 2)] == [1, 1, 1] and [got[f]["bad"].split(":")[0] for f in (0, 1, 2)] == ["changed", "lost", "extra"]
-    assert all(r["matches"] and r["n_bad"] == 0 for r in warc.audit(pages, pages).collect())
-    assert warc.audit(pages.where("false"), pages.where("false")).isEmpty()
+    copy = warc.lay_out(damaged.unionAll(spark.createDataFrame([(700, "new", "n", "")], pages.schema)))
+    copy = copy.withColumn("record", F.when(F.col("page_id") == 602, F.expr("substring(record, 1, 500)")).otherwise(F.col("record")))
+    got = {r["file"]: r for r in warc.audit(store, copy).collect()}
+    assert [[x.split(":")[0] for x in got[f]["bad"].split(",")] for f in (0, 1, 2)] == [["changed"], ["lost"], ["torn", "extra"]]
+    # A shorter or a lost record moves all that follow it in its file.
+    assert [(got[f]["n_records"], got[f]["n_moved"]) for f in (0, 1, 2)] == [(256, 250), (256, 211), (90, 0)]
+    at = {r["page_id"]: r["record"] for r in store.where("page_id < 4").collect()}
+    offset, length = (sum(len(at[i]) for i in range(3)), len(at[3]))
+    one = warc.audit(store, store.withColumn("record", F.when(F.col("page_id") == 3, F.expr("overlay(record PLACING cast('!' AS binary) FROM 9)")).otherwise(F.col("record"))))
+    assert {r["file"]: (r["bad"], r["n_nodes"], r["n_moved"]) for r in one.where("NOT matches").collect()} == {0: (f"changed:{offset}+{length}", 1, 0)}
+    assert all(r["matches"] and r["n_bad"] == 0 for r in warc.audit(store, store).collect())
+    assert warc.audit(store.where("false"), store.where("false")).isEmpty()
+
+
+def test_repeated_record_ids_share_a_leaf(spark):
+    pages = spark.createDataFrame([(1, "u", "a"), (1, "u", "b"), (2, "u", "a"), (2, "u", "a")], "page_id int, url string, html string")
+    (row,) = warc.audit(warc.lay_out(pages), warc.lay_out(pages.orderBy(F.desc("html")))).collect()
+    assert row["matches"] and row["n_records"] == 2
+    (row,) = warc.audit(warc.lay_out(pages), warc.lay_out(pages.where("html = 'a'"))).collect()
+    assert row["n_bad"] == 1 and row["bad"].startswith("changed:0+")
 
 
 # Matroska -------------------------------------------------------------------------------------------------------------
