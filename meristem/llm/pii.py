@@ -1,15 +1,18 @@
 """Personal data by weak supervision, in DataFrame operations only.
 
 Base spans are the leftmost non-overlapping matches of four patterns (email, ip, card, phone) that pass their checks. Wider patterns
-give further candidates: spelled-out emails, IPv6 addresses, card numbers inside longer digit chains, national phone numbers, and
-base matches that failed their check. Five labelers vote on every candidate, for, against or not at all: pattern,
-gazetteer, words before the span that speak for it, words that speak against it, and shape.
-Expectation-maximisation over the counts of vote patterns estimates each labeler's reliability and each candidate's probability; a
-logistic span classifier is trained on these soft labels and decides which candidates beyond the base become spans.
+give further candidates: spelled-out emails, IPv6 addresses, cards and international numbers inside longer digit chains that
+failed as a whole, national phone numbers; and base matches that failed their check. A wider candidate that overlaps a base span
+is none. Five labelers vote on every candidate, for, against or not at all: pattern, gazetteer, words before the
+span that speak for it, words that speak against it, and shape.
+
+Expectation-maximisation over the counts of vote patterns estimates each labeler's reliability and each candidate's probability. With
+these as soft labels a logistic span classifier is trained on features that no labeler votes on (the characters on both
+sides, separators, digits, the word before), each with its kind, and decides which candidates beyond the base become spans.
 
 Positions come from one pass of each pattern: the matches and the gaps between them, whose lengths in code points add up.
-Only counts of vote patterns reach the driver, at most ``4 kinds x 3**5 votes x 4 sizes`` rows, whatever the
-corpus.
+Only counts reach the driver: of vote patterns, at most ``4 kinds x 3**5 votes``, and of features, at most
+``4 kinds x 5 x 5 sides x 4 separators x 4 sizes x 16 words`` rows, whatever the corpus.
 
 Defined cases: a null text is empty and has no span; repeated rows each get a row; other columns are not read; an empty
 table gives no rows. Patterns use possessive repetition, so that very long runs need neither stack nor quadratic time.
@@ -18,7 +21,9 @@ table gives no rows. Patterns use possessive repetition, so that very long runs
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,10 +43,11 @@ GATES = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){15}"
 WIDE = (
     r"[A-Za-z0-9._%+-]{2,64}+ ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]{2,64}(?: ?[\[(](?:dot|DOT)[\])] ?[A-Za-z0-9-]{2,24}|\.[A-Za-z]{2,24})+"
     r"|(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"
-    r"|(?<![0-9])[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])"
+    r"|(?<![0-9])[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])|(?<![0-9])[0-9]{16}(?![0-9])"
+    r"|\+[0-9]{1,3}[ .-]\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-][0-9]{4}(?![0-9])"
     r"|(?<![0-9+().-])(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{4}(?![0-9.-])"
 )
-WIDE_GATE = r"[\[(](?:at|AT)[\])]|[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:|[0-9]{3,4}[ .-][0-9]{4}"
+WIDE_GATE = r"[\[(](?:at|AT)[\])]|[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:|[0-9]{3,4}[ .-][0-9]{4}|[0-9]{16}"
 
 # Gazetteers and context words of the four languages.
 DOMAINS = ("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "eu", "uk", "us")
@@ -50,22 +56,34 @@ CALLING_CODES = r"^\+(?:1|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|7|8[1246]|9[0-58
 FOR_WORDS = r"(?i)\b(?:e-?mail|mail|contact|contacto|kontakt|write|call|phone|tel|telefon|teléfono|téléphone|mobile|fax|card|visa|karte|carte|tarjeta|ip|host|server|address|adresse|dirección)\b[^\n]{0,12}$"
 AGAINST_WORDS = r"(?i)\b(?:version|release|section|page|figure|table|isbn|issn|order|invoice|serial|build|chapter|kapitel|seite|capítulo|página|chapitre)\b[^\n]{0,12}$"
 LABELERS = 5
+RUN = 128
+WORDS = 16  # buckets of the word before a span
 SIZES = (9, 13, 16)  # digit counts that part the size classes
 
 
 def _located(text: Column, pattern: str, gate: Column) -> Column:
-    """Matches of ``pattern`` as structs (start, end, m, before), one evaluation of matches and gaps each."""
-    kind = "array<struct<start:int,end:int,m:string,before:string>>"
-    zipped = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("g"))
+    """Matches of ``pattern`` as structs (start, end, m, before, after), one evaluation of matches and gaps each.
+
+    Places add up within runs of ``RUN`` matches and over the runs, as appending match by match would copy all before it.
+    """
+    kind = "array<struct<start:int,end:int,m:string,before:string,after:string>>"
+    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    zipped = F.arrays_zip(found.alias("m"), gaps.alias("g"), F.slice(gaps, 2, F.lit((1 << 31) - 1)).alias("h"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["g"])
         end = start + F.coalesce(F.length(x["m"]), F.lit(0))
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m"), F.substring(x["g"], -48, 48).alias("before"))).cast(kind)
+        after = F.substring(F.coalesce(x["h"], F.lit("")), 1, 1)
+        one = F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m"), F.substring(x["g"], -48, 48).alias("before"), after.alias("after"))).cast(kind)
         return F.struct(end.alias("at"), F.when(x["m"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], one)).alias("out"))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-    return F.when(gate, F.aggregate(zipped, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(kind))
+    def run(acc: Column, part: Column) -> Column:
+        done = F.aggregate(part, F.struct(acc["at"].alias("at"), F.array().cast(kind).alias("out")), step)
+        return F.struct(done["at"].alias("at"), F.concat(acc["out"], F.array(done["out"])).alias("out"))
+
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(zipped) - 1) / RUN).cast("int")), lambda i: F.slice(zipped, i * RUN + 1, F.lit(RUN)))
+    whole = F.aggregate(runs, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out")), run, lambda acc: F.flatten(acc["out"]))
+    return F.when(gate, whole).otherwise(F.array().cast(kind))
 
 
 def _digits(m: Column) -> Column:
@@ -106,11 +124,17 @@ def matches(documents: DataFrame) -> DataFrame:
 
 
 def _wide_kind(m: Column) -> Column:
-    return F.when(m.rlike(r"[\[(](?:at|AT)[\])]"), 0).when(m.rlike("^[0-9A-Fa-f]{1,4}:"), 1).when(m.rlike("^[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -]"), 2).otherwise(3)
+    return F.when(m.rlike(r"[\[(](?:at|AT)[\])]"), 0).when(m.rlike("^[0-9A-Fa-f]{1,4}:"), 1).when(m.rlike("^[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}$"), 2).otherwise(3)
+
+
+def _side(c: Column) -> Column:
+    """Class of a neighbouring character: none, white space, a letter or digit, a quote or bracket, any other."""
+    return F.when(c == "", 0).when(c.rlike(r"\s"), 1).when(c.rlike(r"[\p{L}\p{N}]"), 2).when(c.rlike(r"""["'`()<>\[\]{}=]"""), 3).otherwise(4)
 
 
 def candidates(found: DataFrame) -> DataFrame:
-    """``matches`` with ``base`` (spans that passed) and ``cands``: (kind, start, end, passed, votes, size)."""
+    """``matches`` with ``first`` (base matches) and ``more`` (wider ones that overlap no base span): (kind, start, end, passed, votes,
+    features)."""
 
     def votes(kind: Column, x: Column, passed: Column) -> Column:
         m, before, digits = x["m"], x["before"], _digits(x["m"])
@@ -129,19 +153,27 @@ def candidates(found: DataFrame) -> DataFrame:
         shape = F.when(plain, -1).when((kind == 3) & m.rlike(r"^\+[0-9]{1,3}[ (.-]"), 1).when((kind == 2) & m.rlike(r"^[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1"), 1).otherwise(0)
         return F.array(*[v.cast("int") for v in (pattern, gazetteer, speaks_for, against, shape)])
 
+    def features(x: Column) -> Column:
+        n = F.length(_digits(x["m"]))
+        size = sum((F.when(n >= k, 1).otherwise(0) for k in SIZES), F.lit(0))
+        separators = F.least(F.length(F.regexp_replace(x["m"], r"[^ .()\-]", "")), F.lit(3))
+        word = F.lower(F.regexp_extract(x["before"], r"(\p{L}+)[^\p{L}]*$", 1))
+        bucket = F.when(word == "", 0).otherwise(1 + F.pmod(F.crc32(word.cast("binary")), F.lit(WORDS - 1)))
+        return F.array(*[v.cast("int") for v in (_side(F.substring(x["before"], -1, 1)), _side(x["after"]), separators, size, bucket)])
+
     def as_candidates(k: int, passed) -> Column:
         def one(x: Column) -> Column:
             kind = F.lit(k) if k < len(KINDS) else _wide_kind(x["m"])
             ok = passed(x)
-            n = F.length(_digits(x["m"]))
-            size = sum((F.when(n >= s, 1).otherwise(0) for s in SIZES), F.lit(0))
-            return F.struct(kind.cast("int").alias("kind"), x["start"].alias("start"), x["end"].alias("end"), ok.alias("passed"), votes(kind, x, ok).alias("votes"), size.cast("int").alias("size"))
+            return F.struct(kind.cast("int").alias("kind"), x["start"].alias("start"), x["end"].alias("end"), ok.alias("passed"), votes(kind, x, ok).alias("votes"), features(x).alias("features"))
 
         return F.transform(F.col(KINDS[k] if k < len(KINDS) else "wide"), one)
 
     arrays = [as_candidates(k, lambda x, kind=kind: _passes(kind, x["m"])) for k, kind in enumerate(KINDS)]
     arrays.append(as_candidates(len(KINDS), lambda x: F.when(_wide_kind(x["m"]) == 2, luhn(_digits(x["m"]))).otherwise(F.lit(True))))
-    return found.select("doc_id", F.concat(*arrays[:4]).alias("first"), arrays[4].alias("more"))
+    both = found.select("doc_id", F.concat(*arrays[:4]).alias("first"), arrays[4].alias("wider"))
+    base = F.filter("first", lambda y: y["passed"])
+    return both.select("doc_id", "first", F.filter("wider", lambda x: ~F.exists(base, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))).alias("more"))
 
 
 def em(patterns: list[tuple[int, tuple[int, ...], float]], rounds: int = 60) -> tuple[list[float], list[list[list[float]]]]:
@@ -169,37 +201,44 @@ def em(patterns: list[tuple[int, tuple[int, ...], float]], rounds: int = 60) ->
     return posterior, rates
 
 
-def _terms(kind: int, votes: tuple[int, ...], size: int) -> list[int]:
-    """Indicator features of a candidate: kind, each labeler's vote, size class."""
-    return [kind, *(4 + 3 * k + v + 1 for k, v in enumerate(votes)), 4 + 3 * LABELERS + size]
+#: How many values each feature takes.
+SPAN = (5, 5, 4, len(SIZES) + 1, WORDS)
+#: Where each feature's weights begin: a bias for each kind first, then a weight for each kind and value.
+FIRST = [len(KINDS) * (1 + sum(SPAN[:k])) for k in range(len(SPAN))]
+WIDTH = len(KINDS) * (1 + sum(SPAN))
 
 
-WIDTH = 4 + 3 * LABELERS + len(SIZES) + 1
+def _terms(kind: int, features: Sequence[int]) -> list[int]:
+    """Indices of a candidate's weights."""
+    return [kind, *(FIRST[k] + len(KINDS) * v + kind for k, v in enumerate(features))]
 
 
-def fit_classifier(rows: list[tuple[list[int], float, float]], rounds: int = 400, ridge: float = 1.0) -> list[float]:
-    """Logistic weights from (features, soft label, count), by gradient steps with a diagonal curvature bound."""
-    w = [0.0] * WIDTH
+def fit_classifier(terms: np.ndarray, labels: np.ndarray, counts: np.ndarray, rounds: int = 400, ridge: float = 1.0) -> np.ndarray:
+    """Logistic weights from rows of weight indices, soft labels and counts, by gradient steps with a diagonal curvature bound."""
+    w = np.zeros(WIDTH)
+    h = np.full(WIDTH, ridge)
+    np.add.at(h, terms, 0.25 * terms.shape[1] * counts[:, None])
     for _ in range(rounds):
-        g, h = [ridge * x for x in w], [ridge] * WIDTH
-        for terms, p, n in rows:
-            q = 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(w[t] for t in terms)))))
-            for t in terms:
-                g[t] += n * (q - p)
-                h[t] += n * 0.25 * len(terms)
-        w = [x - a / b for x, a, b in zip(w, g, h, strict=True)]
+        q = 1 / (1 + np.exp(-np.clip(w[terms].sum(axis=1), -30, 30)))
+        g = ridge * w
+        np.add.at(g, terms, (counts * (q - labels))[:, None])
+        w = w - g / h
     return w
 
 
 def train(cands: DataFrame) -> tuple[list[float], list[list[list[float]]]]:
-    """The span classifier's weights and the labelers' reliabilities, from counts of vote patterns."""
-    each = cands.select(F.explode(F.concat("first", "more")).alias("c")).select("c.kind", "c.votes", "c.size")
-    counts = [(r["kind"], tuple(r["votes"]), r["size"], float(r["n"])) for r in each.groupBy("kind", "votes", "size").agg(F.count("*").alias("n")).collect()]
-    counts.sort()
+    """The span classifier's weights and the labelers' reliabilities, from counts of vote patterns and of features."""
+    each = cands.select(F.explode(F.concat("first", "more")).alias("c")).select("c.kind", "c.votes", "c.features")
+    counts = sorted((r["kind"], tuple(r["votes"]), float(r["n"])) for r in each.groupBy("kind", "votes").agg(F.count("*").alias("n")).collect())
     if not counts:
         return [0.0] * WIDTH, []
-    posterior, rates = em([(k, v, n) for k, v, _, n in counts])
-    return fit_classifier([(_terms(k, v, s), p, n) for (k, v, s, n), p in zip(counts, posterior, strict=True)]), rates
+    posterior, rates = em(counts)
+    pattern = lambda kind, votes: F.concat_ws(":", kind.cast("string"), F.array_join(F.transform(votes, lambda v: v.cast("string")), ","))
+    soft = F.create_map(*[F.lit(x) for (k, v, _), p in zip(counts, posterior, strict=True) for x in (f"{k}:{','.join(map(str, v))}", p)])
+    labelled = each.select("kind", "features", soft[pattern(F.col("kind"), F.col("votes"))].alias("p"))
+    rows = sorted((r["kind"], tuple(r["features"]), r["p"], float(r["n"])) for r in labelled.groupBy("kind", "features").agg(F.avg("p").alias("p"), F.count("*").alias("n")).collect())
+    terms = np.array([_terms(k, f) for k, f, _, _ in rows])
+    return fit_classifier(terms, np.array([r[2] for r in rows]), np.array([r[3] for r in rows])).tolist(), rates
 
 
 def find(documents: DataFrame, least: float = 0.9) -> DataFrame:
@@ -208,11 +247,12 @@ def find(documents: DataFrame, least: float = 0.9) -> DataFrame:
     cands = staged(candidates(staged(matches(documents), "pii-matches")), "pii-candidates")
     w, _ = train(cands)
 
+    weights = F.array(*[F.lit(float(x)) for x in w])
+
     def likely(c: Column) -> Column:
-        z = F.element_at(F.array(*[F.lit(x) for x in w[:4]]), c["kind"] + 1)
-        for k in range(LABELERS):
-            z = z + F.element_at(F.array(*[F.lit(x) for x in w[4 + 3 * k : 7 + 3 * k]]), F.element_at(c["votes"], k + 1) + 2)
-        z = z + F.element_at(F.array(*[F.lit(x) for x in w[4 + 3 * LABELERS :]]), c["size"] + 1)
+        z = F.element_at(weights, c["kind"] + 1)
+        for k, first in enumerate(FIRST):
+            z = z + F.element_at(weights, F.lit(first + 1) + len(KINDS) * c["features"][k] + c["kind"])
         return z >= F.lit(math.log(least / (1 - least)))
 
     span = "array<struct<kind:int,start:int,end:int>>"
