@@ -184,6 +184,10 @@ def _frames(data: bytes, at: int, end: int, lacing: int) -> list[tuple[int, int]
     return [*out, (at, end - at)]
 
 
+#: Masters within masters, as far as a walk follows them; the format needs about seven.
+DEEPEST = 64
+
+
 def parse(data: bytes) -> Media:
     """Packet table, tracks, clusters and cues of a file; a fault ends the walk and is named in ``error``."""
     media = Media()
@@ -194,12 +198,14 @@ def parse(data: bytes) -> Media:
             raise ValueError("no EBML header")
         size, at, _ = _vint(data, at, False)
         _walk(data, at + size, len(data), media, state, 0)
-    except (ValueError, IndexError) as e:
+    except (ValueError, IndexError, OverflowError) as e:
         media.error = str(e) or type(e).__name__
     return media
 
 
-def _walk(data: bytes, at: int, end: int, media: Media, state: dict, parent: int) -> int:
+def _walk(data: bytes, at: int, end: int, media: Media, state: dict, parent: int, depth: int = 0) -> int:
+    if depth > DEEPEST:
+        raise ValueError(f"elements at {at} are nested too deeply")
     while at < end:
         begin = at
         ident, at, _ = _vint(data, at, True)
@@ -221,7 +227,7 @@ def _walk(data: bytes, at: int, end: int, media: Media, state: dict, parent: int
                 state["track"] = {}
             elif ident in (CUE_POINT, CUE_TRACK_POSITIONS):
                 state["cue"] = {"time": state["cue"].get("time", 0)} if ident == CUE_TRACK_POSITIONS else {}
-            at = _walk(data, at, stop, media, state, ident)
+            at = _walk(data, at, stop, media, state, ident, depth + 1)
             if ident == BLOCK_GROUP:
                 if "block" in state["group"]:
                     _block(data, *state["group"]["block"], media, state, state["group"]["key"])
@@ -263,13 +269,19 @@ def _block(data: bytes, at: int, end: int, media: Media, state: dict, key: bool
     flags = data[at + 2]
     lacing = flags >> 1 & 3
     stamp = (state["cluster"] + relative) * media.scale
-    step = media.tracks.get(track, {}).get("duration", 0)
+    about = media.tracks.get(track, {})
+    # Nanoseconds of a second's bytes of PCM; a rate that isn't a positive number counts as the format's default.
+    rate = about.get("rate", RATE)
+    rate = rate if 0 < rate < 1 << 31 else RATE
+    second = rate * max(1, about.get("channels", 1)) * max(1, about.get("bits", 8)) / 8
     key = bool(flags & 0x80) if key is None else key
     media.blocks += 1
     for offset, size in _frames(data, at + 3, end, lacing):
+        if not -(1 << 63) <= stamp < 1 << 63:
+            raise ValueError(f"timestamp of the block at {at} is beyond 64 bits")
         media.packets.append((track, stamp, offset, size, key, lacing))
         # Frames of a lace follow each other; their own length is known for PCM tracks.
-        stamp += size * 1_000_000_000 // RATE if media.tracks.get(track, {}).get("codec") == "A_PCM/INT/LIT" else step
+        stamp += int(size * 1_000_000_000 / second) if about.get("codec") == "A_PCM/INT/LIT" else about.get("duration", 0)
 
 
 def payload_of(text: bytes) -> bytes:
