@@ -48,8 +48,17 @@ def unit(present: np.ndarray, ratios: np.ndarray) -> np.ndarray:
     return x / np.maximum(norm, 1e-12)[:, None]
 
 
+#: Lengths of runs of equal words that are features of their own.
+RUNS = ((2, 2), (3, 3), (4, 7), (8, 1 << 60))
+
+
+def columns(bits: int) -> int:
+    """How many indicators a document has."""
+    return (1 << bits) + len(RUNS)
+
+
 def _blocks(batch: pa.RecordBatch, bits: int) -> Iterator[tuple[int, int, np.ndarray]]:
-    """Row ranges with their indicator matrices. The last four features are runs of 2, 3, 4-7 and 8 equal words."""
+    """Row ranges with their indicator matrices; behind the n-grams' columns those of runs of 2, 3, 4-7 and 8 equal words."""
     data, offsets = utf8_views(batch.column("text"))
     spaces = byte_class("nonspace")
     for i, j in row_blocks(offsets):
@@ -58,16 +67,15 @@ def _blocks(batch: pa.RecordBatch, bits: int) -> Iterator[tuple[int, int, np.nda
             part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
             points, pat = code_points(part, at)
             docs, features = gram_ids(points, pat, ORDERS, bits)
-            present = count_matrix(docs, features, b - a, bits) > 0
+            present = np.concatenate([count_matrix(docs, features, b - a, bits) > 0, np.zeros((b - a, len(RUNS)), bool)], axis=1)
             words, _, _, rows = hashed_words(part, at, spaces)
             if len(words):
                 owner = np.repeat(np.arange(b - a), np.diff(rows))
                 same = np.append(False, (words[1:] == words[:-1]) & (owner[1:] == owner[:-1]))
                 starts = np.flatnonzero(~same)
                 run = np.diff(np.append(starts, len(words)))
-                present[:, -4:] = False
-                for k, (lo, hi) in enumerate(((2, 2), (3, 3), (4, 7), (8, 1 << 60))):
-                    present[owner[starts[(run >= lo) & (run <= hi)]], -4 + k] = True
+                for k, (lo, hi) in enumerate(RUNS):
+                    present[owner[starts[(run >= lo) & (run <= hi)]], (1 << bits) + k] = True
             yield a, b, present
 
 
@@ -75,7 +83,7 @@ def _evidence(bits: int):
     """mapInArrow over labelled documents: class counts of a task's indicators, and the sampled documents' indicators."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, size = np.zeros((2, 1 << bits), np.int64), np.zeros(2, np.int64)
+        counts, size = np.zeros((2, columns(bits)), np.int64), np.zeros(2, np.int64)
         for batch in batches:
             label = batch.column("label").to_numpy(zero_copy_only=False).astype(np.int64)
             sampled = batch.column("sampled").to_numpy(zero_copy_only=False)
@@ -144,7 +152,7 @@ def fit_logistic(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]
 def train(documents: DataFrame, labels: DataFrame, most: int = 4000, bits: int = 15, smoothing: float = 1.0, blend: float = 0.25, cost: float = 1.0) -> QualityModel:
     """Fit on ``documents`` (doc_id, text) and ``labels`` (doc_id, label 0/1)."""
     bounded_batches(documents.sparkSession)
-    dims = 1 << bits
+    dims = columns(bits)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label")).where("doc_id IS NOT NULL AND label IN (0, 1)")
     share = most / max(1, known.count())
     # Chosen by hash: about ``most`` documents at any size of the table.
