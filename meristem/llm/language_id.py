@@ -3,11 +3,12 @@ follow-the-regularised-leader and elastic-net penalties, then calibrated by temp
 
 Text is reduced to lower-case letters, anything else is a space; 1- to 3-grams are hashed to ``2**bits`` features. Document
 frequencies cover every learning document. The weights are fitted on a bounded sample, ``per_language`` documents of each
-language chosen by hash, of which every fifth is kept for the temperature. At most ``most_languages`` (the most
-frequent) languages are learned.
+language chosen by hash (about ``most`` in all, at least ``least`` of each), of which every fifth is kept for the temperature. All
+languages are learned.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; without any learning document every
-text is ``und``; rows without a language or doc_id teach nothing; other columns are carried or ignored, never read.
+text is ``und``; rows without a language or doc_id teach nothing; repeated rows teach and are scored each; other columns are
+carried or ignored, never read, but for ``__lang`` and ``__score``, which the results replace.
 """
 
 from __future__ import annotations
@@ -134,11 +135,12 @@ def fit_temperature(logits: np.ndarray, classes: np.ndarray) -> float:
     return float(np.exp((lo + hi) / 2))
 
 
-def train(documents: DataFrame, per_language: int = 800, most_languages: int = 200, bits: int = 14) -> LanguageModel:
-    """Fit a model on ``documents`` (doc_id, text, lang); rows with a null among them teach nothing."""
+def train(documents: DataFrame, per_language: int = 800, most: int = 20_000, least: int = 20, bits: int = 14) -> LanguageModel:
+    """Fit a model on ``documents`` (doc_id, text, lang); rows with a null among them teach nothing. Every language is learned: from about
+    ``per_language`` documents, of many languages from fewer, so that all together are about ``most``, yet ``least`` of each."""
     bounded_batches(documents.sparkSession)
     known = documents.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
-    tally = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    tally = known.groupBy("lang").count().collect()
     languages = sorted(r["lang"] for r in tally)
     frequency = np.zeros(1 << bits)
     total = 0
@@ -151,13 +153,14 @@ def train(documents: DataFrame, per_language: int = 800, most_languages: int = 2
     model = LanguageModel(languages, bits, idf)
     if not languages:
         return model
-    # Chosen by hash, about ``per_language`` documents of each language at any size of the table.
-    share = {r["lang"]: min(1.0, per_language / r["count"]) for r in tally}
+    # Chosen by hash, about as many documents of each language at any size of the table.
+    wanted = min(per_language, max(least, most // len(languages)))
+    share = {r["lang"]: min(1.0, wanted / r["count"]) for r in tally}
     limits = F.create_map(*[F.lit(x) for lang, s in share.items() for x in (lang, int(s * (1 << 40)))])
     sample = known.where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 40)) < F.coalesce(F.try_element_at(limits, F.col("lang")), F.lit(0)))
     rows, held, number = [], [], {x: k for k, x in enumerate(languages)}
     sparse = sample.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").mapInArrow(_sparse(bits), "doc_id bigint, lang string, features binary, counts binary")
-    got = sparse.collect()  # about per_language x most_languages rows at most
+    got = sparse.collect()  # about ``most`` rows, or ``least`` of each language
     for k, r in enumerate(sorted(got, key=lambda r: (r["doc_id"], r["lang"]))):
         i = np.frombuffer(r["features"], np.int32).astype(np.int64)
         v = np.log1p(np.frombuffer(r["counts"], np.int32)) * idf[i]
@@ -190,7 +193,7 @@ def _predict(model: LanguageModel, columns: list[str]):
 def predict(documents: DataFrame, model: LanguageModel) -> DataFrame:
     """``documents`` (text and any other columns) with ``__lang`` and ``__score``."""
     bounded_batches(documents.sparkSession)
-    documents = documents.withColumn("text", F.col("text").cast("string"))
+    documents = documents.drop("__lang", "__score").withColumn("text", F.col("text").cast("string"))
     schema = documents.withColumns({"__lang": F.lit("").cast("string"), "__score": F.lit(0.0)}).schema
     return documents.mapInArrow(_predict(model, documents.columns), schema)
 
