@@ -10,7 +10,8 @@ so does a run of known words that is shorter than the shortest window: neither c
 Words are compared by 64-bit hashes.
 
 The benchmark is read in blocks of at most about ``block_bytes`` of text; each block's windows go to the workers as a
-bounded broadcast and the documents pass through all blocks in turn, without a shuffle.
+bounded broadcast and the documents pass through all blocks in turn, without a shuffle. Between blocks the documents are
+written to the shared folder, so that driver and workers hold one block at a time.
 
 Defined cases: null or empty text has no words and is never contaminated; repeated documents each get a row; a null
 ``doc_id`` stays null; benchmark rows with a null id or no words are ignored; an item id that is given twice
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import bounded_batches, byte_class, hashed_words, row_blocks, utf8_views
+from ._shared import bounded_batches, byte_class, hashed_words, release, row_blocks, staged, utf8_views
 from .fm_index import FMIndex
 
 _SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
@@ -208,7 +209,9 @@ def marked(documents: DataFrame, benchmark: DataFrame, width: int = 10, block_by
         block = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
         windows = WindowSet([(r["item_id"], r["text"]) for r in block.toLocalIterator()], width)
         last = b == blocks - 1
-        out = out.mapInArrow(_pass(windows, last, shard_bytes, sample, carried), end if last else mid)
+        passed = out.mapInArrow(_pass(windows, last, shard_bytes, sample, carried), end if last else mid)
+        out, before = passed if last else staged(passed, "benchmark-pass"), out
+        release(before if b and not last else None)
     return out
 
 

@@ -1,6 +1,6 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
-``LineStore`` keeps 128-bit hashes of line keys, each with the document that owns it, in runs: tables in the warehouse
+``LineStore`` keeps 128-bit hashes of line keys, each with the document that owns it, in runs: tables in the shared folder
 that are bucketed and sorted by hash. A batch is pre-aggregated to one row per key, merge-anti-joined with every
 run (a run is read in place, without a shuffle of its own), and what is new becomes a run of level 0. When a level holds
 ``fanout`` runs they are compacted into one run of the next level. Runs are disjoint.
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import bounded_batches, staged, utf8_views
+from ._shared import bounded_batches, drop_path, scratch_path, staged, utf8_views
 
 _STRIP = b" \t\n\x0b\x0c\r"
 
@@ -49,10 +49,16 @@ class LineStore:
         self.spark, self.fanout = spark, fanout
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
+        self.paths: dict[str, str] = {}
+
+    def _drop(self, run: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {run}")
+        drop_path(self.spark, self.paths.pop(run))
 
     def _write(self, rows: DataFrame, level: int) -> None:
         name = f"meristem_lines_{uuid.uuid4().hex}"
-        rows.write.format("parquet").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").saveAsTable(name)
+        self.paths[name] = scratch_path(self.spark, name)
+        rows.write.format("parquet").option("path", self.paths[name]).bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").saveAsTable(name)
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(name)
@@ -75,7 +81,7 @@ class LineStore:
                     merged = merged.unionAll(self.spark.table(run))
                 self._write(merged.repartition(self.buckets, "h1", "h2"), level + 1)
                 for run in runs:
-                    self.spark.sql(f"DROP TABLE {run}")
+                    self._drop(run)
                 self.levels[level] = []
             level += 1
 
@@ -90,7 +96,7 @@ class LineStore:
 
     def drop(self) -> None:
         for run in (x for level in self.levels for x in level):
-            self.spark.sql(f"DROP TABLE IF EXISTS {run}")
+            self._drop(run)
         self.levels = []
 
 
