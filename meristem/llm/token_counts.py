@@ -34,6 +34,18 @@ def _chunks(values: list[int]) -> list[list[int]]:
     return [values[i : i + BLOCK] for i in range(0, len(values), BLOCK)]
 
 
+def _packed(values: list[int]) -> bytes:
+    """A byte for each value; values from 255 on are 255 there and follow behind as 32-bit numbers."""
+    all_ = np.array(values, np.int64)
+    return np.minimum(all_, 255).astype(np.uint8).tobytes() + all_[all_ >= 255].astype("<u4").tobytes()
+
+
+def _unpacked(data: bytes, n: int) -> list[int]:
+    out = np.frombuffer(data, np.uint8, n).astype(np.int64)
+    out[out == 255] = np.frombuffer(data, "<u4", offset=n)
+    return out.tolist()
+
+
 class TokenTree:
     """Pre-token segment tree of one text."""
 
@@ -49,19 +61,19 @@ class TokenTree:
         """A tree as ``row`` keeps it."""
         tree = cls.__new__(cls)
         tree.text, tree.split, tree.count, tree.encoded = row["text"] or "", split, count, 0
-        ends = np.cumsum(np.frombuffer(row["blocks"], "<u4")).tolist()
+        ends = np.cumsum(np.frombuffer(row["blocks"], np.uint8), dtype=np.int64).tolist()
         starts = [0, *ends[:-1]]
-        sizes, tokens = (np.frombuffer(row[c], "<u4").tolist() for c in ("sizes", "counts"))
+        sizes, tokens = (_unpacked(row[c], ends[-1]) for c in ("sizes", "counts"))
         tree.sizes = [sizes[i:j] for i, j in zip(starts, ends, strict=True)]
         tree.tokens = [tokens[i:j] for i, j in zip(starts, ends, strict=True)]
-        tree.chars, tree.sums = (np.frombuffer(row[c], "<i8").copy() for c in ("chars", "sums"))
+        tree.chars, tree.sums = (np.frombuffer(row[c], "<u4").astype(np.int64) for c in ("chars", "sums"))
         tree.leaves = len(tree.sums) // 2
         return tree
 
     def row(self) -> dict:
-        flat = lambda blocks: np.array([x for own in blocks for x in own], "<u4").tobytes()
-        lengths = np.array([len(x) for x in self.sizes], "<u4").tobytes()
-        return {"text": self.text, "blocks": lengths, "sizes": flat(self.sizes), "counts": flat(self.tokens), "chars": self.chars.astype("<i8").tobytes(), "sums": self.sums.astype("<i8").tobytes()}
+        flat = lambda blocks: _packed([x for own in blocks for x in own])
+        lengths = bytes(map(len, self.sizes))
+        return {"text": self.text, "blocks": lengths, "sizes": flat(self.sizes), "counts": flat(self.tokens), "chars": self.chars.astype("<u4").tobytes(), "sums": self.sums.astype("<u4").tobytes()}
 
     def _lay_out(self, chars: list[int], sums: list[int]) -> None:
         """The segment tree above the blocks' sums."""
@@ -259,5 +271,5 @@ def edited_trees(trees: DataFrame, edits: Column | DataFrame, keys: list[str], t
 def edited_counts(documents: DataFrame, edits: Column, keys: list[str], tokenizer_path: str | None = None) -> DataFrame:
     """Counts before and after ``edits`` (a column of ``documents``) through a stored table of trees."""
     kept = documents.select(*keys, "text", edits.cast(EDITS).alias("__kept_edits"))
-    trees = staged(tree_table(kept, [*keys, "__kept_edits"], tokenizer_path), "token-trees")
+    trees = staged(tree_table(kept, [*keys, "__kept_edits"], tokenizer_path), "token-trees", "zstd")
     return edited_trees(trees, F.col("__kept_edits"), keys, tokenizer_path, keep=False)

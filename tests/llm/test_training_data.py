@@ -320,7 +320,7 @@ def test_stored_trees_take_batch_after_batch(spark):
         assert len(got) == 7
         for r in got:
             assert r["text"] == r["text_after"] == now[r["doc_id"]] and r["tokens_after"] == sum(map(count, split(now[r["doc_id"]])))
-            assert r["n_encoded"] < 60 and np.frombuffer(r["sums"], "<i8")[1] == r["tokens_after"]
+            assert r["n_encoded"] < 60 and np.frombuffer(r["sums"], "<u4")[1] == r["tokens_after"]
         trees = spark.createDataFrame(done.select("doc_id", *token_counts.TREE).collect(), trees.select("doc_id", *token_counts.TREE).schema)
 
 
