@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from . import sources
 from .functions import vectors
-from .operators import decompose, geometry, graphs, interp, labels, neighbors, network, preprocess, register, residual, scores, stats, tables, trajectory
+from .operators import decompose, geometry, graphs, integrate, interp, labels, neighbors, network, preprocess, register, residual, scores, stats, tables, trajectory
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -138,10 +138,10 @@ def radius_edges(spark, d):
     return rounded(neighbors.radius(points(spark, d), _RADIUS), "dist")
 
 
-@query(f"WITH {_EMB}, {_nn()}, b AS (SELECT avg(dist) + 2.5758293035489 * stddev_pop(dist) AS top FROM nn) SELECT src, dst, round(dist, 6) AS dist FROM nn, b WHERE dist <= top AND src <> dst")
+@query(f"WITH {_EMB}, {_nn()}, b AS (SELECT avg(dist) + 1.0 * stddev_pop(dist) AS top FROM nn) SELECT src, dst, round(dist, 6) AS dist FROM nn, b WHERE dist <= top AND src <> dst")
 def edge_state_filter(spark, d):
     e = edges(spark, d)
-    top = e.agg((F.avg("dist") + 2.5758293035489 * F.stddev_pop("dist")).alias("top"))
+    top = e.agg((F.avg("dist") + 1.0 * F.stddev_pop("dist")).alias("top"))
     return rounded(e.crossJoin(F.broadcast(top)).where("dist <= top AND src <> dst"), "dist").select("src", "dst", "dist")
 
 
@@ -151,29 +151,6 @@ def snn_counts(spark, d):
 
 
 _SWNN_SQL = f"""
-WITH {_EMB}, r AS (SELECT * FROM emb WHERE grp = 0), q AS (SELECT * FROM emb WHERE grp = 1),
-qr AS (SELECT q.id AS src, r.id AS dst, row_number() OVER (PARTITION BY q.id ORDER BY list_distance(q.vec, r.vec), r.id) AS rank FROM q, r QUALIFY rank <= 20),
-rq AS (SELECT r.id AS src, q.id AS dst, row_number() OVER (PARTITION BY r.id ORDER BY list_distance(q.vec, r.vec), q.id) AS rank FROM q, r QUALIFY rank <= 20),
-rr AS (SELECT a.id AS src, b.id AS dst FROM r a, r b QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY list_distance([a.x, a.y], [b.x, b.y]), b.id) <= 12),
-qq AS (SELECT a.id AS src, b.id AS dst FROM q a, q b QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY list_distance([a.x, a.y], [b.x, b.y]), b.id) <= 12),
-pairs AS (SELECT qr.src AS q, qr.dst AS r FROM qr JOIN rq ON rq.src = qr.dst AND rq.dst = qr.src WHERE qr.rank <= 6 AND rq.rank <= 6),
-a AS (SELECT qr.src AS q, rr.dst AS r, count(*) AS a FROM qr JOIN rr ON rr.src = qr.dst GROUP BY ALL),
-b AS (SELECT rq.src AS r, qq.dst AS q, count(*) AS b FROM rq JOIN qq ON qq.src = rq.dst GROUP BY ALL)
-SELECT p.r, p.q, round(sqrt(sqrt(a.a * b.b) / 12.0), 6) AS score FROM pairs p JOIN a USING (q, r) JOIN b USING (q, r)
-"""
-
-
-@query(_SWNN_SQL)
-def swnn_score(spark, d):
-    p = points(spark, d)
-    r, q = p.where("grp = 0"), p.where("grp = 1")
-    flat = lambda t: t.select("id", F.array("x", "y").alias("vec"))
-    qr, rq = neighbors.knn(q, r, 20, exclude_self=False), neighbors.knn(r, q, 20, exclude_self=False)
-    rr, qq = neighbors.knn(flat(r), k=12, exclude_self=False), neighbors.knn(flat(q), k=12, exclude_self=False)
-    return rounded(neighbors.matched_score(qr, rq, rr, qq, 6, 20, 12), "score")
-
-
-_SWNN_ALL_SQL = f"""
 WITH {_EMB},
 qr AS (SELECT q.id AS src, r.id AS dst, row_number() OVER (PARTITION BY q.id ORDER BY list_distance(q.vec, r.vec), r.id) AS rank FROM emb q JOIN emb r ON q.grp = r.grp + 1 QUALIFY rank <= 20),
 rq AS (SELECT r.id AS src, q.id AS dst, row_number() OVER (PARTITION BY r.id ORDER BY list_distance(q.vec, r.vec), q.id) AS rank FROM emb q JOIN emb r ON q.grp = r.grp + 1 QUALIFY rank <= 20),
@@ -185,9 +162,9 @@ SELECT emb.grp AS pair, p.r, p.q, round(sqrt(sqrt(a.a * b.b) / 12.0), 6) AS scor
 """
 
 
-@query(_SWNN_ALL_SQL)
-def swnn_score_all(spark, d):
-    """``swnn_score`` of every consecutive slice pair; ``pair`` is the reference's slice."""
+@query(_SWNN_SQL)
+def swnn_score(spark, d):
+    """Every consecutive slice pair; ``pair`` is the reference's slice."""
     p = points(spark, d)
     back = p.withColumn("grp", -F.col("grp"))
     rq, qr = neighbors.knn(p, k=20, scope="next", exclude_self=False), neighbors.knn(back, k=20, scope="next", exclude_self=False)
@@ -399,15 +376,9 @@ def mirror_axis(spark, d):
     return rounded(geometry.mirror(points(spark, d).select("id", "x", "y"), ("x",)), "x", "y")
 
 
-@query(f"WITH {_EMB} SELECT round(avg((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 8) AS sigma2 FROM emb a, emb b WHERE a.grp = 0 AND b.grp = 1")
-def sigma_square(spark, d):
-    p = points(spark, d)
-    return spark.createDataFrame([(round(geometry.mean_square_distance(p.where("grp = 0"), p.where("grp = 1")), 8),)], "sigma2 double")
-
-
 @query(f"WITH {_EMB} SELECT a.grp AS pair, round(avg((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 8) AS sigma2 FROM emb a JOIN emb b ON b.grp = a.grp + 1 GROUP BY a.grp")
-def sigma_square_all(spark, d):
-    """``sigma_square`` of every consecutive slice pair; ``pair`` is the first slice."""
+def sigma_square(spark, d):
+    """Every consecutive slice pair; ``pair`` is the first slice."""
     return geometry.next_square_distances(points(spark, d)).select(F.col("grp").alias("pair"), F.round("sigma2", 8).alias("sigma2"))
 
 
@@ -919,15 +890,8 @@ def slice_window_pairs(spark, d):
     return graphs.slice_pairs(spark, 12, 2)
 
 
-@query("SELECT l_partkey AS member, count(*) AS n FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_suppkey < 10) GROUP BY l_partkey HAVING count(*) >= 3")
-def common_genes(spark, d):
-    e = expr(spark, d).where("cell < 10")
-    return graphs.common_members(e.select(F.col("gene").alias("member")), 10, 0.3)
-
-
 @query("SELECT l_partkey AS member, count(*) AS n FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) GROUP BY l_partkey HAVING count(*) >= 0.3 * (SELECT count(DISTINCT l_suppkey) FROM lineitem)")
-def common_genes_all(spark, d):
-    """``common_genes`` over every cell."""
+def common_genes(spark, d):
     return graphs.common_members(expr(spark, d).select(F.col("gene").alias("member")), n_cells(spark, d), 0.3)
 
 
@@ -1048,3 +1012,59 @@ def stack_bending(spark, d):
 def label_agreement(spark, d):
     p = _stack(spark, d)
     return rounded(scores.label_agreement(scores.weighted_edges(p, 4), p), "same")
+
+
+# Integration, merging and further scores --------------------------------------------------------------------------------
+
+
+@query(f"WITH {_EMB} SELECT label, round((sum(w * x * y) / sum(w) - sum(w * x) * sum(w * y) / (sum(w) * sum(w))) / sqrt((sum(w * x * x) / sum(w) - sum(w * x) * sum(w * x) / (sum(w) * sum(w))) * (sum(w * y * y) / sum(w) - sum(w * y) * sum(w * y) / (sum(w) * sum(w)))), 6) AS r FROM (SELECT label, x, y, exp(-abs(z)) AS w FROM emb) GROUP BY label")
+def weighted_correlation(spark, d):
+    r = vectors.weighted_pearson(F.col("x"), F.col("y"), F.exp(-F.abs("z")))
+    return points(spark, d).groupBy("label").agg(F.round(r, 6).alias("r"))
+
+
+@query(f"WITH {_EMB}, {_nn()}, both_ways AS (SELECT src, dst, 1 / (1 + dist) AS w FROM nn UNION ALL SELECT dst, src, 1 / (1 + dist) FROM nn), e AS (SELECT src, dst, max(w) AS w FROM both_ways GROUP BY ALL) SELECT src AS id, count(*) AS degree, round(sum(w), 6) AS strength FROM e GROUP BY src")
+def degree_centrality(spark, d):
+    return rounded(graphs.centrality(edges(spark, d).select("src", "dst", (1 / (1 + F.col("dist"))).alias("w"))), "strength")
+
+
+@query(
+    f"WITH {_EMB}, {_nn()}, l AS (SELECT id, CASE WHEN id % 7 = 0 THEN 1000 + id % 3 ELSE label END AS label FROM emb), small AS (SELECT label FROM l GROUP BY label HAVING count(*) < 30), "
+    "led AS (SELECT nn.src, b.label AS target, sum(round(1 / (1 + nn.dist), 9)) AS w FROM nn JOIN l a ON a.id = nn.src AND a.label IN (SELECT label FROM small) JOIN l b ON b.id = nn.dst AND b.label NOT IN (SELECT label FROM small) GROUP BY ALL), "
+    "best AS (SELECT src, target FROM led QUALIFY row_number() OVER (PARTITION BY src ORDER BY w DESC, target) = 1) SELECT l.id, coalesce(best.target, l.label) AS label FROM l LEFT JOIN best ON best.src = l.id"
+)
+def small_labels_merged(spark, d):
+    own = points(spark, d).select("id", F.when(F.col("id") % 7 == 0, 1000 + F.col("id") % 3).otherwise(F.col("label")).alias("label"))
+    return labels.merge_small(edges(spark, d).select("src", "dst", F.round(1 / (1 + F.col("dist")), 9).alias("w")), own, 30)
+
+
+@query(
+    f"WITH {_EMB}, box AS (SELECT grp, min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy FROM emb GROUP BY grp), m AS (SELECT max(hx - lx) AS wx, max(hy - ly) AS wy FROM box) "
+    "SELECT id, grp, round(x - lx + (wx - hx + lx) / 2, 6) + 0.0 AS x, round(y - ly + (wy - hy + ly) / 2, 6) + 0.0 AS y FROM emb JOIN box USING (grp), m"
+)
+def padded_slices(spark, d):
+    return rounded(geometry.padded(points(spark, d).select("id", "grp", "x", "y")), "x", "y")
+
+
+@query()
+def normal_continuity(spark, d):
+    p = points(spark, d)
+    cross = neighbors.knn(p, k=K, scope="next").select("src", "dst", F.exp(-F.col("dist")).alias("w"))
+    return rounded(scores.normal_continuity(p, cross), "score")
+
+
+@query(f"WITH {_EMB}, {_nn(where="a.grp <> b.grp", part="a.id, b.grp", extra=", b.grp AS target")} SELECT a.src, a.dst, round(a.dist, 6) AS dist, a.target FROM nn a JOIN nn b ON a.src = b.dst AND a.dst = b.src")
+def mnn_anchors(spark, d):
+    return rounded(integrate.anchors(points(spark, d), K), "dist")
+
+
+@query()
+def mnn_corrected(spark, d):
+    out = integrate.mnn_correct(points(spark, d), 0, K)
+    return out.select("id", "grp", F.transform("vec", lambda v: F.round(v, 6)).alias("vec"))
+
+
+@query()
+def harmony_corrected(spark, d):
+    out = integrate.harmony(points(spark, d))
+    return out.select("id", "grp", F.transform("vec", lambda v: F.round(v, 4)).alias("vec"))

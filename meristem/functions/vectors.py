@@ -50,6 +50,13 @@ def unit(a: Column) -> Column:
     return F.transform(a, lambda x: x / F.when(size == 0, 1.0).otherwise(size))
 
 
+def weighted_pearson(x: Column, y: Column, w: Column) -> Column:
+    """Weighted correlation, as an aggregate; null where a side doesn't vary."""
+    n, mx, my = F.sum(w), F.sum(w * x), F.sum(w * y)
+    cov = F.sum(w * x * y) / n - mx * my / (n * n)
+    return F.try_divide(cov, F.sqrt((F.sum(w * x * x) / n - mx * mx / (n * n)) * (F.sum(w * y * y) / n - my * my / (n * n))))
+
+
 def zscore(a: Column, sample: bool = False) -> Column:
     """Row z-scores with the population deviation unless ``sample``; constant rows become zero."""
     m = mean(a)

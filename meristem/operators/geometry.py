@@ -45,6 +45,14 @@ def decompose(matrix: np.ndarray) -> dict[str, np.ndarray]:
     return {"rotation": q, "scale": np.diag(r), "skew": r / np.diag(r)[:, None] - np.eye(d), "shift": matrix[:d, d]}
 
 
+def padded(points: DataFrame, axes: tuple[str, ...] = ("x", "y")) -> DataFrame:
+    """Points (id, grp, axes) with each slice moved to the middle of a frame of the largest slice's extent, which begins at 0."""
+    box = points.groupBy("grp").agg(*[f(a).alias(f"{a}_{n}") for a in axes for n, f in (("lo", F.min), ("hi", F.max))])
+    wide = box.agg(*[F.max(F.col(f"{a}_hi") - F.col(f"{a}_lo")).alias(f"{a}_wide") for a in axes]).first()
+    moved = [(F.col(a) - F.col(f"{a}_lo") + (F.lit(wide[f"{a}_wide"]) - F.col(f"{a}_hi") + F.col(f"{a}_lo")) / 2).alias(a) for a in axes]
+    return points.join(box, "grp").select("id", "grp", *moved)
+
+
 def chain(matrices: list[np.ndarray]) -> np.ndarray:
     """The product that applies the first matrix first."""
     out = np.eye(len(matrices[0]))

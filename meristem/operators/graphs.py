@@ -93,13 +93,13 @@ def fuzzy_connectivities(edges: DataFrame, k: int) -> DataFrame:
     return one.join(back, ["src", "dst"], "full").select("src", "dst", (a + b - a * b).alias("w"))
 
 
-def smallest_reachable(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(id, component): connected components by smallest labels with pointer jumping; state goes to the checkpoint folder
-    where one is set."""
+def smallest_reachable(edges: DataFrame) -> DataFrame:
+    """(id, component): connected components by smallest labels with pointer jumping, until nothing moves; state goes to the checkpoint
+    folder where one is set."""
     both = edges.select("src", "dst").unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     keep = edges.sparkSession.sparkContext.getCheckpointDir() is not None
     state = both.groupBy(F.col("src").alias("id")).agg(F.least(F.min("dst"), F.col("src")).alias("component"))
-    for _ in range(rounds):
+    while True:
         near = both.join(state.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("component").alias("n"))
         step = state.join(near, "id").select("id", "component", F.least("component", "n").alias("m"))
         jump = step.join(state.select(F.col("id").alias("m"), F.col("component").alias("j")), "m", "left")
@@ -107,8 +107,14 @@ def smallest_reachable(edges: DataFrame, rounds: int = 50) -> DataFrame:
         new = new.checkpoint() if keep else new.persist()
         state = new.select("id", "component")
         if new.where("moved").isEmpty():
-            break
-    return state
+            return state
+
+
+def centrality(edges: DataFrame) -> DataFrame:
+    """(id, degree, strength) of an undirected graph (src, dst, w); an edge that is given both ways counts once, with its larger
+    weight."""
+    both = edges.select("src", "dst", "w").unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).where("src <> dst")
+    return both.groupBy("src", "dst").agg(F.max("w").alias("w")).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"), F.sum("w").alias("strength"))
 
 
 def shared_neighbour_clusters(shared: DataFrame, least: int, min_points: int) -> DataFrame:

@@ -71,6 +71,17 @@ def smooth_mode(edges: DataFrame, labels: DataFrame, fixed: DataFrame | None = N
     return best.join(held, "id", "left").select("id", F.coalesce("held", "label").alias("label"))
 
 
+def merge_small(edges: DataFrame, labels: DataFrame, least: int) -> DataFrame:
+    """(id, label): members of labels with fewer than ``least`` points take the larger label that most of their edge weight (src, dst, w)
+    leads to, ties to the smaller label; without such an edge they keep their own."""
+    small = labels.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") < least).select("label")
+    moving = labels.join(small, "label", "left_semi").select(F.col("id").alias("src"))
+    large = labels.join(small, "label", "left_anti").select(F.col("id").alias("dst"), F.col("label").alias("new"))
+    led = edges.join(moving, "src", "left_semi").join(large, "dst").groupBy("src", "new").agg(F.sum("w").alias("w"))
+    best = led.groupBy(F.col("src").alias("id")).agg(F.min(F.struct(-F.col("w"), "new"))["new"].alias("new"))
+    return labels.join(best, "id", "left").select("id", F.coalesce("new", "label").alias("label"))
+
+
 def one_hot(labels: DataFrame) -> DataFrame:
     """(id, index, value): labels as rows of a one-hot matrix over the sorted vocabulary."""
     vocabulary = labels.select("label").where("label IS NOT NULL").distinct().withColumn("index", F.row_number().over(W.orderBy("label")) - 1)

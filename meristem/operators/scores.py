@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vectors
+from .graphs import normals
 from .neighbors import knn, shortest
 
 
@@ -59,6 +60,16 @@ def bending(points: DataFrame, edges: DataFrame) -> DataFrame:
     return both.agg(F.try_divide(F.sum(w * bend), F.sum(w)).alias("bending"), F.count("*").alias("n"))
 
 
+def normal_continuity(points: DataFrame, edges: DataFrame, k: int = 16) -> DataFrame:
+    """One row: the mean of 1 - abs(cosine) between the normals of edges' ends (src, dst, w), weighted by w. A normal is the smallest
+    principal direction of a point's ``k`` neighbours (itself among them) in its slice ``grp``; points have id, grp, x, y, z."""
+    near = knn(points.select("id", "grp", F.array("x", "y", "z").alias("vec")), k=k, scope="within", exclude_self=False)
+    n = normals(points, near)
+    ends = edges.join(n.withColumnsRenamed({"id": "src", "nx": "ax", "ny": "ay", "nz": "az"}), "src").join(n.withColumnsRenamed({"id": "dst", "nx": "bx", "ny": "by", "nz": "bz"}), "dst")
+    cosine = F.abs(F.col("ax") * F.col("bx") + F.col("ay") * F.col("by") + F.col("az") * F.col("bz"))
+    return ends.agg(F.try_divide(F.sum(F.col("w") * (1 - cosine)), F.sum("w")).alias("score"), F.count("*").alias("n"))
+
+
 def label_agreement(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """One row: share of edges whose ends carry the same label."""
     a, b = labels.select(F.col("id").alias("src"), F.col("label").alias("la")), labels.select(F.col("id").alias("dst"), F.col("label").alias("lb"))

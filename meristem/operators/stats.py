@@ -45,7 +45,7 @@ def mann_whitney(values: DataFrame, group_sizes: DataFrame | None = None) -> Dat
     own = values.join(ranked.select("gene", "value", "rank"), ["gene", "value"]).groupBy("gene", "grp").agg(F.sum("rank").alias("r"), F.count("*").alias("seen"))
     own = own.join(spread, "gene")
     if group_sizes is not None:
-        own = own.join(F.broadcast(group_sizes.select("grp", F.col("n").alias("n1"))), "grp")
+        own = own.join(group_sizes.select("grp", F.col("n").alias("n1")), "grp")
         own = own.withColumn("r", F.col("r") + (F.col("n1") - F.col("seen")) * (F.col("zeros") + 1) / 2)
     else:
         own = own.withColumn("n1", F.col("seen"))

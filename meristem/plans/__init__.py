@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import contextlib
 import io
+import os
+import shutil
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +21,15 @@ def session(cores: str = "*", partitions: int = 8, memory: str = "8g", name: str
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Give this package to the session's Python workers, wherever they run."""
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    with tempfile.TemporaryDirectory() as folder:
+        top = os.path.join(folder, "top")
+        shutil.copytree(package, os.path.join(top, os.path.basename(package)), ignore=shutil.ignore_patterns("__pycache__"))
+        spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(folder, "meristem"), "zip", top))
+
+
 def plan_text(df: DataFrame) -> str:
     """The formatted physical plan."""
     out = io.StringIO()

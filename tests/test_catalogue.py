@@ -42,10 +42,10 @@ def test_common_genes_of_every_cell(spark, tmp_path):
     """Twelve cells: gene 1 in cells 9 to 12 passes a share of 0.3, gene 2 in cells 1 to 3 does not."""
     rows = [(c, 1, 1.0) for c in (9, 10, 11, 12)] + [(c, 2, 1.0) for c in (1, 2, 3)] + [(c, 10 + c, 1.0) for c in range(1, 13)]
     spark.createDataFrame(rows, "l_suppkey bigint, l_partkey bigint, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
-    assert [(r.member, r.n) for r in catalogue.QUERIES["common_genes_all"](spark, str(tmp_path)).collect()] == [(1, 4)]
+    assert [(r.member, r.n) for r in catalogue.QUERIES["common_genes"](spark, str(tmp_path)).collect()] == [(1, 4)]
 
 
-@pytest.mark.parametrize("name", ["swnn_score_all", "sigma_square_all"])
+@pytest.mark.parametrize("name", ["swnn_score", "sigma_square"])
 def test_every_slice_pair(spark, small, name):
     assert {r.pair for r in catalogue.QUERIES[name](spark, small).select("pair").distinct().collect()} == {0, 1, 2}
 
