@@ -42,10 +42,51 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
-        "spans",
+        F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["start"], x["end"])), ",").alias("spans"),
     )
 
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+# The contract's word class of op2 and its complement.
+_WORD, _GAP = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+_OP2_SQL = f"""
+WITH asked AS (
+    SELECT item_id::VARCHAR AS item_id, regexp_extract_all({_LOWER.format("text")}, '{_WORD}') AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
+), windows AS (
+    SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i : i + 9], ' ') AS key
+    FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM asked WHERE len(w) > 0)
+), docs AS (
+    SELECT row_number() OVER () AS row, doc_id, {_LOWER.format("coalesce(text, '')")} AS t FROM documents
+), parts AS (
+    SELECT row, doc_id, regexp_extract_all(t, '{_WORD}') AS w, regexp_extract_all(t, '{_GAP}') AS g, regexp_matches(t, '^{_GAP}') AS led FROM docs
+), words AS (
+    SELECT row, pos, len, coalesce(sum(len + gap) OVER before, 0) + CASE WHEN led THEN gap ELSE 0 END AS start
+    FROM (SELECT row, led, unnest(range(1, len(w) + 1)) AS pos, length(unnest(w)) AS len, coalesce(length(unnest(g[1 : len(w)])), 0) AS gap FROM parts WHERE len(w) > 0)
+    WINDOW before AS (PARTITION BY row ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), found AS (
+    SELECT DISTINCT d.row, d.pos, d.n, v.item_id
+    FROM (SELECT row, s.n, pos, array_to_string(w[pos : pos + s.n - 1], ' ') AS key
+          FROM (SELECT row, w, unnest(range(1, len(w) + 1)) AS pos FROM parts), (SELECT DISTINCT n FROM windows) s WHERE pos + s.n - 1 <= len(w)) d
+    JOIN windows v ON v.n = d.n AND v.key = d.key
+), hit AS (
+    SELECT DISTINCT row, unnest(range(pos, pos + n)) AS pos FROM found
+), runs AS (
+    SELECT row, min(start) AS a, max(start + len) AS b
+    FROM (SELECT row, pos, start, len, pos - row_number() OVER (PARTITION BY row ORDER BY pos) AS run FROM hit JOIN words USING (row, pos)) GROUP BY row, run
+), hits AS (
+    SELECT row, count(*) AS n_hit FROM hit GROUP BY row
+), spelled AS (
+    SELECT row, string_agg(a::BIGINT || ':' || b::BIGINT, ',' ORDER BY a) AS spans FROM runs GROUP BY row
+), items AS (
+    SELECT row, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT row, item_id FROM found) GROUP BY row
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated, coalesce(spans, '') AS spans
+FROM parts LEFT JOIN hits USING (row) LEFT JOIN spelled USING (row) LEFT JOIN items USING (row)
+"""
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts before and after four edits of every document: a replacement, an insertion and a deletion at places
     that its id gives, and an appended line."""
@@ -152,6 +193,31 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+_OP6_SQL = f"""
+WITH RECURSIVE parts AS (
+    SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), shingles AS (
+    SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS shingle
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM parts WHERE len(w) > 0)
+), sets AS (
+    SELECT doc_id, count(*) AS n, sha256(string_agg(shingle, chr(10) ORDER BY shingle)) AS own FROM shingles GROUP BY doc_id
+), named AS (
+    SELECT doc_id, n, min(doc_id) OVER (PARTITION BY own) AS rep FROM sets
+), heads AS (
+    SELECT s.doc_id, n, shingle FROM shingles s JOIN named USING (doc_id) WHERE doc_id = rep
+), links AS (
+    SELECT a.doc_id AS a, b.doc_id AS b FROM heads a JOIN heads b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n)
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 175 * count(*) >= 75 * (a.n + b.n)
+), reached AS (
+    SELECT DISTINCT rep AS a, rep AS b FROM named UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b
+), lowest AS (
+    SELECT a AS rep, min(b) AS c FROM reached GROUP BY a
+)
+SELECT p.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(c, p.doc_id) AS component_id, coalesce(c, p.doc_id) = p.doc_id AS kept
+FROM parts p LEFT JOIN named USING (doc_id) LEFT JOIN lowest USING (rep)
+"""
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
@@ -186,4 +252,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": _OP4_SQL, "op5_warc_audit": _OP5_SQL}
+    return {"op2_decontaminate": _OP2_SQL, "op4_line_dedup": _OP4_SQL, "op5_warc_audit": _OP5_SQL, "op6_near_dedup": _OP6_SQL}

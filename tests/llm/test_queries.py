@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -209,3 +210,13 @@ def test_dual_coordinate_descent_reaches_the_optimum():
     loss = lambda u: 0.5 * u @ u + np.maximum(0, 1 - full @ u).sum()
     # Descent stops where no dual gradient is above 1e-3, which bounds the gap by that for each row's cost.
     assert loss(w) <= loss(full.T @ a) + 1e-3 * cost.sum()
+
+
+@pytest.mark.parametrize("name", ["op2_decontaminate", "op6_near_dedup"])
+def test_twins(spark, small, name):
+    con = duckdb.connect()
+    for f in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {f} AS SELECT * FROM '{small}/{f}.parquet'")
+    want = con.execute(queries.oracle_sql()[name])
+    columns = [c[0] for c in want.description]
+    assert sorted(tuple(r[c] for c in columns) for r in result(spark, small, name)) == sorted(want.fetchall())
