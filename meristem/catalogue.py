@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from . import sources
 from .functions import vectors
-from .operators import decompose, geometry, graphs, integrate, interp, labels, neighbors, network, preprocess, register, residual, scores, stats, tables, trajectory
+from .operators import decompose, descriptors, geometry, graphs, integrate, interp, labels, learning, neighbors, network, preprocess, register, residual, scores, stats, tables, trajectory
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -1068,3 +1068,88 @@ def mnn_corrected(spark, d):
 def harmony_corrected(spark, d):
     out = integrate.harmony(points(spark, d))
     return out.select("id", "grp", F.transform("vec", lambda v: F.round(v, 4)).alias("vec"))
+
+
+# Descriptors, soft matches, moments and learning ------------------------------------------------------------------------
+
+_UNIT = "n.vec[{i}] / sqrt(n.vec[4] ** 2 + n.vec[5] ** 2 + n.vec[6] ** 2)"
+_FPFH = f"""
+WITH {_EMB}, f AS (SELECT id, x, y, z, {', '.join(_UNIT.format(i=i) + f' AS n{a}' for i, a in ((4, 'x'), (5, 'y'), (6, 'z')))} FROM emb n),
+e AS (SELECT a.id AS src, b.id AS dst, list_distance([a.x, a.y, a.z], [b.x, b.y, b.z]) AS dist FROM emb a, emb b WHERE a.id <> b.id QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY dist, b.id) <= 8),
+p AS (SELECT src, dst, dist, a.nx AS ax, a.ny AS ay, a.nz AS az, b.nx AS bx, b.ny AS by_, b.nz AS bz, (b.x - a.x) / dist AS sx, (b.y - a.y) / dist AS sy, (b.z - a.z) / dist AS sz FROM e JOIN f a ON a.id = src JOIN f b ON b.id = dst WHERE dist >= 1e-10),
+c AS (SELECT *, ay * sz - az * sy AS cx, az * sx - ax * sz AS cy, ax * sy - ay * sx AS cz FROM p),
+t AS (SELECT src, dst, dist, [(sx * bx + sy * by_ + sz * bz + 1) / 2, (sx * ax + sy * ay + sz * az + 1) / 2, (CASE WHEN sqrt(cx * cx + cy * cy + cz * cz) > 1e-10 THEN atan2((bx * cx + by_ * cy + bz * cz) / sqrt(cx * cx + cy * cy + cz * cz), bx * ax + by_ * ay + bz * az) ELSE 0 END + pi()) / (2 * pi())] AS shares FROM c),
+b AS (SELECT src, dst, dist, least(floor(greatest(0, least(1, round(unnest(shares), 9))) * 11), 10)::BIGINT + unnest([0, 11, 22]) AS bin FROM t),
+h AS (SELECT src AS id, bin, count(*) / max(n) AS share FROM b JOIN (SELECT src, count(*)::DOUBLE AS n FROM t GROUP BY src) USING (src) GROUP BY ALL),
+w AS (SELECT src AS id, sum(1 / dist) AS w FROM t GROUP BY src), l AS (SELECT t.src AS id, h.bin, sum(h.share / t.dist) / max(w.w) AS v FROM t JOIN h ON h.id = t.dst JOIN w ON w.id = t.src GROUP BY ALL),
+u AS (SELECT id, bin, sum(v) AS v FROM (SELECT id, bin, share AS v FROM h UNION ALL SELECT * FROM l) GROUP BY ALL)
+SELECT id, bin::BIGINT AS bin, round(v / sum(v) OVER (PARTITION BY id), 6) AS value FROM u
+"""
+
+
+@query(_FPFH)
+def point_feature_histograms(spark, d):
+    """Histograms of the points' first three dimensions, the next three as their normals."""
+    size = vectors.norm(F.slice("vec", 4, 3))
+    p = points(spark, d).select("id", "x", "y", "z", *[(F.col("vec")[i] / size).alias(f"n{a}") for i, a in ((3, "x"), (4, "y"), (5, "z"))])
+    near = neighbors.knn(p.select("id", F.array("x", "y", "z").alias("vec")), k=8)
+    return rounded(descriptors.feature_histograms(p, near), "value")
+
+
+_SOFT = f"""
+WITH {_EMB}, unit AS (SELECT id, grp, x, y, list_transform(vec, lambda v: v / sqrt(list_inner_product(vec, vec))) AS vec FROM emb),
+qr AS (SELECT q.id AS src, r.id AS dst, list_distance(q.vec, r.vec) AS dist, row_number() OVER (PARTITION BY q.id ORDER BY list_distance(q.vec, r.vec), r.id) AS rank FROM unit q JOIN unit r ON q.grp = r.grp + 1 QUALIFY rank <= 20),
+rq AS (SELECT r.id AS src, q.id AS dst, list_distance(q.vec, r.vec) AS dist, row_number() OVER (PARTITION BY r.id ORDER BY list_distance(q.vec, r.vec), q.id) AS rank FROM unit q JOIN unit r ON q.grp = r.grp + 1 QUALIFY rank <= 20),
+near AS (SELECT a.id AS src, b.id AS dst, exp(-(list_distance([a.x, a.y], [b.x, b.y]) ** 2) / 2) AS g FROM emb a JOIN emb b ON a.grp = b.grp QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY list_distance([a.x, a.y], [b.x, b.y]), b.id) <= 12),
+wq AS (SELECT *, sqrt(greatest(1 - dist * dist / 2, 0)) AS w FROM qr), wr AS (SELECT *, sqrt(greatest(1 - dist * dist / 2, 0)) AS w FROM rq),
+pairs AS (SELECT wq.src AS q, wq.dst AS r, wq.w * wr.w AS w FROM wq JOIN wr ON wr.src = wq.dst AND wr.dst = wq.src WHERE wq.rank <= 6 AND wr.rank <= 6),
+a AS (SELECT wq.src AS q, near.dst AS r, sum(w * g) AS a FROM wq JOIN near ON near.src = wq.dst GROUP BY ALL),
+b AS (SELECT wr.src AS r, near.dst AS q, sum(w * g) AS b FROM wr JOIN near ON near.src = wr.dst GROUP BY ALL)
+SELECT emb.grp AS pair, p.r, p.q, round(sqrt(p.w * sqrt(a.a * b.b) / 12.0), 6) AS score FROM pairs p JOIN a USING (q, r) JOIN b USING (q, r) JOIN emb ON emb.id = p.r
+"""
+
+
+@query(_SOFT)
+def soft_swnn_score(spark, d):
+    """Every consecutive slice pair; ``pair`` is the reference's slice."""
+    p = points(spark, d).withColumn("vec", vectors.unit(F.col("vec")))
+    rq, qr = neighbors.knn(p, k=20, scope="next", exclude_self=False), neighbors.knn(p.withColumn("grp", -F.col("grp")), k=20, scope="next", exclude_self=False)
+    near = neighbors.knn(p.select("id", "grp", F.array("x", "y").alias("vec")), k=12, scope="within", exclude_self=False)
+    out = rounded(neighbors.soft_matched_score(qr, rq, near, near, 6, 20, 12), "score")
+    return out.join(p.select(F.col("id").alias("r"), F.col("grp").alias("pair")), "r").select("pair", "r", "q", "score")
+
+
+@query(
+    f"WITH {_EMB}, {_BRANDS}, c AS (SELECT var_samp(x) AS xx, var_samp(y) AS yy, covar_samp(x, y) AS xy FROM emb), s AS (SELECT gene, sum(value) AS w, sum(value * x) / sum(value) AS mx, sum(value * y) / sum(value) AS my, sum(value * x * x) / sum(value) AS qxx, sum(value * y * y) / sum(value) AS qyy, sum(value * x * y) / sum(value) AS qxy FROM expr JOIN emb ON id = cell GROUP BY gene) "
+    "SELECT gene, round((yy * (qxx - mx * mx) + xx * (qyy - my * my) - 2 * xy * (qxy - mx * my)) / (xx * yy - xy * xy), 6) AS moment, w AS weight FROM s, c"
+)
+def gene_spread(spark, d):
+    return rounded(stats.weighted_moments(brands(spark, d), points(spark, d)), "moment")
+
+
+@query("SELECT vec_id AS id, r.r AS repeat, ((('0x' || left(md5(vec_id || ':' || r.r), 8))::BIGINT) % 5)::INTEGER AS fold FROM embeddings, (SELECT unnest([0, 1])::INTEGER AS r) r")
+def hash_folds(spark, d):
+    return learning.folds(points(spark, d).select("id"), 5, 2)
+
+
+@query()
+def held_out_labels(spark, d):
+    """A row per class-balanced score of a logistic model on rows that it has not seen."""
+    found, _ = learning.held_out(points(spark, d).select("id", "vec", "label"), "logistic", n=3)
+    return rounded(learning.class_scores(found, ["fold"]), "accuracy", "balanced", "precision", "recall", "f1", digits=4)
+
+
+@query()
+def residual_pca(spark, d):
+    """The residual form of generalised PCA on brand counts."""
+    rows = decompose.residual_vectors(brands(spark, d))
+    v, _, mean = decompose.pca(rows, 3)
+    return rounded(decompose.project(rows, v, mean).select("cell", *[F.col("scores")[i].alias(f"pc{i + 1}") for i in range(3)]), "pc1", "pc2", "pc3", digits=4)
+
+
+@query()
+def em_mixed(spark, d):
+    """As ``em_rigid`` with a mixing proportion for every moving point."""
+    p = points(spark, d).select("id", "x", "y")
+    m, s2 = register.em_register(geometry.transform_points(p, _SMALL), p, "rigid", mixed=True)
+    return _matrix_rows(spark, m, sigma2=round(s2, 6))

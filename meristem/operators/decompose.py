@@ -56,6 +56,39 @@ def project(rows: DataFrame, components: np.ndarray, mean: np.ndarray, column: s
     return rows.withColumn(name, F.array(*parts))
 
 
+def residual_vectors(expr: DataFrame, model: str = "deviance", most: int = 20_000) -> DataFrame:
+    """(cell, vec): each cell's residuals of all genes, in order of gene, under a Poisson null of gene share times cell size, zeros
+    included. ``model`` is deviance or pearson. With ``pca`` these are the residual form of generalised PCA.
+
+    Genes' shares go to the workers; beyond ``most`` genes it refuses, so choose variable genes first. Cells without counts are left out.
+    """
+    totals = expr.where("value > 0").groupBy("gene").agg(F.sum("value").cast("double").alias("total")).orderBy("gene").limit(most + 1).collect()
+    if len(totals) > most:
+        raise ValueError(f"more than {most} genes; choose variable genes first")
+    genes, share = [r["gene"] for r in totals], np.array([r["total"] for r in totals])
+    share = share / max(share.sum(), 1e-300)
+    at = {g: i for i, g in enumerate(genes)}
+    cells = expr.where("value > 0").groupBy("cell").agg(F.collect_list("gene").alias("genes"), F.collect_list(F.col("value").cast("double")).alias("values"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                names, values = part.column("genes").to_pylist(), part.column("values").to_pylist()
+                x = np.zeros((part.num_rows, len(genes)))
+                for r, (own, v) in enumerate(zip(names, values, strict=True)):
+                    np.add.at(x[r], [at[g] for g in own], v)
+                mu = x.sum(axis=1, keepdims=True) * share
+                if model == "pearson":
+                    out = (x - mu) / np.sqrt(mu)
+                else:
+                    out = np.sign(x - mu) * np.sqrt(np.maximum(2 * (x * np.log(np.where(x > 0, x / mu, 1)) - (x - mu)), 0))
+                ends = np.arange(0, out.size + 1, max(1, len(genes)), dtype=np.int32)
+                yield pa.RecordBatch.from_pydict({"cell": part.column("cell"), "vec": pa.ListArray.from_arrays(pa.array(ends), pa.array(out.ravel()))})
+
+    return cells.mapInArrow(run, f"cell {expr.schema['cell'].dataType.simpleString()}, vec array<double>")
+
+
 def dual_pca(x: DataFrame, y: DataFrame, k: int, column: str = "vec") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Factors of X Y^T between two sets over common features: feature-space bases scaled by the root of the singular values.
 

@@ -182,6 +182,22 @@ def matched_score(qr: DataFrame, rq: DataFrame, rr: DataFrame, qq: DataFrame, m:
     return a.join(b, ["q", "r"]).select("r", "q", F.sqrt(F.sqrt(F.col("a") * F.col("b")) / float(min(f, s))).alias("score"))
 
 
+def soft_matched_score(qr: DataFrame, rq: DataFrame, rr: DataFrame, qq: DataFrame, m: int, f: int, s: int, temperature: float = 1.0) -> DataFrame:
+    """(r, q, score): ``matched_score`` with weights for counts.
+
+    Feature neighbours (of unit vectors) weigh the root of their cosine, at least zero; spatial neighbours exp(-d^2 / 2 T). Both need
+    ``dist``. A match's score is the root of its two feature weights times sqrt(A * B) / min(f, s).
+    """
+    near = lambda e, a, b: e.select(F.col("src").alias(a), F.col("dst").alias(b), "rank", F.sqrt(F.greatest(1 - F.col("dist") * F.col("dist") / 2, F.lit(0.0))).alias("w"))
+    around = lambda e, b: e.select(F.col("src").alias("via"), F.col("dst").alias(b), F.exp(-F.col("dist") * F.col("dist") / (2 * temperature)).alias("g"))
+    left, right = near(qr, "q", "via"), near(rq, "r", "via")
+    pairs = near(qr, "q", "r").where(F.col("rank") <= m).select("q", "r", F.col("w").alias("wq"))
+    pairs = pairs.join(near(rq, "r", "q").where(F.col("rank") <= m).select("q", "r", F.col("w").alias("wr")), ["q", "r"])
+    support = lambda e, g, name: e.join(g, "via").join(pairs.select("q", "r"), ["q", "r"], "left_semi").groupBy("q", "r").agg(F.sum(F.col("w") * F.col("g")).alias(name))
+    both = pairs.join(support(left, around(rr, "r"), "a"), ["q", "r"]).join(support(right, around(qq, "q"), "b"), ["q", "r"])
+    return both.select("r", "q", F.sqrt(F.col("wq") * F.col("wr") * F.sqrt(F.col("a") * F.col("b")) / float(min(f, s))).alias("score"))
+
+
 def similarity(dist: Column, method: str, scale: Column | float = 1.0) -> Column:
     """Distance to similarity after division by ``scale``."""
     d = dist / (scale if isinstance(scale, Column) else F.lit(float(scale)))

@@ -150,6 +150,25 @@ def spatial_gene_table(scores: DataFrame, middle: float = 0.5) -> DataFrame:
     return bh_adjust(scores.withColumn("p", F.coalesce(special.upper_tail(z), F.lit(1.0))), "p", order="gene").orderBy("q", "p", "gene")
 
 
+def weighted_moments(expr: DataFrame, points: DataFrame, axes: tuple[str, ...] = ("x", "y")) -> DataFrame:
+    """(gene, moment, weight): each gene's mean squared Mahalanobis distance from its centroid, its values as weights over the points
+    (id, axes) and the metric the inverse covariance of all points. One pass of sums: the trace of the metric times the gene's
+    weighted covariance. Weights are not negative; a gene without weight is left out."""
+    import numpy as np
+
+    d = len(axes)
+    row = points.agg(*[F.covar_samp(a, b).alias(f"c{i}_{j}") for i, a in enumerate(axes) for j, b in enumerate(axes)]).first()
+    metric = np.linalg.inv(np.array([[row[f"c{i}_{j}"] for j in range(d)] for i in range(d)], float))
+    both = expr.join(points.select(F.col("id").alias("cell"), *axes), "cell")
+    w = F.col("value")
+    sums = [F.sum(w).alias("weight"), *[F.sum(w * F.col(a)).alias(f"s{i}") for i, a in enumerate(axes)]]
+    sums += [F.sum(w * F.col(a) * F.col(b)).alias(f"s{i}_{j}") for i, a in enumerate(axes) for j, b in enumerate(axes)]
+    s = both.groupBy("gene").agg(*sums).where("weight > 0")
+    spread = lambda i, j: F.col(f"s{i}_{j}") / F.col("weight") - F.col(f"s{i}") * F.col(f"s{j}") / (F.col("weight") * F.col("weight"))
+    moment = sum((F.lit(float(metric[i, j])) * spread(i, j) for i in range(d) for j in range(d)), F.lit(0.0))
+    return s.select("gene", moment.alias("moment"), "weight")
+
+
 def interval(values: DataFrame, column: str, share: float = 0.995, tailed: str = "two", kernel: str = "normal") -> tuple[float | None, float | None]:
     """Bounds of a fitted normal, Poisson (shifted by its mean) or negative binomial interval."""
     row = values.agg(F.avg(column).alias("m"), F.stddev_pop(column).alias("s")).first()
