@@ -2,16 +2,60 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def pair_sums(entries: DataFrame, block: int = 512, chunk: int = 4096) -> DataFrame:
+    """(a, b, n, xy, x, y, xx, yy) of gene pairs a < b over the cells that store both, from entries (cell, gene, value): how many cells,
+    and the sums of products, values and squares.
+
+    Genes are dealt into blocks of about ``block`` and cells into chunks of about ``chunk`` by hash; each pair of blocks meets a chunk
+    in one task, which multiplies matrices and gives a row per pair that it holds. A repeated (cell, gene) adds up.
+    """
+    entries = entries.select("cell", "gene", F.col("value").cast("double").alias("value")).dropna()
+    kind = entries.schema["gene"].dataType.simpleString()
+    size = entries.agg(F.count_distinct("gene"), F.count_distinct("cell")).first()
+    blocks, chunks = max(1, -(-size[0] // block)), max(1, -(-size[1] // chunk))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    own = entries.select("*", part("gene", blocks).alias("own"), part("cell", chunks).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("met"))
+    own = own.withColumns({"lo": F.least("own", "met"), "hi": F.greatest("own", "met")})
+
+    def run(rows: pa.Table) -> pa.Table:
+        cells, genes = rows.column("cell").combine_chunks().dictionary_encode(), rows.column("gene").combine_chunks().dictionary_encode()
+        at, g = cells.indices.to_numpy(), genes.indices.to_numpy()
+        lo, hi = rows.column("lo").to_numpy(), rows.column("hi").to_numpy()
+        lower, same = rows.column("own").to_numpy() == lo, bool(lo[0] == hi[0])
+        home = np.zeros(len(genes.dictionary), bool)
+        home[g[lower]] = True
+        left = np.flatnonzero(home)
+        right = left if same else np.flatnonzero(~home)
+        x, held = np.zeros((len(cells.dictionary), len(home))), np.zeros((len(cells.dictionary), len(home)))
+        np.add.at(x, (at, g), rows.column("value").to_numpy())
+        held[at, g] = 1
+        u, v, hu, hv = x[:, left], x[:, right], held[:, left], held[:, right]
+        n = hu.T @ hv
+        if same:
+            n = np.triu(n, 1)
+        i, j = np.nonzero(n)
+        sums = [n, u.T @ v, u.T @ hv, hu.T @ v, (u * u).T @ hv, hu.T @ (v * v)]
+        a, b = (genes.dictionary.take(pa.array(s[k])) for s, k in ((left, i), (right, j)))
+        return pa.Table.from_arrays([a, b, *[pa.array(m[i, j]) for m in sums]], names=["a", "b", "n", "xy", "x", "y", "xx", "yy"])
+
+    found = own.groupBy("lo", "hi", "part").applyInArrow(run, f"a {kind}, b {kind}, n double, xy double, x double, y double, xx double, yy double")
+    turned = F.col("a") > F.col("b")
+    pick = lambda c, d: F.when(turned, F.col(d)).otherwise(F.col(c)).alias(c)
+    found = found.select(pick("a", "b"), pick("b", "a"), "n", "xy", pick("x", "y"), pick("y", "x"), pick("xx", "yy"), pick("yy", "xx"))
+    return found.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "xy", "x", "y", "xx", "yy")])
+
+
 def gene_correlation(expr: DataFrame, n_cells: int) -> DataFrame:
     """(a, b, r) for gene pairs a < b that share a cell, zeros included by moments."""
     m = expr.groupBy("gene").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
-    left, right = expr.select("cell", F.col("gene").alias("a"), F.col("value").alias("x")), expr.select("cell", F.col("gene").alias("b"), F.col("value").alias("y"))
-    dots = left.join(right, "cell").where("a < b").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("d"))
+    dots = pair_sums(expr).select("a", "b", F.col("xy").alias("d"))
     ma, mb = m.select(F.col("gene").alias("a"), F.col("s").alias("sa"), F.col("q").alias("qa")), m.select(F.col("gene").alias("b"), F.col("s").alias("sb"), F.col("q").alias("qb"))
     n = float(n_cells)
     cov = F.col("d") - F.col("sa") * F.col("sb") / n
@@ -21,22 +65,31 @@ def gene_correlation(expr: DataFrame, n_cells: int) -> DataFrame:
 
 def bicor(expr: DataFrame) -> DataFrame:
     """(a, b, r): biweight midcorrelation of gene pairs over cells where both are stored."""
-    by = W.partitionBy("gene")
-    med = expr.withColumn("m", F.median("value").over(by)).withColumn("mad", F.median(F.abs(F.col("value") - F.col("m"))).over(by))
-    u = F.try_divide(F.col("value") - F.col("m"), 9 * F.col("mad"))
+    value = F.col("value").cast("double")
+    m = expr.groupBy("gene").agg(F.median(value).alias("m"))
+    med = expr.join(m, "gene").withColumn("apart", value - F.col("m"))
+    med = med.join(med.groupBy("gene").agg(F.median(F.abs("apart")).alias("mad")), "gene")
+    u = F.try_divide(F.col("apart"), 9 * F.col("mad"))
     w = F.when(F.abs(u) < 1, F.pow(1 - u * u, F.lit(2.0))).otherwise(0.0)
-    x = med.withColumn("x", (F.col("value") - F.col("m")) * w).withColumn("norm", F.sqrt(F.sum(F.col("x") * F.col("x")).over(by)))
-    x = x.select("cell", "gene", F.try_divide("x", "norm").alias("x"))
-    a, b = x.select("cell", F.col("gene").alias("a"), F.col("x").alias("xa")), x.select("cell", F.col("gene").alias("b"), F.col("x").alias("xb"))
-    return a.join(b, "cell").where("a < b").groupBy("a", "b").agg(F.sum(F.col("xa") * F.col("xb")).alias("r"))
+    x = med.select("cell", "gene", (F.col("apart") * w).alias("x"))
+    norm = x.groupBy("gene").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    x = x.join(norm, "gene").select("cell", "gene", F.try_divide("x", "norm").alias("value"))
+    return pair_sums(x).select("a", "b", F.col("xy").alias("r"))
 
 
 def spearman(expr: DataFrame) -> DataFrame:
-    """(a, b, r): rank correlation of gene pairs over cells where both are stored; average ranks at ties."""
-    rank = F.rank().over(W.partitionBy("gene").orderBy("value")) + (F.count("*").over(W.partitionBy("gene", "value")) - 1) / 2
-    ranked = expr.select("cell", "gene", rank.alias("k"))
-    a, b = ranked.select("cell", F.col("gene").alias("a"), F.col("k").alias("ka")), ranked.select("cell", F.col("gene").alias("b"), F.col("k").alias("kb"))
-    return a.join(b, "cell").where("a < b").groupBy("a", "b").agg(F.corr("ka", "kb").alias("r"))
+    """(a, b, r): rank correlation of gene pairs over cells where both are stored; average ranks at ties. Ranks come from counts of
+    distinct values, so what is ordered within a gene is its values, not its cells. A constant side gives null."""
+    ties = expr.groupBy("gene", "value").agg(F.count("*").alias("t"))
+    before = F.coalesce(F.sum("t").over(W.partitionBy("gene").orderBy("value").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    middle = ties.groupBy("gene").agg((F.sum("t") / 2).alias("mid"))
+    # Ranks about their middle keep the sums small.
+    ranks = ties.select("gene", "value", (before + (F.col("t") + 1) / 2).alias("k")).join(middle, "gene")
+    s = pair_sums(expr.join(ranks, ["gene", "value"]).select("cell", "gene", (F.col("k") - F.col("mid")).alias("value")))
+    n = F.col("n")
+    spread = lambda q, t: F.col(q) - F.col(t) * F.col(t) / n
+    both = spread("xx", "x") * spread("yy", "y")
+    return s.select("a", "b", F.when(both > 1e-9, (F.col("xy") - F.col("x") * F.col("y") / n) / F.sqrt(both)).alias("r"))
 
 
 def activation(r: Column, kind: str = "unsigned", alpha: float = 0.02) -> Column:
@@ -73,8 +126,8 @@ def stochastic(edges: DataFrame, by: str = "a", weight: str = "w") -> DataFrame:
 def overlap(edges: DataFrame) -> DataFrame:
     """(a, b, tom): (A^2 + A) / (min(k_a, k_b) + 1 - A) of a symmetric adjacency without diagonal."""
     k = edges.groupBy("a").agg(F.sum("w").alias("k"))
-    left, right = edges.select("a", F.col("b").alias("via"), F.col("w").alias("x")), edges.select(F.col("a").alias("via"), "b", F.col("w").alias("y"))
-    two = left.join(right, "via").where("a <> b").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("l"))
+    half = pair_sums(edges.select(F.col("b").alias("cell"), F.col("a").alias("gene"), F.col("w").alias("value"))).select("a", "b", F.col("xy").alias("l"))
+    two = half.unionAll(half.select(F.col("b").alias("a"), F.col("a").alias("b"), "l"))
     full = two.join(edges, ["a", "b"], "full").join(k.select("a", F.col("k").alias("ka")), "a").join(k.select(F.col("a").alias("b"), F.col("k").alias("kb")), "b")
     w = F.coalesce("w", F.lit(0.0))
     return full.select("a", "b", F.try_divide(F.coalesce("l", F.lit(0.0)) + w, F.least("ka", "kb") + 1 - w).alias("tom"))

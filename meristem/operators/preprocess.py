@@ -5,6 +5,8 @@ Zeros are absent, so every mean, variance and fraction divides by an explicit nu
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -130,16 +132,40 @@ def geometric_mean(expr: DataFrame, n_cells: int, eps: float = 1.0) -> DataFrame
     return expr.groupBy("gene").agg((F.exp((F.sum(F.ln(F.col("value") + eps)) + zeros) / n_cells) - eps).alias("gmean"))
 
 
-def residual_variance(expr: DataFrame, n_cells: int, theta: float = 100.0) -> DataFrame:
-    """Variance of clipped Pearson residuals per gene under a negative binomial null, zeros included."""
+def residual_variance(expr: DataFrame, n_cells: int, theta: float = 100.0, gene_rows: int = 4096, size_rows: int = 65_536) -> DataFrame:
+    """Variance of clipped Pearson residuals per gene under a negative binomial null, zeros included.
+
+    A zero's residual follows from the gene's total and the cell's size, so zeros are summed over the distinct sizes and their
+    counts, blocks of genes against blocks of sizes; stored entries then put their own residual in a zero's place.
+    """
+    expr = expr.select("cell", "gene", F.col("value").cast("double").alias("value"))
     cells = expr.groupBy("cell").agg(F.sum("value").alias("size"))
     genes = expr.groupBy("gene").agg(F.sum("value").alias("total"))
-    whole = expr.agg(F.sum("value").alias("whole"))
-    full = cells.crossJoin(genes).join(expr, ["cell", "gene"], "left").crossJoin(F.broadcast(whole))
-    mu = F.col("size") * F.col("total") / F.col("whole")
-    top = n_cells**0.5
-    r = (F.coalesce("value", F.lit(0.0)) - mu) / F.sqrt(mu + mu * mu / theta)
-    return full.groupBy("gene").agg(F.var_pop(F.greatest(F.lit(-top), F.least(F.lit(top), r))).alias("residual_variance"))
+    whole, top = expr.agg(F.sum("value")).first()[0] or 1.0, float(n_cells) ** 0.5
+    sizes = cells.groupBy("size").agg(F.count("*").alias("times"))
+    g_blocks, s_blocks = max(1, -(-genes.count() // gene_rows)), max(1, -(-sizes.count() // size_rows))
+
+    def dealt(frame: DataFrame, key: str, n: int, m: int) -> DataFrame:
+        return frame.select("*", F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("met"))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        total, size, times = left.column("total").to_numpy(), right.column("size").to_numpy(), right.column("times").to_numpy()
+        s1, s2 = np.zeros(len(total)), np.zeros(len(total))
+        for i in range(0, len(total), 64):
+            mu = np.maximum(total[i : i + 64, None] * size[None] / whole, 1e-300)
+            r = np.maximum(-top, -mu / np.sqrt(mu + mu * mu / theta))
+            s1[i : i + 64], s2[i : i + 64] = r @ times, (r * r) @ times
+        return pa.Table.from_arrays([left.column("gene"), pa.array(s1), pa.array(s2)], names=["gene", "s1", "s2"])
+
+    left, right = dealt(genes, "gene", g_blocks, s_blocks), dealt(sizes, "size", s_blocks, g_blocks)
+    zeros = left.groupBy("own", "met").cogroup(right.groupBy("met", "own")).applyInArrow(run, f"gene {expr.schema['gene'].dataType.simpleString()}, s1 double, s2 double")
+    mu = F.col("size") * F.col("total") / F.lit(float(whole))
+    clipped = lambda x: F.greatest(F.lit(-top), F.least(F.lit(top), F.coalesce(F.try_divide(x - mu, F.sqrt(mu + mu * mu / theta)), F.lit(0.0))))
+    own = expr.join(cells, "cell").join(genes, "gene").select("gene", clipped(F.col("value")).alias("r"), clipped(F.lit(0.0)).alias("z"))
+    own = own.select("gene", (F.col("r") - F.col("z")).alias("s1"), (F.col("r") * F.col("r") - F.col("z") * F.col("z")).alias("s2"))
+    sums = zeros.unionAll(own).groupBy("gene").agg(F.sum("s1").alias("s1"), F.sum("s2").alias("s2"))
+    # Cells without any count have residual zero, as their size is.
+    return sums.select("gene", (F.col("s2") / n_cells - F.pow(F.col("s1") / n_cells, F.lit(2.0))).alias("residual_variance"))
 
 
 def gene_set_score(expr: DataFrame, members: DataFrame, controls: DataFrame, column: str = "norm") -> DataFrame:
