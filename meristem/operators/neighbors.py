@@ -144,25 +144,32 @@ def shared_neighbours(edges: DataFrame) -> DataFrame:
     return a.join(b, "dst").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
-def shortest(edges: DataFrame, share: float) -> DataFrame:
-    """The ``share`` of shortest edges, ties by (src, dst). A global rank without a single task: edges are sorted in ranges, a
-    range's rows are counted, and an edge's rank is its place in its range plus the rows of the ranges before."""
-    order = ("dist", "src", "dst")
-    ranges = edges.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    dealt = edges.repartitionByRange(int(ranges), *order).sortWithinPartitions(*order)
+def ranged(frame: DataFrame, *order: str) -> tuple[DataFrame, dict[int, int]]:
+    """``frame`` sorted by ``order`` in ranges, with ``__part`` (the range) and ``__place`` (from 0, within it), and the rows of each
+    range: a global rank without a single task. Cut off from its lineage, as places must not change."""
+    ranges = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = frame.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
     # The lower 33 bits of the id are a row's place in its partition, the upper ones the partition.
     placed = dealt.withColumn("__id", F.monotonically_increasing_id())
-    placed = placed.checkpoint() if edges.sparkSession.sparkContext.getCheckpointDir() else placed.persist()
-    part, place = F.shiftright("__id", 33), F.col("__id").bitwiseAND((1 << 33) - 1)
-    counts = sorted((r[0], r[1]) for r in placed.groupBy(part.alias("p")).count().collect())
-    take, left = {}, int(sum(n for _, n in counts) * share)
-    for p, n in counts:
-        take[p] = min(n, left)
-        left -= take[p]
-    limits = [F.lit(x) for p, n in take.items() if n for x in (p, n)]
-    if not limits:
-        return placed.where("false").drop("__id")
-    return placed.where(place < F.coalesce(F.try_element_at(F.create_map(*limits), part), F.lit(0))).drop("__id")
+    placed = placed.checkpoint() if frame.sparkSession.sparkContext.getCheckpointDir() else placed.persist()
+    placed = placed.withColumns({"__part": F.shiftright("__id", 33), "__place": F.col("__id").bitwiseAND((1 << 33) - 1)}).drop("__id")
+    return placed, dict(sorted((r[0], r[1]) for r in placed.groupBy("__part").count().collect()))
+
+
+def by_range(values: dict[int, float], default: float) -> Column:
+    """A value for each range of ``ranged``."""
+    flat = [F.lit(x) for pair in values.items() for x in pair]
+    return F.coalesce(F.try_element_at(F.create_map(*flat), F.col("__part")), F.lit(default)) if flat else F.lit(default)
+
+
+def shortest(edges: DataFrame, share: float) -> DataFrame:
+    """The ``share`` of shortest edges, ties by (src, dst)."""
+    placed, counts = ranged(edges, "dist", "src", "dst")
+    take, left = {}, int(sum(counts.values()) * share)
+    for part, n in counts.items():
+        take[part] = min(n, left)
+        left -= take[part]
+    return placed.where(F.col("__place") < by_range(take, 0)).drop("__part", "__place")
 
 
 def matched_score(qr: DataFrame, rq: DataFrame, rr: DataFrame, qq: DataFrame, m: int, f: int, s: int) -> DataFrame:

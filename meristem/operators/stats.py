@@ -7,18 +7,32 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import special
-from .neighbors import radius
+from .neighbors import by_range, radius, ranged
 from .preprocess import minmax, variance_with_zeros
 
 
 def bh_adjust(table: DataFrame, p: str = "p", by: list[str] | None = None, order: str = "id") -> DataFrame:
-    """Benjamini-Hochberg ``q`` within ``by``: the reversed running minimum of p * n / rank, at most one."""
-    by = by or []
-    up = W.partitionBy(*by).orderBy(F.col(p).asc(), F.col(order).asc())
+    """Benjamini-Hochberg ``q`` within ``by``: the reversed running minimum of p * n / rank, at most one, ties by ``order``. A null p has a
+    null q and does not count. Without ``by`` ranks and minima come from sorted ranges, each a task."""
+    if not by:
+        placed, counts = ranged(table.where(F.col(p).isNotNull()), p, order)
+        before, total = {}, 0
+        for part, n in counts.items():
+            before[part], total = total, total + n
+        ranked = placed.withColumn("__step", F.col(p) * float(total) / (by_range(before, 0) + F.col("__place") + 1))
+        later, least = {}, 1.0
+        lowest = dict(ranked.groupBy("__part").agg(F.min("__step")).collect())
+        for part in reversed(counts):
+            later[part], least = least, min(least, lowest[part])
+        down = W.partitionBy("__part").orderBy(F.desc("__place")).rowsBetween(W.unboundedPreceding, 0)
+        out = ranked.withColumn("q", F.least(F.min("__step").over(down), by_range(later, 1.0))).select(*table.columns, "q")
+        return out.unionAll(table.where(F.col(p).isNull()).withColumn("q", F.lit(None).cast("double")))
+    up = W.partitionBy(*by).orderBy(F.col(p).asc_nulls_last(), F.col(order).asc())
     whole = W.partitionBy(*by)
     down = W.partitionBy(*by).orderBy(F.col(p).desc(), F.col(order).desc()).rowsBetween(W.unboundedPreceding, 0)
-    step = F.col(p) * F.count("*").over(whole) / F.row_number().over(up)
-    return table.withColumn("__step", step).withColumn("q", F.least(F.lit(1.0), F.min("__step").over(down))).drop("__step")
+    step = F.col(p) * F.count(p).over(whole) / F.row_number().over(up)
+    q = F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.min("__step").over(down)))
+    return table.withColumn("__step", step).withColumn("q", q).drop("__step")
 
 
 def bonferroni(table: DataFrame, p: str = "p", by: list[str] | None = None) -> DataFrame:

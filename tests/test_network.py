@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from meristem.operators import network, preprocess
+from meristem.operators import network, preprocess, stats
 
 
 @pytest.fixture(scope="module")
@@ -55,3 +55,18 @@ def test_residual_variance(counts, gene_rows, size_rows):
 def test_no_entries(counts):
     expr = counts[1].where("false")
     assert network.pair_sums(expr).isEmpty() and network.gene_correlation(expr, 3).isEmpty() and preprocess.residual_variance(expr, 3).isEmpty()
+
+
+@pytest.mark.parametrize("by", [None, ["grp"]])
+def test_adjusted_p_values(spark, by):
+    p = np.round(np.random.default_rng(5).random(60), 1)
+    rows = [(i, 1, None if i % 17 == 0 else float(v)) for i, v in enumerate(p)]
+    table = spark.createDataFrame(rows, "id bigint, grp bigint, p double")
+    got = {r.id: r.q for r in stats.bh_adjust(table, by=by).collect()}
+    own = sorted((v, i) for i, _, v in rows if v is not None)
+    want, low = {}, 1.0
+    for k in range(len(own), 0, -1):
+        low = min(low, own[k - 1][0] * len(own) / k)
+        want[own[k - 1][1]] = low
+    assert got == {i: pytest.approx(want[i]) if i in want else None for i in range(60)}
+    assert stats.bh_adjust(table.where("false"), by=by).isEmpty()
