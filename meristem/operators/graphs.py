@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans import settled
+
 
 def asymmetry(edges: DataFrame) -> DataFrame:
     """One row: the largest |A - A^T| of an edge table (src, dst, w); absent edges are zero."""
@@ -97,14 +99,14 @@ def smallest_reachable(edges: DataFrame) -> DataFrame:
     """(id, component): connected components by smallest labels with pointer jumping, until nothing moves; state goes to the checkpoint
     folder where one is set."""
     both = edges.select("src", "dst").unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    keep = edges.sparkSession.sparkContext.getCheckpointDir() is not None
+    both = settled(both)  # every round reads them
     state = both.groupBy(F.col("src").alias("id")).agg(F.least(F.min("dst"), F.col("src")).alias("component"))
     while True:
         near = both.join(state.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("component").alias("n"))
         step = state.join(near, "id").select("id", "component", F.least("component", "n").alias("m"))
         jump = step.join(state.select(F.col("id").alias("m"), F.col("component").alias("j")), "m", "left")
         new = jump.select("id", F.least("m", F.coalesce("j", "m")).alias("component"), (F.least("m", F.coalesce("j", "m")) != F.col("component")).alias("moved"))
-        new = new.checkpoint() if keep else new.persist()
+        new = settled(new)
         state = new.select("id", "component")
         if new.where("moved").isEmpty():
             return state

@@ -13,16 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans import settled
 from .neighbors import knn, mutual
 
 _CORRECTED = "id bigint, grp bigint, vec array<double>"
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """A cut of lineage: a checkpoint where the context has a folder for it."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
-
-
 def _rows(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column("vec").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
 
@@ -39,7 +35,7 @@ def mnn_correct(points: DataFrame, reference: int, k: int = 20, sigma: float = 1
     vec = points.select("id", "vec")
     ends = pairs.join(vec.withColumnsRenamed({"id": "src", "vec": "a"}), "src").join(vec.withColumnsRenamed({"id": "dst", "vec": "b"}), "dst")
     shift = ends.select("src", F.posexplode(F.zip_with("b", "a", lambda b, a: b - a)).alias("axis", "d")).groupBy("src", "axis").agg(F.avg("d").alias("d"))
-    shift = _kept(shift.groupBy("src").agg(F.transform(F.array_sort(F.collect_list(F.struct("axis", "d"))), lambda x: x["d"]).alias("shift")))
+    shift = settled(shift.groupBy("src").agg(F.transform(F.array_sort(F.collect_list(F.struct("axis", "d"))), lambda x: x["d"]).alias("shift")))
     movable = points.where(F.col("grp") != reference)
     anchored = movable.join(shift.select(F.col("src").alias("id")), "id", "left_semi")
     near = knn(movable, anchored, smooth, exclude_self=False, scope="within")
@@ -76,7 +72,7 @@ def harmony(points: DataFrame, clusters: int = 8, rounds: int = 3, inner: int =
     """``points`` (id, grp, vec) corrected for their batch. Each round: soft k-means on unit vectors, where clusters that hold more of a batch
     than expected are penalised by ((expected + 1) / (observed + 1)) ** theta, then a ridge regression in each cluster takes the
     batch's shift away. Centres begin at distinct vectors chosen by the hash of their id."""
-    now = _kept(points.where("id IS NOT NULL AND vec IS NOT NULL AND grp IS NOT NULL").select("id", "grp", "vec"))
+    now = settled(points.where("id IS NOT NULL AND vec IS NOT NULL AND grp IS NOT NULL").select("id", "grp", "vec"))
     sizes = {r["grp"]: r["n"] for r in now.groupBy("grp").agg(F.count("*").alias("n")).orderBy("grp").collect()}
     if len(sizes) < 2:
         return now
@@ -111,7 +107,7 @@ def harmony(points: DataFrame, clusters: int = 8, rounds: int = 3, inner: int =
         return flat[:cut].reshape(clusters, -1), flat[cut : cut + clusters * axes].reshape(clusters, axes), flat[cut + clusters * axes :].reshape(clusters, len(names), axes)
 
     for _ in range(rounds):
-        both = _kept(now.join(original.select("id", F.col("vec").alias("was")), "id"))
+        both = settled(now.join(original.select("id", F.col("vec").alias("was")), "id"))
         for _ in range(inner):
             o, y, _ = sums_of(both, centres, penalty)
             centres = y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
@@ -128,5 +124,5 @@ def harmony(points: DataFrame, clusters: int = 8, rounds: int = 3, inner: int =
                     new = was - np.einsum("ik,ikd->id", r, shift[:, b].transpose(1, 0, 2))
                     yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "grp": batch.column("grp"), "vec": pa.array(list(new), pa.list_(pa.float64()))})
 
-        now = _kept(both.mapInArrow(move, _CORRECTED))
+        now = settled(both.mapInArrow(move, _CORRECTED))
     return now

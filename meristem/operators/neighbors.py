@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans import settled
+
 SCOPES = ("global", "within", "rest", "each", "next")
 
 
@@ -151,8 +153,7 @@ def ranged(frame: DataFrame, *order: str) -> tuple[DataFrame, dict[int, int]]:
     dealt = frame.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
     # The lower 33 bits of the id are a row's place in its partition, the upper ones the partition.
     placed = dealt.withColumn("__id", F.monotonically_increasing_id())
-    placed = placed.checkpoint() if frame.sparkSession.sparkContext.getCheckpointDir() else placed.persist()
-    placed = placed.withColumns({"__part": F.shiftright("__id", 33), "__place": F.col("__id").bitwiseAND((1 << 33) - 1)}).drop("__id")
+    placed = settled(placed).withColumns({"__part": F.shiftright("__id", 33), "__place": F.col("__id").bitwiseAND((1 << 33) - 1)}).drop("__id")
     return placed, dict(sorted((r[0], r[1]) for r in placed.groupBy("__part").count().collect()))
 
 

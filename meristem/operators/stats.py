@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import special
+from ..plans import settled
 from .neighbors import by_range, radius, ranged
 from .preprocess import minmax, variance_with_zeros
 
@@ -113,6 +114,14 @@ def top_per_group(table: DataFrame, group: str, by: str, n: int, tie: str) -> Da
     return table.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
+def _around(edges: DataFrame, expr: DataFrame, column: str) -> DataFrame:
+    """Edges with each stored gene of their ``dst`` as (gene, v). Cells travel as arrays to their edges' ``src`` and open there, so that
+    sums by (src, gene) need no shuffle of their own."""
+    held = expr.groupBy(F.col("cell").alias("dst")).agg(F.collect_list(F.struct("gene", F.col(column).cast("double").alias("v"))).alias("__held"))
+    met = edges.join(held, "dst").repartition("src")
+    return met.select(*edges.columns, F.inline("__held"))
+
+
 def neighbour_mean(edges: DataFrame, expr: DataFrame, nodes: DataFrame, column: str = "value") -> DataFrame:
     """(id, gene, mean): mean over each node's neighbours (edges dst -> id ``src``), zeros counted; a node without
     neighbours has its own value. Absent rows are zero."""
@@ -146,18 +155,23 @@ def spatial_genes(expr: DataFrame, points: DataFrame, min_cell: float = 5, min_g
         unit = scale_unit(points)
         radii = (d1 * unit, d2 * unit)
     scaled = minmax(kept, n)
-    found = []
-    for r in radii:
-        means = neighbour_mean(radius(points, r), scaled, points, "scaled").select("id", "gene", F.col("mean").alias("value"))
-        found.append(variance_with_zeros(means, n).select("gene", F.col("variance").alias(f"v{len(found)}")))
+    # One radius join serves both radii, whose sums differ in which edges they take.
+    pairs = radius(points, max(radii))
+    inside = [F.col("dist") <= r for r in radii]
+    degree = pairs.groupBy("src").agg(*[F.count_if(c).alias(f"d{i}") for i, c in enumerate(inside)])
+    sums = _around(pairs, scaled, "scaled").groupBy("src", "gene").agg(*[F.sum(F.when(c, F.col("v"))).alias(f"s{i}") for i, c in enumerate(inside)])
+    means = sums.join(degree, "src").select("gene", *[F.coalesce(F.try_divide(f"s{i}", f"d{i}"), F.lit(0.0)).alias(f"m{i}") for i in (0, 1)])
+    spread = [(F.sum(F.col(m) * F.col(m)) / n - F.pow(F.sum(m) / n, F.lit(2.0))).alias(v) for m, v in (("m0", "v0"), ("m1", "v1"))]
+    found = means.groupBy("gene").agg(*spread)
     raw = variance_with_zeros(kept, n).select("gene", F.col("variance").alias("raw"))
     top = raw.agg(F.max("raw").alias("top"))
-    out = raw.join(found[0], "gene").join(found[1], "gene").crossJoin(F.broadcast(top))
+    out = raw.join(found, "gene").crossJoin(F.broadcast(top))
     return out.select("gene", (F.try_divide(F.col("v1"), F.col("v0")) * F.pow(F.col("raw") / F.col("top"), F.lit(power))).alias("t"))
 
 
 def spatial_gene_table(scores: DataFrame, middle: float = 0.5) -> DataFrame:
     """``scores`` (gene, t) with a lognormal upper tail p fitted below the ``middle`` quantile, and q."""
+    scores = settled(scores)
     cut = scores.agg(F.percentile("t", F.lit(middle))).first()[0]
     fit = scores.where((F.col("t") < cut) & (F.col("t") > 0)).agg(F.avg(F.ln("t")).alias("m"), F.stddev_pop(F.ln("t")).alias("s")).first()
     z = (F.ln(F.nullif("t", F.lit(0.0))) - (fit["m"] or 0.0)) / (fit["s"] or 1.0)

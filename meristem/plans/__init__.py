@@ -30,6 +30,11 @@ def ship(spark: SparkSession) -> None:
         spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(folder, "meristem"), "zip", top))
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once and cut off from its lineage: in the checkpoint folder where one is set, else kept in memory and on disk."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
 def plan_text(df: DataFrame) -> str:
     """The formatted physical plan."""
     out = io.StringIO()
