@@ -911,7 +911,23 @@ def poisson_nll(spark, d):
     return r.agg(F.round(graphs.poisson_nll(F.col("value"), F.col("mu")), 2).alias("nll"))
 
 
-@query()
+_FUZZY = f"""
+WITH RECURSIVE {_EMB}, {_nn(15)},
+ds AS (SELECT src, list(dist ORDER BY dist) AS ds, coalesce(min(dist) FILTER (dist > 0), 0) AS rho FROM nn GROUP BY src),
+it AS (
+  SELECT src, 0 AS k, 0.0::DOUBLE AS lo, 'infinity'::DOUBLE AS hi, 1.0::DOUBLE AS s FROM ds
+  UNION ALL
+  SELECT src, k + 1, lo, hi, CASE WHEN isfinite(hi) THEN (lo + hi) / 2 ELSE s * 2 END FROM (
+    SELECT src, k, CASE WHEN total > log2(15) THEN lo ELSE s END AS lo, CASE WHEN total > log2(15) THEN s ELSE hi END AS hi, s
+    FROM (SELECT it.*, list_sum(list_transform(ds, lambda d: exp(-greatest(d - rho, 0) / s))) AS total FROM it JOIN ds USING (src)) WHERE k < 64 AND abs(total - log2(15)) >= 1e-5)),
+fit AS (SELECT src, rho, greatest(max_by(s, k), 1e-3 * list_avg(ds)) AS sigma FROM it JOIN ds USING (src) GROUP BY src, rho, ds),
+a AS (SELECT src, dst, exp(-greatest(dist - rho, 0) / sigma) AS w FROM nn JOIN fit USING (src)),
+b AS (SELECT src, dst, max(v) AS v, max(w) AS w FROM (SELECT src, dst, w, 0 AS v FROM a UNION ALL SELECT dst, src, 0, w FROM a) GROUP BY ALL)
+SELECT src, dst, round(w + v - w * v, 6) AS w FROM b
+"""
+
+
+@query(_FUZZY)
 def fuzzy_connectivities(spark, d):
     return rounded(graphs.fuzzy_connectivities(edges(spark, d, 15), 15), "w")
 
@@ -922,7 +938,12 @@ def graph_communities(spark, d):
     return graphs.communities(e).select("id", "community")
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {_EMB}, {_nn(10)}, own AS (SELECT src, dst FROM nn UNION SELECT src, src FROM nn), strong AS (SELECT a.src AS a, b.src AS b FROM own a JOIN own b ON a.dst = b.dst AND a.src < b.src GROUP BY ALL HAVING count(*) >= 4), "
+    "e AS (SELECT a AS src, b AS dst FROM strong UNION ALL SELECT b, a FROM strong), core AS (SELECT src AS id FROM e GROUP BY src HAVING count(*) >= 2), "
+    "reach AS (SELECT id, id AS c FROM core UNION SELECT e.dst, r.c FROM reach r JOIN e ON e.src = r.id JOIN core ON core.id = e.dst), found AS (SELECT id, min(c) AS cluster FROM reach GROUP BY id) "
+    "SELECT * FROM found UNION ALL SELECT e.src, min(cluster) FROM e JOIN found ON found.id = e.dst WHERE e.src NOT IN (SELECT id FROM core) GROUP BY e.src"
+)
 def snn_clusters(spark, d):
     return graphs.shared_neighbour_clusters(neighbors.shared_neighbours(edges(spark, d, 10).select("src", "dst")), 4, 2)
 
@@ -1153,3 +1174,110 @@ def em_mixed(spark, d):
     p = points(spark, d).select("id", "x", "y")
     m, s2 = register.em_register(geometry.transform_points(p, _SMALL), p, "rigid", mixed=True)
     return _matrix_rows(spark, m, sigma2=round(s2, 6))
+
+
+@query(f"WITH {_EMB}, nn AS (SELECT a.id AS src, b.id AS dst, list_distance(a.vec, b.vec) AS dist, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.vec, b.vec), b.id) AS rank FROM emb a JOIN emb b ON b.grp = a.grp + 1 QUALIFY rank <= 2) SELECT x.src, x.dst, round(x.dist, 6) AS dist, round(y.dist, 6) AS second FROM nn x JOIN nn y ON x.src = y.src AND x.rank = 1 AND y.rank = 2 WHERE x.dist < 0.97 * y.dist")
+def ratio_matches(spark, d):
+    return rounded(neighbors.ratio_matches(neighbors.knn(points(spark, d), k=2, scope="next", exclude_self=False), 0.97), "dist", "second")
+
+
+@query(f"WITH {_EMB}, {_nn()}, w AS (SELECT src, dst, exp(-dist) AS w FROM nn), deg AS (SELECT src, sum(w) AS d FROM w GROUP BY src) SELECT w.src, w.dst, round(-w / sqrt(a.d * b.d), 6) AS w FROM w JOIN deg a ON a.src = w.src JOIN deg b ON b.src = w.dst UNION ALL SELECT id, id, 1.0 FROM emb")
+def graph_laplacian(spark, d):
+    return rounded(graphs.laplacian(_weighted(spark, d), points(spark, d)), "w")
+
+
+@query(
+    f"WITH RECURSIVE {_EMB}, e AS (SELECT a.id AS src, b.id AS dst FROM emb a JOIN emb b ON a.label = b.label AND a.id <> b.id WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= {_RADIUS}), core AS (SELECT src AS id FROM e GROUP BY src HAVING count(*) + 1 >= 3), "
+    "reach AS (SELECT id, id AS c FROM core UNION SELECT e.dst, r.c FROM reach r JOIN e ON e.src = r.id JOIN core ON core.id = e.dst), found AS (SELECT id, min(c) AS cluster FROM reach GROUP BY id), "
+    "near AS (SELECT e.src AS id, min(cluster) AS near FROM e JOIN found ON found.id = e.dst GROUP BY ALL) SELECT emb.id, label, coalesce(cluster, near, -1) AS part FROM emb LEFT JOIN found USING (id) LEFT JOIN near USING (id)"
+)
+def labels_split(spark, d):
+    """Labels whose members lie apart, in parts; -1 is none."""
+    p = points(spark, d)
+    return graphs.split_labels(p, neighbors.radius(p, _RADIUS), 3).withColumn("part", F.coalesce("part", F.lit(-1)))
+
+
+@query(f"WITH {_EMB} SELECT id AS source, t.target, greatest(t.value, 0) AS value FROM emb, (SELECT unnest([{{'target': 'x', 'value': x}}, {{'target': 'y', 'value': y}}, {{'target': 'z', 'value': z}}]) AS t)")
+def unpivot_edges(spark, d):
+    return tables.unpivot_edges(points(spark, d).select("id", "x", "y", "z"), "id", drop_negative=True)
+
+
+@query(
+    f"WITH {_EMB}, {_nn(8)}, m AS (SELECT src AS cell, dst AS spot, exp(-dist) AS score FROM nn), best AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY cell ORDER BY score DESC, spot) = 1), "
+    "lack AS (SELECT id AS spot, 1 + id % 3 - (SELECT count(*) FROM best WHERE best.spot = emb.id) AS lack FROM emb), more AS (SELECT m.* FROM m JOIN lack USING (spot) WHERE lack > 0 AND NOT EXISTS (SELECT 1 FROM best WHERE best.cell = m.cell AND best.spot = m.spot) QUALIFY row_number() OVER (PARTITION BY spot ORDER BY score DESC, cell) <= lack) "
+    "SELECT spot, cell, round(score, 6) AS score, 'max' AS kind FROM best UNION ALL SELECT spot, cell, round(score, 6), 'add' FROM more"
+)
+def placed_cells(spark, d):
+    """Cells placed on spots of one to three cells."""
+    mapping = edges(spark, d, 8).select(F.col("src").alias("cell"), F.col("dst").alias("spot"), F.exp(-F.col("dist")).alias("score"))
+    return rounded(tables.place_cells(mapping, points(spark, d).select(F.col("id").alias("spot"), (1 + F.col("id") % 3).alias("n"))), "score")
+
+
+@query("SELECT column_name AS name, CASE WHEN column_type IN ('FLOAT', 'DOUBLE') OR column_type LIKE 'DECIMAL%' THEN 'continuous' ELSE 'discrete' END AS kind FROM (DESCRIBE lineitem)")
+def column_kinds(spark, d):
+    return tables.column_kinds(table(spark, d, "lineitem"))
+
+
+@query(f"WITH {_BRANDS}, {_CELLS}, s AS (SELECT * FROM expr JOIN cells USING (cell) WHERE value > 0), c AS (SELECT grp, count(*) AS size FROM s GROUP BY grp, cell), g AS (SELECT grp, count(*) AS size FROM s GROUP BY grp, gene) SELECT grp, 'cell' AS side, size, count(*) AS n FROM c GROUP BY ALL UNION ALL SELECT grp, 'gene', size, count(*) FROM g GROUP BY ALL")
+def detection_counts(spark, d):
+    return preprocess.detection(brands(spark, d), cells(spark, d))
+
+
+@query(
+    f"WITH {_BRANDS}, cov AS (SELECT cell, ln(sum(value)) AS c FROM expr GROUP BY cell), a AS (SELECT count(*)::DOUBLE AS n, avg(c) AS mc, var_pop(c) AS vc FROM cov), "
+    "f AS (SELECT gene, sum(value) AS s, sum(value * value) AS q, sum(value * (c - mc)) AS k, any_value(n) AS n, any_value(mc) AS mc, any_value(vc) AS vc FROM expr JOIN cov USING (cell), a GROUP BY gene), "
+    "p AS (SELECT *, k / (n * vc) AS slope, sqrt(greatest(q - s * s / n - k * k / (n * vc), 0) / (n - 1)) AS sd FROM f) SELECT cell, gene, round(least((value - s / n - slope * (c - mc)) / sd, 3.0), 6) + 0.0 AS z FROM expr JOIN cov USING (cell) JOIN p USING (gene)"
+)
+def scale_regressed(spark, d):
+    """Counts scaled after a regression on the logarithm of a cell's total."""
+    b = brands(spark, d)
+    return rounded(preprocess.regressed(b, b.groupBy("cell").agg(F.ln(F.sum("value")).alias("c")), 3.0), "z")
+
+
+@query(
+    f"WITH {_EMB}, q AS (SELECT id, f.f, list_transform(vec[3 * f.f + 1 : 3 * f.f + 3], lambda v: v * v) AS s FROM emb, (SELECT unnest([0, 1, 2]) AS f) f), p AS (SELECT id, f, list_transform(s, lambda v: v / list_sum(s)) AS p FROM q), "
+    "v AS (SELECT id, list_position(p, list_max(p)) - 1 AS predicted, count(*) AS n FROM p GROUP BY ALL), m AS (SELECT id, predicted AS mode FROM v QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, predicted) = 1), "
+    "a AS (SELECT id, [avg(p[1]), avg(p[2]), avg(p[3])] AS mean FROM p GROUP BY id) SELECT id, mode::INTEGER AS mode, (list_position(mean, list_max(mean)) - 1)::INTEGER AS best, round(list_max(mean), 6) AS score FROM m JOIN a USING (id)"
+)
+def folds_joined(spark, d):
+    """Three folds' class probabilities, each from three dimensions' squares."""
+    v = F.col("vec")
+    each = points(spark, d).select("id", v, F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("f")).withColumn("s", F.transform(F.slice(v, F.col("f") * 3 + 1, F.lit(3)), lambda x: x * x))
+    each = each.withColumn("p", F.transform("s", lambda x: x / (F.col("s")[0] + F.col("s")[1] + F.col("s")[2])))
+    found = each.select("id", (F.array_position("p", F.array_max("p")) - 1).cast("int").alias("predicted"), "p")
+    return rounded(learning.over_folds(found).select("id", "mode", "best", "score"), "score")
+
+
+_TAU2 = f"WITH {_EMB}, {_nn(K, 'b.grp = a.grp + 1')}, w AS (SELECT src, dst, exp(-dist) AS w FROM nn), p AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM w)"
+
+
+@query(_TAU2 + " SELECT round(sum(p * list_distance(a.vec, b.vec) ** 2) / (sum(p) * max(len(a.vec))), 6) AS tau2, round(sum(p * (2 - 2 * list_cosine_similarity(a.vec, b.vec))) / (sum(p) * max(len(a.vec))), 6) AS tau2_cosine, round(sum(p), 6) AS mass FROM p JOIN emb a ON a.id = src JOIN emb b ON b.id = dst")
+def feature_variance(spark, d):
+    p = points(spark, d)
+    w = neighbors.knn(p, k=K, scope="next", exclude_self=False).select("src", "dst", F.exp(-F.col("dist")).alias("w"))
+    posterior = w.join(w.groupBy("src").agg(F.sum("w").alias("all")), "src").select("src", "dst", (F.col("w") / F.col("all")).alias("p"))
+    plain, cosine = (scores.feature_variance(posterior, p, p, c) for c in (False, True))
+    return rounded(plain.crossJoin(cosine.select(F.col("tau2").alias("tau2_cosine"))), "tau2", "tau2_cosine", "mass").select("tau2", "tau2_cosine", "mass")
+
+
+@query(
+    f"WITH {_BRANDS}, p AS (SELECT x.gene AS a, y.gene AS b, x.cell, x.value AS u, y.value AS v FROM expr x JOIN expr y ON x.cell = y.cell AND x.gene < y.gene), n AS (SELECT a, b FROM p GROUP BY ALL), "
+    "s AS (SELECT p.a, p.b, sum(sign(p.u - q.u) * sign(p.v - q.v)) AS s, sum(abs(sign(p.u - q.u))) AS x, sum(abs(sign(p.v - q.v))) AS y FROM p JOIN p q ON p.a = q.a AND p.b = q.b AND p.cell < q.cell GROUP BY ALL) "
+    "SELECT a, b, CASE WHEN x * y > 0 THEN round(s / sqrt(x::DOUBLE * y), 6) + 0.0 END AS r FROM n LEFT JOIN s USING (a, b)"
+)
+def kendall_genes(spark, d):
+    return rounded(network.kendall(brands(spark, d)), "r")
+
+
+@query()
+def adaptive_ransac_fit(spark, d):
+    """As ``ransac_fit`` with thresholds from the residuals."""
+    p = points(spark, d).select("id", "x", "y")
+    moved = geometry.transform_points(p, _TURN).select("id", F.col("x").alias("u"), F.when(F.col("id") % 5 == 0, -F.col("y")).otherwise(F.col("y")).alias("v"))
+    m, n, _ = register.adaptive_ransac(p.join(moved, "id"), ("x", "y"), ("u", "v"), "rigid", least=10, sample=3)
+    return _matrix_rows(spark, m, inliers=float(n))
+
+
+@query("WITH g AS (SELECT event_type, count(value) AS n, avg(value) AS m, var_samp(value) / count(value) AS e FROM events GROUP BY event_type), p AS (SELECT event_type AS grp, lead(event_type) OVER w AS next, m - lead(m) OVER w AS gap, e, n, lead(e) OVER w AS e2, lead(n) OVER w AS n2 FROM g WINDOW w AS (ORDER BY event_type)) SELECT grp, next, round(gap / sqrt(e + e2), 6) AS t, round((e + e2) ** 2 / (e * e / (n - 1) + e2 * e2 / (n2 - 1)), 6) AS df FROM p WHERE next IS NOT NULL")
+def welch_statistics(spark, d):
+    return rounded(stats.consecutive_t_tests(table(spark, d, "events"), "event_type", "value").drop("p"), "t", "df")

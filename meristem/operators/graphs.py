@@ -268,3 +268,36 @@ def relative_visits(stability: DataFrame) -> DataFrame:
     """(prefix, change): total absolute change of pseudotime (id, prefix, t) from one prefix to the next."""
     step = F.col("t") - F.lag("t").over(W.partitionBy("id").orderBy("prefix"))
     return stability.select("prefix", F.abs(step).alias("c")).where("c IS NOT NULL").groupBy("prefix").agg(F.sum("c").alias("change"))
+
+
+def laplacian(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(src, dst, w) of I - D^-1/2 A D^-1/2, where D has the row sums of the directed edges (src, dst, w). An edge into a node without
+    edges of its own has no scale and is left out; every node has its diagonal."""
+    degree = edges.groupBy("src").agg(F.sum("w").alias("d")).where("d > 0")
+    off = edges.where("src <> dst").join(degree.withColumnRenamed("d", "ds"), "src").join(degree.select(F.col("src").alias("dst"), F.col("d").alias("dd")), "dst")
+    off = off.select("src", "dst", (-F.col("w") / F.sqrt(F.col("ds") * F.col("dd"))).alias("w"))
+    own = edges.where("src = dst").join(degree, "src").groupBy("src").agg((F.sum("w") / F.max("d")).alias("own"))
+    diagonal = nodes.select(F.col("id").alias("src")).join(own, "src", "left").select("src", F.col("src").alias("dst"), (1 - F.coalesce("own", F.lit(0.0))).alias("w"))
+    return off.unionAll(diagonal)
+
+
+def density_clusters(edges: DataFrame, nodes: DataFrame, min_points: int) -> DataFrame:
+    """(id, cluster) of every node: a node with at least ``min_points`` neighbours, itself among them, is a core; linked cores share a
+    cluster, named by its smallest core; other nodes join their smallest neighbouring cluster or have none (null). Edges (src, dst) are
+    given both ways; loops and repeated edges do not count."""
+    both = settled(edges.where("src <> dst").select("src", "dst").distinct())
+    core = both.groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") + 1 >= min_points).select(F.col("src").alias("id"))
+    if min_points <= 1:
+        core = nodes.select("id")
+    among = both.join(core.withColumnRenamed("id", "src"), "src", "left_semi").join(core.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    found = settled(core.join(smallest_reachable(among), "id", "left").select("id", F.coalesce("component", "id").alias("cluster")))
+    near = both.join(found.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("cluster").alias("near"))
+    return nodes.select("id").join(found, "id", "left").join(near, "id", "left").select("id", F.coalesce("cluster", "near").alias("cluster"))
+
+
+def split_labels(points: DataFrame, edges: DataFrame, min_points: int) -> DataFrame:
+    """(id, label, part) of points (id, label): density clusters within each label over spatial ``edges``, so that a label whose members
+    lie apart falls into parts. A null part is a point too sparse for any."""
+    own, other = points.select(F.col("id").alias("src"), F.col("label").alias("l")), points.select(F.col("id").alias("dst"), F.col("label").alias("m"))
+    same = edges.join(own, "src").join(other, "dst").where("l = m").select("src", "dst")
+    return points.select("id", "label").join(density_clusters(same, points, min_points).withColumnRenamed("cluster", "part"), "id")

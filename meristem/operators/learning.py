@@ -166,3 +166,12 @@ def save(model: Model, path: str) -> None:
 
 def load(path: str) -> Model:
     return PipelineModel.load(path).stages[0]
+
+
+def over_folds(found: DataFrame) -> DataFrame:
+    """(id, mode, mean, best, score) of rows (id, predicted, p) from several folds: the most frequent prediction (ties to the smaller), the
+    mean of each class's probability, and the class (from 0, ties to the smaller) and value of its largest."""
+    votes = found.groupBy("id", "predicted").agg(F.count("*").alias("n")).groupBy("id").agg(F.min(F.struct(-F.col("n"), "predicted"))["predicted"].alias("mode"))
+    means = found.select("id", F.posexplode("p").alias("class", "v")).groupBy("id", "class").agg(F.avg("v").alias("v"))
+    means = means.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("class", "v")))["v"].alias("mean"), F.min(F.struct((-F.col("v")).alias("v"), "class")).alias("b"))
+    return votes.join(means, "id").select("id", "mode", "mean", F.col("b.class").alias("best"), (-F.col("b.v")).alias("score"))

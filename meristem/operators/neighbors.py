@@ -216,3 +216,12 @@ def similarity(dist: Column, method: str, scale: Column | float = 1.0) -> Column
         "exp1": F.exp(1 - d),
         "log": 1 / (1 + F.log1p(d)),
     }[method]
+
+
+def ratio_matches(edges: DataFrame, ratio: float = 0.7, by: tuple[str, ...] = ("src",)) -> DataFrame:
+    """(by, dst, dist, second): the nearest neighbour of edges with two or more a source, kept where it is nearer than ``ratio`` times the
+    second one; a source with a single neighbour has no second and is left out. Ties go to the smaller ``dst``."""
+    place = F.row_number().over(W.partitionBy(*by).orderBy("dist", "dst"))
+    two = edges.select(*by, "dst", "dist", place.alias("place")).where("place <= 2")
+    of = lambda c, n: F.max(F.when(F.col("place") == n, F.col(c)))
+    return two.groupBy(*by).agg(of("dst", 1).alias("dst"), of("dist", 1).alias("dist"), of("dist", 2).alias("second")).where(F.col("dist") < ratio * F.col("second"))

@@ -180,3 +180,62 @@ def module_connectivity(edges: DataFrame, modules: DataFrame) -> DataFrame:
 def module_membership(expr: DataFrame, eigengenes: DataFrame) -> DataFrame:
     """(gene, module, kme): correlation of each gene with each module's eigengene (cell, module, score)."""
     return expr.join(eigengenes, "cell").groupBy("gene", "module").agg(F.corr("value", "score").alias("kme"))
+
+
+def _tau(x: np.ndarray, y: np.ndarray) -> float | None:
+    """Kendall's tau-b: concordant less discordant pairs, of pairs that no side ties. Discordant ones are inversions, counted by bits of rank."""
+    n = len(x)
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    rank = np.unique(y, return_inverse=True)[1].astype(np.int64)
+    pairs = lambda counts: float((counts * (counts - 1) // 2).sum())
+    sizes = lambda *keys: np.diff(np.flatnonzero(np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0), True])) if n else np.zeros(0, np.int64)
+    tied_x, tied_y, tied_both = pairs(sizes(x)), pairs(np.bincount(rank, minlength=1)), pairs(sizes(x, y))
+    inversions = 0
+    for bit in reversed(range(int(rank.max(initial=0)).bit_length())):
+        high = rank >> (bit + 1)
+        at = np.argsort(high, kind="stable")
+        high, ones = high[at], (rank[at] >> bit) & 1
+        before = np.cumsum(ones) - ones
+        first = np.flatnonzero(np.r_[True, high[1:] != high[:-1]])
+        own = before - np.repeat(before[first], np.diff(np.r_[first, n]))
+        inversions += int(own[ones == 0].sum())
+    total = n * (n - 1) / 2
+    scale = (total - tied_x) * (total - tied_y)
+    return (total - tied_x - tied_y + tied_both - 2 * inversions) / scale**0.5 if scale > 0 else None
+
+
+def kendall(expr: DataFrame, block: int = 32) -> DataFrame:
+    """(a, b, r): Kendall's tau-b of gene pairs a < b over cells where both are stored; a constant side gives null.
+
+    Genes are dealt into blocks of about ``block`` by hash and each pair of blocks is one task, which holds its genes' entries: two blocks'
+    columns, whatever the number of genes. A pair takes n log n steps.
+    """
+    entries = expr.groupBy("gene", "cell").agg(F.sum(F.col("value").cast("double")).alias("value")).dropna()
+    kind = entries.schema["gene"].dataType.simpleString()
+    blocks = max(1, -(-entries.agg(F.count_distinct("gene")).first()[0] // block))
+    own = F.pmod(F.xxhash64("gene"), F.lit(blocks)).cast("int")
+    dealt = entries.select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("met"))
+    dealt = dealt.withColumns({"lo": F.least("own", "met"), "hi": F.greatest("own", "met")})
+
+    def run(rows: pa.Table) -> pa.Table:
+        genes, cells = rows.column("gene").combine_chunks().dictionary_encode(), rows.column("cell").combine_chunks().dictionary_encode()
+        g, c, v = genes.indices.to_numpy(), cells.indices.to_numpy(), rows.column("value").to_numpy()
+        lower, same = rows.column("own").to_numpy() == rows.column("lo").to_numpy(), rows.column("lo")[0] == rows.column("hi")[0]
+        order = np.lexsort((c, g))
+        edge = np.searchsorted(g[order], np.arange(len(genes.dictionary) + 1))
+        column = [(c[order[i:j]], v[order[i:j]], bool(lower[order[i]])) for i, j in zip(edge, edge[1:], strict=False)]
+        a, b, r = [], [], []
+        for i, (ci, vi, li) in enumerate(column):
+            for j, (cj, vj, lj) in enumerate(column):
+                if (i < j) if same else (li and not lj):
+                    _, p, q = np.intersect1d(ci, cj, assume_unique=True, return_indices=True)
+                    if len(p):
+                        a.append(i)
+                        b.append(j)
+                        r.append(_tau(vi[p], vj[q]))
+        at = lambda k: genes.dictionary.take(pa.array(k, pa.int32()))
+        return pa.Table.from_arrays([at(a), at(b), pa.array(r, pa.float64())], names=["a", "b", "r"])
+
+    found = dealt.groupBy("lo", "hi").applyInArrow(run, f"a {kind}, b {kind}, r double")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "r")

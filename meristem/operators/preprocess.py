@@ -188,3 +188,26 @@ def robust_outliers(points: DataFrame, width: float, threshold: float = 10.0) ->
         mad = F.percentile(F.abs(f"d{k}"), F.lit(0.5)).over(W.partitionBy(b))
         out = out.withColumn(f"z{k}", F.col(f"d{k}") / (1.4826 * mad + 1e-9))
     return out.select("id", "x", "y", (F.least(F.abs("z0"), F.abs("z1")) > threshold).alias("outlier"))
+
+
+def detection(expr: DataFrame, cells: DataFrame) -> DataFrame:
+    """(grp, side, size, n): how many cells of a group store ``size`` genes (``side`` 'cell'), and how many genes are stored by ``size`` of
+    its cells ('gene'). Cells and genes that store nothing above zero have no row."""
+    stored = expr.where("value > 0").join(cells, "cell")
+    sides = [stored.groupBy("grp", s).agg(F.count("*").alias("size")).groupBy("grp", "size").agg(F.count("*").alias("n")).select("grp", F.lit(s).alias("side"), "size", "n") for s in ("cell", "gene")]
+    return sides[0].unionAll(sides[1])
+
+
+def regressed(expr: DataFrame, covariate: DataFrame, top: float | None = None) -> DataFrame:
+    """(cell, gene, z) of stored entries: residuals of each gene's line over a covariate (cell, c) by all its cells, zeros included, over
+    their sample deviation, clipped above ``top``. One pass of sums per gene; a gene without spread has z = 0."""
+    c = F.col("c")
+    all_ = covariate.agg(F.count("*").cast("double").alias("n"), F.avg(c).alias("mc"), F.var_pop(c).alias("vc"))
+    both = expr.join(covariate, "cell")
+    v = F.col("value").cast("double")
+    sums = both.crossJoin(F.broadcast(all_.select("mc"))).groupBy("gene").agg(F.sum(v).alias("s"), F.sum(v * v).alias("q"), F.sum(v * (c - F.col("mc"))).alias("k"))
+    fit = sums.crossJoin(F.broadcast(all_)).withColumn("slope", F.coalesce(F.try_divide(F.col("k"), F.col("n") * F.col("vc")), F.lit(0.0)))
+    left = F.col("q") - F.col("s") * F.col("s") / F.col("n") - F.col("slope") * F.col("k")
+    fit = fit.select("gene", (F.col("s") / F.col("n")).alias("m"), "slope", "mc", F.sqrt(F.greatest(left, F.lit(0.0)) / (F.col("n") - 1)).alias("sd"))
+    z = F.coalesce(F.try_divide(v - F.col("m") - F.col("slope") * (c - F.col("mc")), F.col("sd")), F.lit(0.0))
+    return both.join(fit, "gene").select("cell", "gene", (z if top is None else F.least(z, F.lit(float(top)))).alias("z"))

@@ -74,3 +74,13 @@ def label_agreement(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """One row: share of edges whose ends carry the same label."""
     a, b = labels.select(F.col("id").alias("src"), F.col("label").alias("la")), labels.select(F.col("id").alias("dst"), F.col("label").alias("lb"))
     return edges.join(a, "src").join(b, "dst").agg(F.avg((F.col("la") == F.col("lb")).cast("double")).alias("same"), F.count("*").alias("n"))
+
+
+def feature_variance(posterior: DataFrame, fixed: DataFrame, moving: DataFrame, cosine: bool = False) -> DataFrame:
+    """One row (tau2, mass): the variance per feature of fixed vectors (id, vec) about moving ones under a posterior (src, dst, p). With
+    ``cosine`` vectors count as unit vectors."""
+    both = posterior.join(fixed.select(F.col("id").alias("src"), F.col("vec").alias("u")), "src").join(moving.select(F.col("id").alias("dst"), F.col("vec").alias("v")), "dst")
+    inner = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    u, v = F.col("u"), F.col("v")
+    apart = 2 - 2 * inner(vectors.unit(u), vectors.unit(v)) if cosine else inner(u, u) - 2 * inner(u, v) + inner(v, v)
+    return both.agg((F.sum(F.col("p") * apart) / (F.sum("p") * F.max(F.size("u")))).alias("tau2"), F.sum("p").alias("mass"))

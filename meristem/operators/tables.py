@@ -162,3 +162,35 @@ def good_rows_and_columns(expr: DataFrame, min_share: float = 0.5, rounds: int =
         if same:
             break
     return expr
+
+
+def unpivot_edges(matrix: DataFrame, key: str, drop_negative: bool = False, drop_zero: bool = False) -> DataFrame:
+    """(source, target, value): a wide matrix, one row per ``key``, as edges to its other columns. Negative weights may count as zero,
+    zeros and nulls may be left out."""
+    columns = [c for c in matrix.columns if c != key]
+    wide = matrix.select(F.col(key).alias("source"), *[F.col(c).cast("double").alias(c) for c in columns])
+    out = wide.unpivot("source", columns, "target", "value")
+    if drop_negative:
+        out = out.withColumn("value", F.when(F.col("value") < 0, 0.0).otherwise(F.col("value")))
+    return out.where("value <> 0") if drop_zero else out
+
+
+def place_cells(mapping: DataFrame, spots: DataFrame) -> DataFrame:
+    """(spot, cell, score, kind) of a mapping (cell, spot, score): every cell at its best spot (``max``); a spot that then holds fewer than
+    its number (spot, n) takes the best of the other cells mapped to it (``add``). Ties go to the smaller spot or cell."""
+    from .labels import arg_max
+
+    best = arg_max(mapping, ["cell"], "score", "spot").select("spot", "cell", "score", F.lit("max").alias("kind"))
+    held = best.groupBy("spot").agg(F.count("*").alias("held"))
+    short = spots.join(held, "spot", "left").select("spot", (F.col("n") - F.coalesce("held", F.lit(0))).alias("lack")).where("lack > 0")
+    others = mapping.join(best.select("spot", "cell"), ["spot", "cell"], "left_anti").join(short, "spot")
+    place = F.row_number().over(W.partitionBy("spot").orderBy(F.desc("score"), "cell"))
+    more = others.withColumn("place", place).where("place <= lack").select("spot", "cell", "score", F.lit("add").alias("kind"))
+    return best.unionAll(more)
+
+
+def column_kinds(table: DataFrame) -> DataFrame:
+    """(name, kind) of a table's columns: ``continuous`` for fractional numbers, ``discrete`` for all else."""
+    fractional = ("float", "double", "decimal")
+    kinds = [(n, "continuous" if t.startswith(fractional) else "discrete") for n, t in table.dtypes]
+    return table.sparkSession.createDataFrame(kinds, "name string, kind string")
