@@ -1281,3 +1281,73 @@ def adaptive_ransac_fit(spark, d):
 @query("WITH g AS (SELECT event_type, count(value) AS n, avg(value) AS m, var_samp(value) / count(value) AS e FROM events GROUP BY event_type), p AS (SELECT event_type AS grp, lead(event_type) OVER w AS next, m - lead(m) OVER w AS gap, e, n, lead(e) OVER w AS e2, lead(n) OVER w AS n2 FROM g WINDOW w AS (ORDER BY event_type)) SELECT grp, next, round(gap / sqrt(e + e2), 6) AS t, round((e + e2) ** 2 / (e * e / (n - 1) + e2 * e2 / (n2 - 1)), 6) AS df FROM p WHERE next IS NOT NULL")
 def welch_statistics(spark, d):
     return rounded(stats.consecutive_t_tests(table(spark, d, "events"), "event_type", "value").drop("p"), "t", "df")
+
+
+_U = "(('0x' || left(md5(id || ':' || {k} || ':0'), 8))::BIGINT / 4294967296.0::DOUBLE)"
+
+
+@query(f"WITH {_EMB}, d AS (SELECT id, least(1.0, abs(x)) AS p, list_sum(list_transform(range(20), lambda j: CASE WHEN {_U.format(k='j')} < least(1.0, abs(x)) THEN 1 ELSE 0 END))::INTEGER AS n FROM emb) SELECT id, n FROM d WHERE n > 0 AND {_U.format(k="'stay'")} < n / 20.0::DOUBLE")
+def thinned_visits(spark, d):
+    return trajectory.thinned(points(spark, d).select("id", F.least(F.lit(1.0), F.abs("x")).alias("p")))
+
+
+@query(
+    f"WITH {_EMB}, o AS (SELECT id, vec, t.t, row_number() OVER (PARTITION BY t.t ORDER BY md5(id || ':' || t.t || ':0'), id) - 1 AS at, count(*) OVER (PARTITION BY t.t) AS n FROM emb, (SELECT unnest([0, 1]) AS t) t), "
+    "s AS (SELECT -(a.at + 1 + a.t * a.n) AS id, list_transform(list_zip(a.vec, b.vec), lambda z: (z[1] + z[2]) / 2) AS vec FROM o a JOIN o b ON a.t = b.t AND b.at = (a.at + 1) % a.n), u AS (SELECT id, vec FROM emb UNION ALL SELECT * FROM s), "
+    "nn AS (SELECT a.id AS id, b.id AS dst FROM emb a JOIN u b ON a.id <> b.id QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.vec, b.vec), b.id) <= 30), c AS (SELECT id, count(*) FILTER (dst < 0) AS simulated FROM nn GROUP BY id) "
+    "SELECT id, simulated, round((simulated + 1) / 32.0 * 0.05 / (0.9 - (simulated + 1) / 32.0 * 0.85), 6)::DOUBLE AS score FROM c"
+)
+def doublet_scores(spark, d):
+    """Two simulated doublets a cell, each the mean of its pair's vectors."""
+    p = points(spark, d).select("id", "vec")
+    pairs = preprocess.doublet_pairs(p, 2)
+    both = pairs.join(p.select(F.col("id").alias("a"), F.col("vec").alias("u")), "a").join(p.select(F.col("id").alias("b"), F.col("vec").alias("v")), "b")
+    mixed = both.select("id", F.zip_with("u", "v", lambda x, y: (x + y) / 2).alias("vec"))
+    return rounded(preprocess.doublet_scores(neighbors.knn(p.unionAll(mixed), k=30), 30, 2.0), "score")
+
+
+@query(f"WITH {_EMB}, m AS (SELECT avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM emb), c AS (SELECT id, x - mx AS x, y - my AS y, z - mz AS z FROM emb, m) SELECT id, round(x / sqrt(x * x + y * y + z * z), 6) + 0.0 AS x, round(y / sqrt(x * x + y * y + z * z), 6) + 0.0 AS y, round(z / sqrt(x * x + y * y + z * z), 6) + 0.0 AS z FROM c")
+def unit_rows(spark, d):
+    rows = preprocess.unit_rows(points(spark, d).select("id", F.array("x", "y", "z").alias("vec")))
+    return rounded(rows.select("id", *[F.col("vec")[i].alias(a) for i, a in enumerate("xyz")]), "x", "y", "z")
+
+
+@query(f"WITH {_EMB} SELECT id, grp, round(x * (1 + grp / 2.0), 6)::DOUBLE AS x, round(y * (1 + grp / 2.0), 6)::DOUBLE AS y FROM emb")
+def rescaled_slices(spark, d):
+    p = points(spark, d).select("id", "grp", "x", "y")
+    return rounded(geometry.rescaled(p, p.select("grp").distinct().withColumn("scale", 1 + F.col("grp") / 2)).select("id", "grp", "x", "y"), "x", "y")
+
+
+@query(
+    f"WITH {_BRANDS}, {_CELLS}, z AS (SELECT grp, count(*) AS n FROM cells GROUP BY grp), m AS (SELECT grp, gene, sum(value) / any_value(n) AS v FROM expr JOIN cells USING (cell) JOIN z USING (grp) GROUP BY ALL), g AS (SELECT count(DISTINCT p_brand)::DOUBLE AS g FROM part), "
+    "s AS (SELECT grp, sum(v) AS s, sum(v * v) AS q FROM m GROUP BY grp), d AS (SELECT x.grp AS a, y.grp AS b, sum(x.v * y.v) AS d FROM m x JOIN m y ON x.gene = y.gene AND x.grp < y.grp GROUP BY ALL) "
+    "SELECT d.a, d.b, round((d.d - u.s * w.s / g) / sqrt((u.q - u.s * u.s / g) * (w.q - w.s * w.s / g)), 6) AS r FROM d JOIN s u ON u.grp = d.a JOIN s w ON w.grp = d.b, g"
+)
+def group_correlation(spark, d):
+    genes = table(spark, d, "part").select("p_brand").distinct().count()
+    return rounded(stats.group_correlation(brands(spark, d), cells(spark, d), genes), "r")
+
+
+@query("SELECT i, (CASE WHEN i = 11 THEN 170 ELSE floor(i * 170 / 11.0) END)::BIGINT AS first, (CASE WHEN i = 11 THEN 170 ELSE floor(i * 170 / 11.0) END)::BIGINT + 30 AS last FROM range(12) t(i)")
+def slice_windows(spark, d):
+    return tables.spread_windows(spark, 200, 12, 30)
+
+
+@query()
+def proportions_smoothed(spark, d):
+    p = points(spark, d)
+    q = p.select("id", F.transform(F.slice("vec", 1, 3), lambda v: v * v).alias("p"))
+    out = labels.smoothed(q, edges(spark, d).select("src", "dst", F.lit(1.0).alias("w")))
+    return out.select("id", F.transform("p", lambda v: F.round(v, 6)).alias("p"))
+
+
+@query()
+def linear_weights(spark, d):
+    return rounded(graphs.linear_weights(points(spark, d), edges(spark, d)), "w")
+
+
+@query(f"WITH i AS (SELECT p_brand AS gene, min(p_mfgr) AS mfgr, count(*) AS n_parts FROM part GROUP BY p_brand) SELECT m.*, i.mfgr, i.n_parts FROM ({_MARK}) m LEFT JOIN i USING (gene)")
+def marker_info(spark, d):
+    """Markers with what is known of their genes."""
+    info = table(spark, d, "part").groupBy(F.col("p_brand").alias("gene")).agg(F.min("p_mfgr").alias("mfgr"), F.count("*").alias("n_parts"))
+    return markers_vs_rest(spark, d).join(info, "gene", "left")

@@ -167,3 +167,34 @@ def next_square_distances(points: DataFrame, axes: tuple[str, ...] = ("x", "y"))
     after = own.select((F.col("grp") - 1).alias("grp"), F.col("q").alias("q2"), *[F.col(f"m_{c}").alias(f"n_{c}") for c in axes])
     cross = sum((F.col(f"m_{c}") * F.col(f"n_{c}") for c in axes), F.lit(0.0))
     return own.join(after, "grp").select("grp", (F.col("q") + F.col("q2") - 2 * cross).alias("sigma2"))
+
+
+def rescaled_matrix(m: np.ndarray, scale: float | list[float], back: bool = True) -> np.ndarray:
+    """A homogeneous matrix for scaled axes: the scale (linear part and shift alike) after ``m``, and with ``back`` the inverse axis scale
+    before it."""
+    d = len(m) - 1
+    s = np.broadcast_to(np.asarray(scale, float), d)
+    left, right = np.diag([*s, 1.0]), np.diag([*(1 / s), 1.0])
+    left[:d, d] = s
+    return left @ m @ right if back else left @ m
+
+
+def swapped_axes(m: np.ndarray, i: int = 0, j: int = 1) -> np.ndarray:
+    """A homogeneous matrix for points whose axes i and j changed places."""
+    order = np.arange(len(m))
+    order[[i, j]] = order[[j, i]]
+    return m[np.ix_(order, order)]
+
+
+def mirrored(m: np.ndarray, size: int, axis: int = 0) -> np.ndarray:
+    """A homogeneous matrix for a grid of ``size`` places that was mirrored along an axis: place p is size - 1 - p."""
+    flip = np.eye(len(m))
+    flip[axis, axis], flip[axis, -1] = -1, size - 1
+    return m @ flip
+
+
+def rescaled(points: DataFrame, scales: DataFrame, axes: tuple[str, ...] = ("x", "y"), back: bool = False) -> DataFrame:
+    """Points (grp, axes) times their slice's scale (grp, scale), or over it with ``back``; a slice without a scale stays."""
+    s = F.coalesce(F.col("__s"), F.lit(1.0))
+    both = points.join(scales.select("grp", F.col("scale").cast("double").alias("__s")), "grp", "left")
+    return both.withColumns({a: F.col(a) / s if back else F.col(a) * s for a in axes}).drop("__s")

@@ -301,3 +301,29 @@ def split_labels(points: DataFrame, edges: DataFrame, min_points: int) -> DataFr
     own, other = points.select(F.col("id").alias("src"), F.col("label").alias("l")), points.select(F.col("id").alias("dst"), F.col("label").alias("m"))
     same = edges.join(own, "src").join(other, "dst").where("l = m").select("src", "dst")
     return points.select("id", "label").join(density_clusters(same, points, min_points).withColumnRenamed("cluster", "part"), "id")
+
+
+def linear_weights(points: DataFrame, edges: DataFrame, ridge: float | None = None) -> DataFrame:
+    """(src, dst, w): weights, of sum one, that best rebuild each point (id, vec) from its neighbours (src, dst). ``ridge`` times the trace
+    steadies the local Gram matrix: by default 1e-6 where a point has more neighbours than dimensions, else nothing."""
+    own, other = points.select(F.col("id").alias("src"), F.col("vec").alias("own")), points.select(F.col("id").alias("dst"), F.col("vec").alias("vec"))
+    near = edges.select("src", "dst").distinct().join(other, "dst").groupBy("src").agg(F.collect_list(F.struct("dst", "vec")).alias("near")).join(own, "src")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            src, dst, w = [], [], []
+            for s, near, own in zip(*(batch.column(c).to_pylist() for c in ("src", "near", "own")), strict=True):
+                near = sorted(near, key=lambda n: n["dst"])
+                z = np.array([n["vec"] for n in near], float) - np.array(own, float)
+                g = z @ z.T
+                by = (1e-6 if z.shape[0] > z.shape[1] else 0.0) if ridge is None else ridge
+                g = g / (np.trace(g) or 1.0) + np.eye(len(z)) * by
+                # The least of w'Gw at sum one, with a multiplier; a singular matrix gives the smallest such weights.
+                one = np.ones((len(z), 1))
+                v = np.linalg.lstsq(np.block([[g, one], [one.T, np.zeros((1, 1))]]), np.eye(len(z) + 1)[-1], rcond=None)[0][:-1]
+                src += [s] * len(z)
+                dst += [n["dst"] for n in near]
+                w += v.tolist()
+            yield pa.RecordBatch.from_pydict({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64()), "w": pa.array(w, pa.float64())})
+
+    return near.select(F.col("src").cast("long").alias("src"), "near", "own").mapInArrow(run, "src bigint, dst bigint, w double")

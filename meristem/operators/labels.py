@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans import settled
+
 
 def arg_max(table: DataFrame, key: list[str], by: str, tie: str) -> DataFrame:
     """The row of each key with the largest ``by``, the smaller ``tie`` first; one partially aggregated pass."""
@@ -100,3 +102,32 @@ def top_k_mode(scores: DataFrame, labels: DataFrame, k: int, least: float = 0.0,
     best = scores.withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= k)
     named = best.join(labels.select(F.col("id").alias("dst"), F.col("label").cast("string").alias("label")), "dst").withColumn("label", F.when(F.col("score") < least, null_label).otherwise(F.col("label")))
     return arg_max(named.groupBy("src", "label").agg(F.count("*").alias("n")), ["src"], "n", "label")
+
+
+def smoothed(values: DataFrame, edges: DataFrame, alpha: float = 1.0, tolerance: float = 1e-10, rounds: int = 1000) -> DataFrame:
+    """(id, p) that solves (I + alpha L) p = q for every component of arrays (id, p), with L the Laplacian of the edges (src, dst, w) made
+    symmetric: proportions pulled towards their neighbours'. Conjugate gradients with the diagonal as preconditioner, until each
+    component's residual falls to ``tolerance`` of its start. An id without edges keeps its values; edges of other ids do not count."""
+    width = (values.agg(F.max(F.size("p"))).first()[0]) or 0
+    at = range(width)
+    ids = values.select("id")
+    both = edges.select("src", "dst", "w").unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).where("src <> dst")
+    both = both.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    both = settled(both.groupBy("src", "dst").agg((F.sum("w") / 2).alias("w")))
+    degree = both.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("d"))
+    state = values.join(degree, "id", "left").select("id", (1 + alpha * F.coalesce("d", F.lit(0.0))).alias("m"), *[F.lit(0.0).alias(f"x{j}") for j in at], *[F.col("p")[j].cast("double").alias(f"r{j}") for j in at])
+    state = settled(state.select("*", *[(F.col(f"r{j}") / F.col("m")).alias(f"s{j}") for j in at]))
+    total = lambda f, a, b: [F.coalesce(F.sum(F.col(f"{a}{j}") * F.col(f"{b}{j}") / (F.col("m") if f else F.lit(1.0))), F.lit(0.0)) for j in at]
+    rz = list(state.agg(*total(True, "r", "r")).first()) if width else []
+    start = list(rz)
+    for _ in range(rounds if width else 0):
+        if all(now <= tolerance**2 * first for now, first in zip(rz, start, strict=True)):
+            break
+        near = both.join(state.select(F.col("id").alias("dst"), *[f"s{j}" for j in at]), "dst").groupBy(F.col("src").alias("id")).agg(*[F.sum(F.col("w") * F.col(f"s{j}")).alias(f"n{j}") for j in at])
+        state = settled(state.join(near, "id", "left").select(*state.columns, *[(F.col("m") * F.col(f"s{j}") - alpha * F.coalesce(f"n{j}", F.lit(0.0))).alias(f"q{j}") for j in at]))
+        step = [a / b if b else 0.0 for a, b in zip(rz, state.agg(*total(False, "s", "q")).first(), strict=True)]
+        state = state.select("id", "m", *[(F.col(f"x{j}") + step[j] * F.col(f"s{j}")).alias(f"x{j}") for j in at], *[(F.col(f"r{j}") - step[j] * F.col(f"q{j}")).alias(f"r{j}") for j in at], *[f"s{j}" for j in at])
+        new = list(state.agg(*total(True, "r", "r")).first())
+        state = state.select("id", "m", *[f"{c}{j}" for c in "xr" for j in at], *[(F.col(f"r{j}") / F.col("m") + (new[j] / rz[j] if rz[j] else 0.0) * F.col(f"s{j}")).alias(f"s{j}") for j in at])
+        rz = new
+    return state.select("id", F.array(*[F.col(f"x{j}") for j in at]).alias("p"))

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import vectors
+
 # Gene-name patterns of mitochondrial, ribosomal and haemoglobin genes.
 GENE_FLAGS = {"mt": r"^(MT|mt|Mt)-", "ribo": r"^(RP|Rp|rp)[SLsl]", "hb": r"^HB[^(P)]|^Hb[^(p)]"}
 
@@ -211,3 +213,41 @@ def regressed(expr: DataFrame, covariate: DataFrame, top: float | None = None) -
     fit = fit.select("gene", (F.col("s") / F.col("n")).alias("m"), "slope", "mc", F.sqrt(F.greatest(left, F.lit(0.0)) / (F.col("n") - 1)).alias("sd"))
     z = F.coalesce(F.try_divide(v - F.col("m") - F.col("slope") * (c - F.col("mc")), F.col("sd")), F.lit(0.0))
     return both.join(fit, "gene").select("cell", "gene", (z if top is None else F.least(z, F.lit(float(top)))).alias("z"))
+
+
+def doublet_pairs(cells: DataFrame, ratio: int = 2, seed: int = 0) -> DataFrame:
+    """(id, a, b): ``ratio`` simulated doublets a cell, with ids -1, -2, ...: each time the cells are put in an order by hash, and each is paired
+    with the next, the last with the first. Ranks come from sorted ranges."""
+    from .neighbors import by_range, ranged
+
+    parts = []
+    for turn in range(ratio):
+        key = F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(turn)), F.lit(str(seed))).cast("binary"))
+        placed, sizes = ranged(cells.select("id", key.alias("key")), "key", "id")
+        before, total = {}, 0
+        for part, n in sizes.items():
+            before[part], total = float(total), total + n
+        at = placed.select("id", (by_range(before, 0.0).cast("long") + F.col("__place")).alias("at"))
+        if total:
+            b = at.select(F.col("id").alias("b"), F.pmod(F.col("at") - 1, F.lit(total)).alias("at"))
+            parts.append(at.withColumnRenamed("id", "a").join(b, "at").select((-(F.col("at") + 1 + turn * total)).alias("id"), "a", "b"))
+    out = parts[0] if parts else cells.select(F.lit(0).cast("long").alias("id"), F.col("id").alias("a"), F.col("id").alias("b")).where("false")
+    for part in parts[1:]:
+        out = out.unionAll(part)
+    return out
+
+
+def doublet_scores(edges: DataFrame, k: int, ratio: float, rate: float = 0.1) -> DataFrame:
+    """(id, simulated, score) from the ``k`` neighbours of every observed cell (src, dst) among observed and simulated ones (negative ids):
+    the likelihood of a doublet given the share of simulated neighbours, ``ratio`` simulated a cell and an expected ``rate``."""
+    q = (F.col("simulated") + 1) / (k + 2)
+    counted = edges.where("src >= 0").groupBy(F.col("src").alias("id")).agg(F.count_if(F.col("dst") < 0).alias("simulated"))
+    return counted.select("id", "simulated", (q * (rate / ratio) / (1 - rate - q * (1 - rate - rate / ratio))).alias("score"))
+
+
+def unit_rows(rows: DataFrame, column: str = "vec") -> DataFrame:
+    """``rows`` with their arrays centred by position over all rows and scaled to length one; a row at the centre is zero."""
+    width = rows.agg(F.max(F.size(column))).first()[0] or 0
+    means = rows.agg(*[F.avg(F.col(column)[j]).alias(f"m{j}") for j in range(width)]).first()
+    centre = F.array(*[F.lit(float(m or 0.0)) for m in means]) if width else F.array().cast("array<double>")
+    return rows.withColumn(column, F.zip_with(column, centre, lambda a, b: a - b)).withColumn(column, vectors.unit(F.col(column)))

@@ -274,3 +274,12 @@ def consecutive_t_tests(values: DataFrame, group: str, column: str) -> DataFrame
         df = (va + vb) ** 2 / (va**2 / max(1, a["n"] - 1) + vb**2 / max(1, b["n"] - 1))
         out.append((str(a[group]), str(b[group]), t, df, 2 * (1 - special.t_cdf(abs(t), df))))
     return spark.createDataFrame(out, "grp string, next string, t double, df double, p double")
+
+
+def group_correlation(expr: DataFrame, cells: DataFrame, n_genes: int, column: str = "value") -> DataFrame:
+    """(a, b, r): correlation over all genes of two groups' mean expression, zeros counted, for groups that share a gene."""
+    from .network import gene_correlation
+
+    sizes = cells.groupBy("grp").agg(F.count("*").alias("n"))
+    sums = expr.join(cells, "cell").groupBy("grp", "gene").agg(F.sum(column).alias("s")).join(sizes, "grp")
+    return gene_correlation(sums.select(F.col("gene").alias("cell"), F.col("grp").alias("gene"), (F.col("s") / F.col("n")).alias("value")), n_genes)

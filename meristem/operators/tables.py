@@ -194,3 +194,10 @@ def column_kinds(table: DataFrame) -> DataFrame:
     fractional = ("float", "double", "decimal")
     kinds = [(n, "continuous" if t.startswith(fractional) else "discrete") for n, t in table.dtypes]
     return table.sparkSession.createDataFrame(kinds, "name string, kind string")
+
+
+def spread_windows(spark: SparkSession, length: int, count: int, width: int = 30) -> DataFrame:
+    """(i, first, last): ``count`` windows of ``width`` places, spread evenly over ``length``; ``last`` is exclusive."""
+    step = (length - width) / max(1, count - 1)
+    first = F.when(F.col("id") == count - 1, F.lit(length - width if count > 1 else 0)).otherwise((F.col("id") * step).cast("long"))
+    return spark.range(count).select(F.col("id").alias("i"), first.cast("long").alias("first")).withColumn("last", F.col("first") + width)

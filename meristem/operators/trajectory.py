@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans import settled
+
 
 def lag_difference(rows: DataFrame, key: str, order: list[str], value: str, k: int = 1) -> DataFrame:
     """``rows`` with the difference to the value ``k`` rows before."""
@@ -144,3 +146,47 @@ def random_walks(transitions: DataFrame, starts: list[int], ends: list[int], wal
 def walk_summary(walks: DataFrame) -> DataFrame:
     """(id, visits, position): visits and mean relative hop."""
     return hop_position(walks, "walk", ["hop"]).groupBy("id").agg(F.count("*").alias("visits"), F.avg("hop").alias("position"))
+
+
+def diffusion_components(kernel: DataFrame, k: int = 10, rounds: int = 200, tolerance: float = 1e-9) -> tuple[list[float], DataFrame]:
+    """(eigenvalues, (id, vec)) of a symmetric kernel (src, dst, w): the ``k`` algebraically largest of eigenvalues in -1 to 1, largest first,
+    with unit eigenvectors whose sum is not negative. Subspace iteration: a round is a sum over edges, and k x k matrices on the driver; it ends when
+    no eigenvalue moves by ``tolerance``. ``k`` is at most the number of nodes."""
+    at = range(k)
+    uniform = lambda j: F.pmod(F.xxhash64("id", F.lit(j)), F.lit(1 << 20)) / float(1 << 20) - 0.4
+    basis = kernel.select(F.col("src").alias("id")).distinct().select("id", *[uniform(j).alias(f"v{j}") for j in at])
+    last = None
+    kernel = settled(kernel.select("src", "dst", "w"))
+    cross = lambda a, b: [F.sum(F.col(f"{a}{i}") * F.col(f"{b}{j}")) for i in at for j in at]
+    turned = lambda m, *parts: [sum((F.lit(float(m[i, j])) * sum((F.col(f"{p}{i}") for p in parts), F.lit(0.0)) for i in at), F.lit(0.0)).alias(f"v{j}") for j in at]
+    for turn in range(rounds + 1):
+        moved = kernel.join(basis.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(*[F.sum(F.col("w") * F.col(f"v{j}")).alias(f"t{j}") for j in at])
+        both = settled(basis.join(moved, "id"))
+        vv, vt, tt = np.array(both.agg(*cross("v", "v"), *cross("v", "t"), *cross("t", "t")).first(), float).reshape(3, k, k)
+        root = np.linalg.cholesky(vv)
+        ritz = np.linalg.solve(root, np.linalg.solve(root, (vt + vt.T) / 2).T)
+        values, vectors = np.linalg.eigh((ritz + ritz.T) / 2)
+        values, vectors = values[::-1], vectors[:, ::-1]
+        if turn == rounds or (last is not None and np.abs(values - last).max() < tolerance):
+            break
+        last = values
+        # The next basis: (V + T V) / 2 made orthonormal, whose largest eigenvalues are the algebraically largest of T.
+        basis = both.select("id", *turned(np.linalg.inv(np.linalg.cholesky(vv + vt + vt.T + tt)).T, "v", "t"))
+    out = both.select("id", *turned(np.linalg.solve(root.T, vectors), "v"))
+    signs = [1.0 if (s or 0) >= 0 else -1.0 for s in out.agg(*[F.sum(f"v{j}") for j in at]).first()]
+    return values.tolist(), out.select("id", F.array(*[F.col(f"v{j}") * s for j, s in zip(at, signs, strict=True)]).alias("vec"))
+
+
+def _uniform(id_: Column, draw: str, seed: int) -> Column:
+    """A number in [0, 1) that depends on the id, the draw's name and the seed alone."""
+    key = F.concat_ws(":", id_.cast("string"), F.lit(draw), F.lit(str(seed))).cast("binary")
+    return F.conv(F.left(F.md5(key), F.lit(8)), 16, 10).cast("double") / float(1 << 32)
+
+
+def thinned(visits: DataFrame, draws: int = 20, seed: int = 0) -> DataFrame:
+    """(id, n) of visits (id, p) that stay: n of ``draws`` draws come up with probability p, and a visit with any stays with probability
+    n / draws. Draws depend on id and seed alone."""
+    id_, p = F.col("id"), F.col("p")
+    n = F.aggregate(F.array(*[F.when(_uniform(id_, str(j), seed) < p, 1).otherwise(0) for j in range(draws)]), F.lit(0), lambda a, x: a + x)
+    counted = visits.select("id", n.alias("n")).where("n > 0")
+    return counted if draws == 1 else counted.where(_uniform(id_, "stay", seed) < F.col("n") / draws)

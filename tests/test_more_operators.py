@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from meristem.operators import graphs, learning, neighbors, network, preprocess, register, tables
+from meristem.operators import geometry, graphs, labels, learning, neighbors, network, preprocess, register, tables, trajectory
 
 
 def plain_tau(x, y):
@@ -108,3 +108,70 @@ def test_adaptive_ransac(spark):
     m, n, _ = register.adaptive_ransac(pairs, ("x", "y"), ("u", "v"), "rigid", least=50, sample=5)
     assert np.abs(m[:2, :2] - turn).max() < 5e-3 and np.abs(m[:2, 2] - [0.4, -0.2]).max() < 2e-2
     assert 150 <= n <= 320
+
+
+def test_smoothed(spark):
+    """Against the dense solution; id 6 has no edges, and an edge leads to an id without values."""
+    rng = np.random.default_rng(2)
+    q = rng.uniform(size=(7, 3))
+    e = [(0, 1), (1, 2), (2, 0), (3, 4), (4, 5), (5, 0), (0, 99), (2, 2)]
+    w = np.zeros((7, 7))
+    for a, b in e[:6]:
+        w[a, b] += 0.5
+        w[b, a] += 0.5
+    want = np.linalg.solve(np.eye(7) + 2.0 * (np.diag(w.sum(axis=1)) - w), q)
+    values = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "id bigint, p array<double>")
+    found = labels.smoothed(values, spark.createDataFrame([(a, b, 1.0) for a, b in e], "src bigint, dst bigint, w double"), 2.0).collect()
+    assert {r.id for r in found} == set(range(7)) and all(r.p == pytest.approx(want[r.id], abs=1e-8) for r in found)
+    assert labels.smoothed(values.where("false"), spark.createDataFrame([], "src bigint, dst bigint, w double")).collect() == []
+
+
+def test_linear_weights(spark):
+    """Three neighbours in three dimensions rebuild a point inside them; a point among copies of itself weighs them alike."""
+    at = {0: [0.2, 0.3, 0.0], 1: [0.0, 0.0, 0.0], 2: [1.0, 0.0, 0.0], 3: [0.0, 1.0, 0.0], 4: [5.0] * 3, 5: [5.0] * 3, 6: [5.0] * 3}
+    p = spark.createDataFrame(list(at.items()), "id bigint, vec array<double>")
+    e = spark.createDataFrame([(0, 1), (0, 2), (0, 3), (4, 5), (4, 6)], "src bigint, dst bigint")
+    found = {(r.src, r.dst): r.w for r in graphs.linear_weights(p, e).collect()}
+    assert found == {(0, 1): pytest.approx(0.5), (0, 2): pytest.approx(0.2), (0, 3): pytest.approx(0.3), (4, 5): pytest.approx(0.5), (4, 6): pytest.approx(0.5)}
+
+
+def test_diffusion_components(spark):
+    rng = np.random.default_rng(4)
+    x = np.sort(rng.uniform(0, 4, 25))
+    w = np.exp(-((x[:, None] - x[None]) ** 2))
+    w /= np.sqrt(np.outer(w.sum(axis=1), w.sum(axis=1)))
+    frame = spark.createDataFrame([(i, j, float(w[i, j])) for i in range(25) for j in range(25)], "src bigint, dst bigint, w double")
+    values, out = trajectory.diffusion_components(frame, 2, tolerance=1e-10)
+    want, vectors = np.linalg.eigh(w)
+    assert values == pytest.approx(want[::-1][:2], abs=1e-6)
+    found = np.array([r.vec for r in out.orderBy("id").collect()])
+    assert np.abs(np.abs((found * vectors[:, ::-1][:, :2]).sum(axis=0)) - 1).max() < 1e-4
+    assert (found.sum(axis=0) >= 0).all()
+
+
+def test_thinned(spark):
+    visits = spark.createDataFrame([(i, p) for i, p in enumerate([0.0] * 50 + [1.0] * 50 + [0.5] * 400)], "id bigint, p double")
+    found = {r.id: r.n for r in trajectory.thinned(visits, 20, 1).collect()}
+    assert not any(i in found for i in range(50)) and all(found[i] == 20 for i in range(50, 100))
+    rest = [n for i, n in found.items() if i >= 100]
+    # A kept visit's n is size-biased: its mean is E[n^2] / E[n] = 10.5, and half of the visits stay.
+    assert 150 < len(rest) < 250 and abs(np.mean(rest) - 10.5) < 0.6
+
+
+def test_doublet_pairs(spark):
+    cells = spark.range(7).withColumnRenamed("id", "id")
+    found = preprocess.doublet_pairs(cells, 2).collect()
+    assert sorted(r.id for r in found) == list(range(-14, 0))
+    for turn in (range(-7, 0), range(-14, -7)):
+        part = [r for r in found if r.id in turn]
+        assert {r.a for r in part} == {r.b for r in part} == set(range(7)) and all(r.a != r.b for r in part)
+    assert preprocess.doublet_pairs(cells.where("id > 9")).collect() == []
+
+
+def test_matrices():
+    m = np.array([[0.0, -1.0, 3.0], [1.0, 0.0, 4.0], [0.0, 0.0, 1.0]])
+    assert geometry.mirrored(m, 10, 0) @ [2, 5, 1] == pytest.approx(m @ [7, 5, 1])
+    x, y, _ = m @ [2, 5, 1]
+    assert geometry.swapped_axes(m) @ [5, 2, 1] == pytest.approx([y, x, 1])
+    assert geometry.rescaled_matrix(m, 2.0) @ [4, 10, 1] == pytest.approx([2 * x + 2, 2 * y + 2, 1])
+    assert geometry.rescaled_matrix(m, [2.0, 3.0], back=False) @ [2, 5, 1] == pytest.approx([2 * x + 2, 3 * y + 3, 1])
