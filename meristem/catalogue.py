@@ -1346,8 +1346,8 @@ def linear_weights(spark, d):
     return rounded(graphs.linear_weights(points(spark, d), edges(spark, d)), "w")
 
 
-@query(f"WITH i AS (SELECT p_brand AS gene, min(p_mfgr) AS mfgr, count(*) AS n_parts FROM part GROUP BY p_brand) SELECT m.*, i.mfgr, i.n_parts FROM ({_MARK}) m LEFT JOIN i USING (gene)")
+@query(f"WITH i AS (SELECT p_brand AS gene, min(p_type) AS kind, count(*) AS n_parts FROM part GROUP BY p_brand) SELECT m.*, i.kind, i.n_parts FROM ({_MARK}) m LEFT JOIN i USING (gene)")
 def marker_info(spark, d):
     """Markers with what is known of their genes."""
-    info = table(spark, d, "part").groupBy(F.col("p_brand").alias("gene")).agg(F.min("p_mfgr").alias("mfgr"), F.count("*").alias("n_parts"))
+    info = table(spark, d, "part").groupBy(F.col("p_brand").alias("gene")).agg(F.min("p_type").alias("kind"), F.count("*").alias("n_parts"))
     return markers_vs_rest(spark, d).join(info, "gene", "left")
