@@ -46,8 +46,9 @@ def pearson(a: Column, b: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """Scaled to length one; a zero vector stays."""
-    size = norm(a)
-    return F.transform(a, lambda x: x / F.when(size == 0, 1.0).otherwise(size))
+    # The length is a field of its own: within the inner function it would be computed again for each entry.
+    held = F.array(F.struct(a.alias("a"), norm(a).alias("n")))
+    return F.transform(held, lambda s: F.transform(s["a"], lambda x: x / F.when(s["n"] == 0, 1.0).otherwise(s["n"])))[0]
 
 
 def weighted_pearson(x: Column, y: Column, w: Column) -> Column:

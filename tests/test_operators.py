@@ -237,3 +237,38 @@ def test_communities_and_linkage(spark):
     d = np.array([[0, 1, 8], [1, 0, 9], [8, 9, 0]], float)
     m = graphs.linkage(d, "average")
     assert m[:, 2].tolist() == [1.0, 8.5] and graphs.cut(m, 3, clusters=2).tolist() == [0, 0, 1]
+
+
+def test_search_memory_and_ties():
+    """A block's distances are never held whole, and neither are candidates among copies; single precision loses no neighbour."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    def frame(v, i, g, p=""):
+        vec = pa.ListArray.from_arrays(np.arange(0, v.size + 1, v.shape[1], dtype=np.int32), v.ravel())
+        return pa.table({f"{p}id": pa.array(i, pa.int64()), f"{p}vec": vec, f"{p}grp": pa.array(g, pa.int64())})
+
+    rng = np.random.default_rng(3)
+    many = rng.normal(size=(200_000, 2))
+    copies = np.repeat(rng.normal(size=(3, 64)), 10_000, axis=0)
+    for x, q in ((many, many[:300]), (copies, copies[::100])):
+        left, right = frame(q, np.arange(len(q)) + 1_000_000, np.zeros(len(q))), frame(x, np.arange(len(x)), np.ones(len(x)), "ref_")
+        tracemalloc.start()
+        got = neighbors._search(5, False, "next", 1)(left, right)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert got.num_rows == 5 * len(q) and peak < 150 << 20
+        assert got.column("dist").to_numpy().reshape(-1, 5)[:, 0].max() == 0
+    x = rng.normal(size=(3000, 64))
+    got = neighbors._search(4, True, "global", 1)(frame(x, np.arange(3000), np.zeros(3000)), frame(x, np.arange(3000), np.zeros(3000), "ref_"))
+    d = np.sqrt(((x[:200, None] - x[None]) ** 2).sum(axis=2))
+    want = {i: np.argsort(np.where(np.arange(3000) == i, np.inf, d[i]), kind="stable")[:4].tolist() for i in range(200)}
+    src, dst = got.column("src").to_numpy(), got.column("dst").to_numpy()
+    assert all(dst[src == i].tolist() == want[i] for i in range(200))
+
+
+def test_each_pair_of_blocks_has_a_task_of_its_own(spark):
+    slots = neighbors._slots(37)
+    at = spark.createDataFrame([(s,) for s in slots], "s int").selectExpr("pmod(hash(s), 37) AS p")
+    assert [r.p for r in at.collect()] == list(range(37))
