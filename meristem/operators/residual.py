@@ -6,48 +6,55 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.special import digamma, trigamma
+from ..plans import settled
 from .preprocess import variance_with_zeros
 
 
-def local_quadratic(x: np.ndarray, y: np.ndarray, span: float = 0.3) -> np.ndarray:
-    """Local quadratic regression with tricube weights at every x."""
-    order = np.argsort(x, kind="stable")
-    xs, ys = x[order], y[order]
-    n, q = len(x), max(4, int(math.ceil(span * len(x))))
-    out = np.empty(n)
-    for k in range(n):
-        lo = max(0, min(k - q // 2, n - q))
-        while lo > 0 and xs[k] - xs[lo - 1] < xs[min(n - 1, lo + q - 1)] - xs[k]:
-            lo -= 1
-        while lo + q < n and xs[lo + q] - xs[k] < xs[k] - xs[lo]:
-            lo += 1
-        px, py = xs[lo : lo + q], ys[lo : lo + q]
-        d = np.abs(px - xs[k])
-        w = (1 - np.minimum(1, d / max(d.max(), 1e-12)) ** 3) ** 3 + 1e-9
-        a = np.column_stack([np.ones(len(px)), px - xs[k], (px - xs[k]) ** 2]) * np.sqrt(w)[:, None]
-        out[order[k]] = np.linalg.lstsq(a, py * np.sqrt(w), rcond=None)[0][0]
-    return out
+def local_quadratic(x: np.ndarray, y: np.ndarray, span: float = 0.3, count: np.ndarray | None = None) -> np.ndarray:
+    """Local quadratic regression with tricube weights at every x, over the share ``span`` of nearest rows.
+
+    Rows of equal x are one row of their mean y and number, ``count`` if x is given so: the work grows with the distinct x."""
+    u, back = np.unique(x, return_inverse=True)
+    each = np.ones(len(x)) if count is None else np.asarray(count, float)
+    number = np.bincount(back, each, len(u))
+    mean, upto = np.bincount(back, each * y, len(u)) / number, np.cumsum(number)
+    q = min(max(4, int(math.ceil(span * number.sum()))), number.sum())
+    out = np.empty(len(u))
+    for k in range(len(u)):
+        # The window's reach is the distance of the q-th nearest row; what lies at it has next to no weight.
+        d = np.abs(u - u[k])
+        order = np.argsort(d, kind="stable")
+        reach = d[order[np.searchsorted(np.cumsum(number[order]), q)]]
+        lo, hi = np.searchsorted(d[: k + 1][::-1], reach, "right"), np.searchsorted(d[k:], reach, "right")
+        px, py = u[k + 1 - lo : k + hi], mean[k + 1 - lo : k + hi]
+        w = ((1 - np.minimum(1, np.abs(px - u[k]) / max(reach, 1e-12)) ** 3) ** 3 + 1e-9) * number[k + 1 - lo : k + hi]
+        a = np.column_stack([np.ones(len(px)), px - u[k], (px - u[k]) ** 2]) * np.sqrt(w)[:, None]
+        out[k] = np.linalg.lstsq(a, py * np.sqrt(w), rcond=None)[0][0]
+    return out[back]
 
 
 def trend_variable_genes(expr: DataFrame, n_cells: int, n_top: int, span: float = 0.3) -> DataFrame:
     """(gene, mean, variance, variance_norm, rank): variance of counts standardised by a trend of log variance on log mean, clipped at
-    sqrt(N); the trend is fitted on per-gene moments, the clipped sums are one more pass over stored entries."""
+    sqrt(N). The trend is fitted on the distinct means, a row of each on the driver; the clipped sums are one more pass over stored entries."""
     spark = expr.sparkSession
-    m = variance_with_zeros(expr, n_cells).withColumn("variance", F.col("variance") * n_cells / (n_cells - 1)).where("variance > 0").orderBy("gene").toPandas()
-    fit = local_quadratic(np.log10(m["mean"].to_numpy()), np.log10(m["variance"].to_numpy()), span) if len(m) else np.zeros(0)
-    m["sd"] = np.sqrt(10**fit)
-    genes = spark.createDataFrame(m, "gene " + expr.schema["gene"].dataType.simpleString() + ", mean double, variance double, sd double")
+    m = settled(variance_with_zeros(expr, n_cells).withColumn("variance", F.col("variance") * n_cells / (n_cells - 1)).where("variance > 0"))
+    at = m.groupBy("mean").agg(F.count("*").alias("n"), F.avg(F.log10("variance")).alias("y")).orderBy("mean").toArrow()
+    x, n, y = (at.column(c).to_numpy() for c in ("mean", "n", "y"))
+    fit = local_quadratic(np.log10(x), y, span, n) if len(x) else np.zeros(0)
+    trend = spark.createDataFrame(pa.table({"mean": pa.array(x, pa.float64()), "sd": pa.array(np.sqrt(10**fit), pa.float64())}))
+    genes = m.select("gene", "mean", "variance").join(F.broadcast(trend) if len(x) < 100_000 else trend, "mean")
     top = float(n_cells) ** 0.5
     clipped = F.least(F.col("value"), F.col("sd") * top + F.col("mean"))
     s = expr.join(genes, "gene").groupBy("gene").agg(F.sum(clipped).alias("s"), F.sum(clipped * clipped).alias("q"), F.first("mean").alias("mean"), F.first("variance").alias("variance"), F.first("sd").alias("sd"))
     norm = (n_cells * F.col("mean") ** 2 + F.col("q") - 2 * F.col("s") * F.col("mean")) / ((n_cells - 1) * F.col("sd") ** 2)
-    scored = s.select("gene", "mean", "variance", norm.alias("variance_norm"))
-    return scored.withColumn("rank", F.row_number().over(W.orderBy(F.desc("variance_norm"), "gene")) - 1).where(F.col("rank") < n_top)
+    scored = s.select("gene", "mean", "variance", norm.alias("variance_norm")).orderBy(F.desc("variance_norm"), "gene").limit(n_top)
+    return scored.withColumn("rank", F.row_number().over(W.orderBy(F.desc("variance_norm"), "gene")) - 1)
 
 
 def theta_by_likelihood(y: np.ndarray, mu: np.ndarray, rounds: int = 10) -> float:

@@ -175,3 +175,26 @@ def test_matrices():
     assert geometry.swapped_axes(m) @ [5, 2, 1] == pytest.approx([y, x, 1])
     assert geometry.rescaled_matrix(m, 2.0) @ [4, 10, 1] == pytest.approx([2 * x + 2, 2 * y + 2, 1])
     assert geometry.rescaled_matrix(m, [2.0, 3.0], back=False) @ [2, 5, 1] == pytest.approx([2 * x + 2, 3 * y + 3, 1])
+
+
+def test_local_quadratic_works_on_distinct_x():
+    """Against one regression a row over its q nearest rows; and many rows of few values take no longer than the values."""
+    import math
+    import time
+
+    from meristem.operators import residual
+
+    rng = np.random.default_rng(2)
+    for x in (rng.integers(1, 40, 300) / 7.0, rng.normal(size=120)):
+        y, q = np.sin(x) + rng.normal(size=len(x)), math.ceil(0.3 * len(x))
+        got = residual.local_quadratic(x, y)
+        for k in range(0, len(x), 9):
+            d = np.abs(x - x[k])
+            near = np.argsort(d, kind="stable")[:q]
+            w = np.sqrt((1 - np.minimum(1, d[near] / d[near].max()) ** 3) ** 3 + 1e-9)
+            a = np.column_stack([np.ones(q), x[near] - x[k], (x[near] - x[k]) ** 2]) * w[:, None]
+            assert got[k] == pytest.approx(np.linalg.lstsq(a, y[near] * w, rcond=None)[0][0], abs=1e-6)
+    x = rng.integers(1, 1500, 1_000_000) / 60_000
+    began = time.perf_counter()
+    residual.local_quadratic(x, x * x)
+    assert time.perf_counter() - began < 20
