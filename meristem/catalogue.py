@@ -518,7 +518,7 @@ _SPOTS = "spot AS (SELECT id, x, y FROM emb WHERE id IN (SELECT cell FROM expr))
 def neighbor_mean(spark, d):
     b = brands(spark, d)
     spots = points(spark, d).join(b.select(F.col("cell").alias("id")).distinct(), "id", "left_semi").select("id", "x", "y")
-    return rounded(stats.neighbour_mean(neighbors.radius(spots, 0.2), b, spots), "mean")
+    return rounded(stats.radius_mean(plans.settled(spots), b, 0.2), "mean")
 
 
 _SVG = f"""

@@ -109,11 +109,10 @@ def inside_mesh(points: DataFrame, triangles: DataFrame, cell: float) -> DataFra
 
 
 def density(points: DataFrame, queries: DataFrame, reach: float, bandwidth: float) -> DataFrame:
-    """(id, density): Gaussian kernel density at each query, over points within ``reach`` (a grid join), scaled to [0, 1]."""
-    from .neighbors import radius
+    """(id, density): Gaussian kernel density at each query, over points within ``reach``, scaled to [0, 1]."""
+    from .neighbors import kernel_sums
 
-    near = radius(queries, reach, refs=points)
-    raw = near.groupBy("src").agg(F.sum(F.exp(-F.col("dist") ** 2 / (2 * bandwidth**2))).alias("d"))
+    raw = kernel_sums(queries, points, reach, bandwidth)
     every = queries.select(F.col("id")).join(raw.withColumnRenamed("src", "id"), "id", "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
     span = every.agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
     return every.crossJoin(F.broadcast(span)).select("id", F.coalesce(F.try_divide(F.col("d") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)).alias("density"))

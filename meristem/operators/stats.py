@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import special
 from ..plans import settled
-from .neighbors import by_range, radius, ranged
+from .neighbors import by_range, radius_sums, ranged
 from .preprocess import minmax, variance_with_zeros
 
 
@@ -114,14 +114,6 @@ def top_per_group(table: DataFrame, group: str, by: str, n: int, tie: str) -> Da
     return table.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
-def _around(edges: DataFrame, expr: DataFrame, column: str) -> DataFrame:
-    """Edges with each stored gene of their ``dst`` as (gene, v). Cells travel as arrays to their edges' ``src`` and open there, so that
-    sums by (src, gene) need no shuffle of their own."""
-    held = expr.groupBy(F.col("cell").alias("dst")).agg(F.collect_list(F.struct("gene", F.col(column).cast("double").alias("v"))).alias("__held"))
-    met = edges.join(held, "dst").repartition("src")
-    return met.select(*edges.columns, F.inline("__held"))
-
-
 def neighbour_mean(edges: DataFrame, expr: DataFrame, nodes: DataFrame, column: str = "value") -> DataFrame:
     """(id, gene, mean): mean over each node's neighbours (edges dst -> id ``src``), zeros counted; a node without
     neighbours has its own value. Absent rows are zero."""
@@ -133,6 +125,13 @@ def neighbour_mean(edges: DataFrame, expr: DataFrame, nodes: DataFrame, column:
     return means.unionAll(own)
 
 
+def radius_mean(points: DataFrame, expr: DataFrame, r: float, column: str = "value") -> DataFrame:
+    """(id, gene, mean): ``neighbour_mean`` over the points (id, x, y) within ``r`` of each, itself included, without a row a pair."""
+    sums = settled(radius_sums(points, expr, (r,), column))
+    degree = sums.where("whole").select("src", F.col("n0").alias("degree"))
+    return sums.where("NOT whole").join(degree, "src").select(F.col("src").alias("id"), "gene", (F.col("s0") / F.col("degree")).alias("mean"))
+
+
 def scale_unit(points: DataFrame, axes: tuple[str, ...] = ("x", "y"), quantile: bool = True) -> float:
     """Geometric mean of the axes' spans (2.5 to 97.5 %) over n ** (1 / d)."""
     span = lambda a: F.percentile(a, F.lit(0.975)) - F.percentile(a, F.lit(0.025)) if quantile else F.max(a) - F.min(a)
@@ -148,19 +147,17 @@ def spatial_genes(expr: DataFrame, points: DataFrame, min_cell: float = 5, min_g
     own share of the largest variance to ``power``. Each point is its own neighbour."""
     cells = expr.groupBy("cell").agg(F.sum("value").alias("s")).where(F.col("s") > min_cell).select("cell")
     genes = expr.groupBy("gene").agg(F.sum("value").alias("s")).where(F.col("s") > min_gene).select("gene")
-    points = points.join(cells.withColumnRenamed("cell", "id"), "id", "left_semi")
+    points = settled(points.join(cells.withColumnRenamed("cell", "id"), "id", "left_semi"))
     kept = expr.join(points.select(F.col("id").alias("cell")), "cell", "left_semi").join(genes, "gene", "left_semi")
     n = points.count()
     if radii is None:
         unit = scale_unit(points)
         radii = (d1 * unit, d2 * unit)
     scaled = minmax(kept, n)
-    # One radius join serves both radii, whose sums differ in which edges they take.
-    pairs = radius(points, max(radii))
-    inside = [F.col("dist") <= r for r in radii]
-    degree = pairs.groupBy("src").agg(*[F.count_if(c).alias(f"d{i}") for i, c in enumerate(inside)])
-    sums = _around(pairs, scaled, "scaled").groupBy("src", "gene").agg(*[F.sum(F.when(c, F.col("v"))).alias(f"s{i}") for i, c in enumerate(inside)])
-    means = sums.join(degree, "src").select("gene", *[F.coalesce(F.try_divide(f"s{i}", f"d{i}"), F.lit(0.0)).alias(f"m{i}") for i in (0, 1)])
+    # One pass over the pairs serves both radii, whose sums differ in which pairs they take.
+    found = settled(radius_sums(points, scaled, radii, "scaled"))
+    degree = found.where("whole").select("src", *[F.col(f"n{i}").alias(f"d{i}") for i in (0, 1)])
+    means = found.where("NOT whole").join(degree, "src").select("gene", *[F.coalesce(F.try_divide(f"s{i}", f"d{i}"), F.lit(0.0)).alias(f"m{i}") for i in (0, 1)])
     spread = [(F.sum(F.col(m) * F.col(m)) / n - F.pow(F.sum(m) / n, F.lit(2.0))).alias(v) for m, v in (("m0", "v0"), ("m1", "v1"))]
     found = means.groupBy("gene").agg(*spread)
     raw = variance_with_zeros(kept, n).select("gene", F.col("variance").alias("raw"))

@@ -272,3 +272,26 @@ def test_each_pair_of_blocks_has_a_task_of_its_own(spark):
     slots = neighbors._slots(37)
     at = spark.createDataFrame([(s,) for s in slots], "s int").selectExpr("pmod(hash(s), 37) AS p")
     assert [r.p for r in at.collect()] == list(range(37))
+
+
+def test_sums_within_radii_make_no_pairs(spark):
+    """Against plain sums, with null values, points without entries and several chunks; no join of pairs in the plan."""
+    from meristem.plans import plan_text
+
+    rng = np.random.default_rng(4)
+    xy = rng.random((600, 2))
+    rows = [(int(c), f"g{g}", None if rng.random() < 0.05 else float(rng.integers(1, 9))) for c in range(0, 600, 2) for g in range(3) if rng.random() < 0.4]
+    p = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "id bigint, x double, y double")
+    e = spark.createDataFrame(rows, "cell bigint, gene string, value double")
+    frame = neighbors.radius_sums(p, e, (0.1, 0.3), rows=250)
+    assert "c0" not in plan_text(frame) and "Join" in plan_text(frame)
+    got = {(r.src, r.gene, r.whole): (r.s0, r.n0, r.s1, r.n1) for r in frame.collect()}
+    d = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(axis=2))
+    want = {(i, None, True): tuple(x for r in (0.1, 0.3) for x in (float((d[i] <= r).sum()), int((d[i] <= r).sum()))) for i in range(600)}
+    for i in range(600):
+        for g in ("g0", "g1", "g2"):
+            near = [[v for c, gene, v in rows if gene == g and d[i, c] <= r] for r in (0.1, 0.3)]
+            if near[1]:
+                sums = [sum(v for v in n if v is not None) if any(v is not None for v in n) else None for n in near]
+                want[(i, g, False)] = (sums[0], len(near[0]), sums[1], len(near[1]))
+    assert got == want
