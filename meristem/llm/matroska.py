@@ -336,8 +336,8 @@ def packet_table(media: DataFrame, column: str, keys: list[str]) -> DataFrame:
     return media.select(*keys, column).mapInArrow(_packets(column, keys), schema)
 
 
-def describe(data: bytes, n_bytes: int) -> tuple[int, str, int, int, str, str]:
-    """Payload size and hash as read back, CRC of its last 16 unpadded bytes, media size and hash, features."""
+def describe(data: bytes, n_bytes: int) -> tuple[int, str, int, int, int, str, str]:
+    """Payload size and hash as read back, CRCs of its last 16 unpadded bytes and of its last 16, media size and hash, features."""
     media = parse(data)
     if media.error:
         raise ValueError(media.error)
@@ -352,14 +352,14 @@ def describe(data: bytes, n_bytes: int) -> tuple[int, str, int, int, str, str]:
         f"lacing={'/'.join(map(str, kinds.tolist()))};cues={sought};last_ms={media.packets[-1][1] // 1_000_000};"
         f"sum={int(samples.sum(dtype=np.int64))};high={high};turns={turns}"
     )
-    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[:n_bytes][-16:]), len(data), hashlib.sha256(data).hexdigest(), feature
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[:n_bytes][-16:]), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature
 
 
 def _describe(columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [describe(data, n) for data, n in zip(batch.column("__media").to_pylist(), batch.column("__n_bytes").to_pylist(), strict=True)]
-            names = (("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()))
+            names = (("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("payload_tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()))
             out = {c: batch.column(c) for c in columns} | {"n_bytes": batch.column("__n_bytes")}
             yield pa.RecordBatch.from_pydict(out | {n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(names)})
 
@@ -368,5 +368,5 @@ def _describe(columns: list[str]):
 
 def features(stored: DataFrame, keys: list[str]) -> DataFrame:
     """Digests and features of files made by ``store``, computed from the packets read back."""
-    schema = stored.select(*keys).withColumns({n: F.lit(None).cast(t) for n, t in (("n_bytes", "long"), ("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long"), ("media_bytes", "long"), ("media_sha256", "string"), ("feature", "string"))}).schema
+    schema = stored.select(*keys).withColumns({n: F.lit(None).cast(t) for n, t in (("n_bytes", "long"), ("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long"), ("payload_tail_crc32", "long"), ("media_bytes", "long"), ("media_sha256", "string"), ("feature", "string"))}).schema
     return stored.select(*keys, "__n_bytes", "__media").mapInArrow(_describe(keys), schema)

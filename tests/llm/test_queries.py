@@ -131,6 +131,13 @@ def test_op10(spark, small, texts):
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(raw[-16:]))
 
 
+def test_op10_tail_is_of_the_payload_read_back(spark, tmp_path):
+    rows = [(0, None), (1, ""), (2, "a" * 191), (3, "b" * 192), (4, "é" * 97), (5, "tail   ")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["tail_crc32"] for r in queries.op10_matroska(spark, str(tmp_path)).collect()}
+    assert got == {i: zlib.crc32(matroska.payload_of((t or "").encode())[-16:]) for i, t in rows}
+
+
 def test_matroska_faults_end_in_an_error():
     head = matroska._element(matroska.EBML, b"")
     nested = b""
