@@ -107,3 +107,44 @@ def test_normals_face_the_viewpoint(spark):
     p = spark.createDataFrame([(1, 1.0, 0.0, 0.0), (2, -1.0, 0.0, 0.0)], "id bigint, x double, y double, z double")
     n = spark.createDataFrame([(1, 1.0, 0.0, 0.0), (2, 1.0, 0.0, 0.0)], "id bigint, nx double, ny double, nz double")
     assert {r.id: r.nx for r in descriptors.facing(p, n).collect()} == {1: -1.0, 2: 1.0}
+
+
+def test_gauss_sums_equal_the_dense_ones():
+    from meristem.operators import gauss
+
+    rng = np.random.default_rng(8)
+    y, x, w = rng.normal(size=(400, 2)), rng.normal(size=(300, 2)) * 1.2, rng.random(400)
+    low, high = np.minimum(x.min(0), y.min(0)), np.maximum(x.max(0), y.max(0))
+    for s in (1.0, 0.2, 0.03, 1e-4):
+        constant = 0.7 * s * s
+        p = np.exp(-((x[:, None] - y[None]) ** 2).sum(2) / (2 * s * s)) * w
+        p /= p.sum(1, keepdims=True) + constant
+        reach = gauss.chosen(y, len(x), s * s, constant, low, high)[1]
+        for form in (gauss.Grid, gauss.Near)[s < 0.1 :]:
+            sums = form(y, s * s, low, high, reach)
+            sums.begin(w)
+            rows = np.concatenate([sums.add(x[:200], constant), sums.add(x[200:], constant)])
+            mass, target = sums.end()
+            assert np.allclose(rows, p.sum(1), atol=1e-11) and np.allclose(mass, p.sum(0), atol=1e-11) and np.allclose(target, p.T @ x, atol=1e-11)
+
+
+def test_gauss_work_does_not_grow_with_the_product():
+    from meristem.operators import gauss
+
+    y = np.random.default_rng(9).normal(size=(100_000, 2)) * 0.125
+    low, high = y.min(0), y.max(0)
+    assert gauss.chosen(y, len(y), 0.03**2, 1e-4, low, high)[0] is gauss.Grid
+    form, reach = gauss.chosen(y, len(y), 1e-8, 1e-9, low, high)
+    assert form is gauss.Near and gauss.Near(y, 1e-8, low, high, reach).pairs() < len(y) ** 2 / 20
+
+
+def test_expectation_in_space_and_with_no_fixed_points(spark):
+    rng = np.random.default_rng(10)
+    y, x = rng.random((30, 3)), rng.random((40, 3))
+    fixed = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "id bigint, x double, y double, z double")
+    got = register.expectation(fixed, y, y, 0.01, 0.2, ("x", "y", "z"))
+    d2 = ((x[:, None] - y[None]) ** 2).sum(2)
+    p = np.exp(-d2 / 0.02)
+    p /= p.sum(1, keepdims=True) + (2 * np.pi * 0.01) ** 1.5 * 0.25 * 30 / 40
+    assert np.allclose(got["mass"], p.sum(0)) and got["residual"] == pytest.approx((p * d2).sum()) and got["w"] == pytest.approx(p.sum())
+    assert register.expectation(fixed.where("false"), y, y, 0.01, 0.2, ("x", "y", "z"))["w"] == 0
