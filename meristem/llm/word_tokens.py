@@ -1,7 +1,8 @@
 """Token ids of whole texts with a word-level cache.
 
 The tokenizer lower-cases, drops white space and encodes each pre-token alone, so a text's ids are its pre-tokens' ids in
-order. A worker keeps a bounded cache from pre-token to ids and runs the vocabulary's merges only for unseen ones. Texts
+order. No pre-token holds white space, so a worker keeps a bounded cache from words between white space and from pre-tokens to ids, cuts only
+unseen words into pre-tokens and runs the vocabulary's merges only for unseen ones of these. Texts
 with code points outside printable ASCII and Latin letters, for which Unicode tables of libraries may differ, or capitals
 whose lower case lies outside them, and texts that spell an added token go through the tokenizer whole.
 """
@@ -20,6 +21,9 @@ _PLAIN = {"\t", "\n", "\r", *map(chr, range(0x20, 0x7F)), *map(chr, range(0xA1,
 #: A code point that is not plain itself or in lower case.
 _UNSURE = re.compile(f"[^{''.join(re.escape(c) for c in sorted(_PLAIN) if set(c.lower()) <= _PLAIN)}]")
 
+#: Code points of the longest word of several pre-tokens that is cached.
+LONG = 64
+
 
 def _listed(kind: str) -> str:
     """The code points below 0x250 of a Unicode category, for a character class."""
@@ -37,17 +41,25 @@ def _byte_letters() -> dict[int, int]:
 
 
 class _Cache(dict):
-    """Pre-token to little-endian 32-bit ids."""
+    """Word between white space, or pre-token, to little-endian 32-bit ids. A pre-token alone is cut into itself, so one table holds both."""
 
     def __init__(self, model, most: int):
         super().__init__()
         self.model, self.most, self.letters = model, most, _byte_letters()
 
     def __missing__(self, word: str) -> bytes:
+        parts = PRE_TOKEN.findall(word)
+        if len(parts) == 1 and parts[0] == word:
+            spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            ids = np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
+        else:
+            ids = b"".join(map(self.__getitem__, parts))
+            # Long ones seldom come again.
+            if len(word) > LONG:
+                return ids
         if len(self) >= self.most:
             self.clear()
-        spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-        ids = self[word] = np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
+        self[word] = ids
         return ids
 
 
@@ -71,4 +83,4 @@ class WordTokenizer:
         low = text.lower()
         if any(c in text for c in self.raw) or any(c in low for c in self.lowered) or _UNSURE.search(text):
             return self.whole(text)
-        return b"".join(map(self.ids, PRE_TOKEN.findall(low)))
+        return b"".join(map(self.ids, low.split()))

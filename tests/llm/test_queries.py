@@ -227,3 +227,14 @@ def test_twins(spark, small, name):
     want = con.execute(queries.oracle_sql()[name])
     columns = [c[0] for c in want.description]
     assert sorted(tuple(r[c] for c in columns) for r in result(spark, small, name)) == sorted(want.fetchall())
+
+
+def test_words_are_cut_into_pre_tokens_once():
+    import public_tokenizers
+
+    t = word_tokens.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"), cache_words=50)
+    text = "It's  x's, ''s ..'s\tdon't 12a3 \n(the) the the, " + "a,b" * 40
+    assert t.encode(text) == t.whole(text)
+    # The words between white space are cached as they are, so a second text needs no cutting; the bound holds for all entries.
+    assert {"x's,", "(the)", "the,"} <= set(t.ids.__self__) and "a,b" * 40 not in t.ids.__self__
+    assert t.encode(" ".join(f"w{i}," for i in range(500))) == t.whole(" ".join(f"w{i}," for i in range(500))) and len(t.ids.__self__) <= 50
