@@ -1196,7 +1196,7 @@ def graph_laplacian(spark, d):
 def labels_split(spark, d):
     """Labels whose members lie apart, in parts; -1 is none."""
     p = points(spark, d)
-    return graphs.split_labels(p, neighbors.radius(p, _RADIUS), 3).withColumn("part", F.coalesce("part", F.lit(-1)))
+    return graphs.split_points(p, _RADIUS, 3).withColumn("part", F.coalesce("part", F.lit(-1)))
 
 
 @query(f"WITH {_EMB} SELECT id AS source, t.target, greatest(t.value, 0) AS value FROM emb, (SELECT unnest([{{'target': 'x', 'value': x}}, {{'target': 'y', 'value': y}}, {{'target': 'z', 'value': z}}]) AS t)")

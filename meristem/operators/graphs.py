@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans import settled
+from .neighbors import _plane, _square, _squares_within
 
 
 def asymmetry(edges: DataFrame) -> DataFrame:
@@ -303,6 +304,124 @@ def split_labels(points: DataFrame, edges: DataFrame, min_points: int) -> DataFr
     return points.select("id", "label").join(density_clusters(same, points, min_points).withColumnRenamed("cluster", "part"), "id")
 
 
+#: Cells of a block along an axis, and how far two points within a radius can lie apart in cells.
+_BLOCK, _FAR = 8, 2
+#: The neighbours of a cell, each pair of cells once, the nearest first.
+_AHEAD = sorted(((i, j) for i in range(_FAR + 1) for j in range(-_FAR, _FAR + 1) if (i, j) > (0, 0)), key=lambda m: m[0] ** 2 + m[1] ** 2)
+
+
+class _Cells:
+    """A block's points by cell."""
+
+    def __init__(self, table: pa.Table):
+        self.xy = _plane(table)
+        at = np.column_stack([table.column(c).to_numpy() for c in ("cx", "cy")])
+        cells, self.cell, count = np.unique(at, axis=0, return_inverse=True, return_counts=True)
+        self.members = np.split(np.argsort(self.cell.ravel(), kind="stable"), np.cumsum(count)[:-1])
+        self.keys = list(map(tuple, cells.tolist()))
+        self.of = {k: i for i, k in enumerate(self.keys)}
+        self.home = np.asarray(table.column("home").combine_chunks().to_numpy(zero_copy_only=False), bool)
+
+    def around(self, key: tuple[int, int]) -> list[int]:
+        reach = range(-_FAR, _FAR + 1)
+        return [k for i in reach for j in reach if (k := self.of.get((key[0] + i, key[1] + j))) is not None]
+
+
+def _touch(a: np.ndarray, b: np.ndarray, r: float, top: float) -> bool:
+    """Whether any two points lie within ``r``."""
+    slack = r * (1 + 1e-9)
+    a = a[((a >= b.min(axis=0) - slack) & (a <= b.max(axis=0) + slack)).all(axis=1)]
+    if len(a):
+        b = b[((b >= a.min(axis=0) - slack) & (b <= a.max(axis=0) + slack)).all(axis=1)]
+    return any((_square(a[i : i + 256], b[j : j + 1024]) <= top).any() for i in range(0, len(a), 256) for j in range(0, len(b), 1024))
+
+
+def split_points(points: DataFrame, r: float, min_points: int) -> DataFrame:
+    """(id, label, part) of points (id, label, x, y) in the plane: ``split_labels`` over all pairs within ``r``, which are never rows. Ids are
+    distinct numbers; a point without a label or finite coordinates has no part.
+
+    Cells are so small that two points of one are within ``r``: a cell of ``min_points`` is all core and one cluster. Blocks of cells, with
+    the cells around them, are tasks of their own, which find cores, link cells and give border points their neighbouring cells; components
+    are those of cells.
+    """
+    top, side = _squares_within(float(r)), float(r) / 2**0.5 * (1 - 1e-6)
+    kinds = {c: points.schema[c].dataType.simpleString() for c in ("id", "label")}
+    finite = [F.col(a).isNotNull() & ~F.isnan(a) & (F.abs(a) < float("inf")) for a in "xy"]
+    placed = points.select("id", "label", *[F.col(a).cast("double").alias(a) for a in "xy"]).where(F.col("label").isNotNull() & finite[0] & finite[1])
+    placed = placed.withColumns({f"c{a}": F.floor(F.col(a) / side) for a in "xy"})
+
+    def blocks(frame: DataFrame):
+        block = lambda a, by: F.floor((F.col(f"c{a}") + by) / _BLOCK)
+        for a in "xy":
+            frame = frame.withColumn(f"b{a}", F.explode(F.array_distinct(F.array(block(a, -_FAR), block(a, _FAR)))))
+        return frame.withColumn("home", (F.col("bx") == block("x", 0)) & (F.col("by") == block("y", 0))).groupBy("label", "bx", "by")
+
+    def cores(table: pa.Table) -> pa.Table:
+        cells = _Cells(table)
+        core = np.zeros(table.num_rows, bool)
+        for key, own in zip(cells.keys, cells.members, strict=True):
+            if not cells.home[own[0]] or len(own) >= min_points:
+                core[own] = len(own) >= min_points
+                continue
+            met = np.concatenate([cells.members[k] for k in cells.around(key)])
+            found = sum((_square(cells.xy[own], cells.xy[met[i : i + 4096]]) <= top).sum(axis=1) for i in range(0, len(met), 4096))
+            core[own] = found >= min_points
+        kept = pa.array(cells.home)
+        return table.select(["id", "label", "x", "y", "cx", "cy"]).append_column("core", pa.array(core)).filter(kept)
+
+    def links(table: pa.Table) -> pa.Table:
+        cells = _Cells(table)
+        ids = table.column("id").to_numpy()
+        core = np.asarray(table.column("core").combine_chunks().to_numpy(zero_copy_only=False), bool)
+        held = [m[core[m]] for m in cells.members]
+        name = [ids[m].min() if len(m) else None for m in held]
+        home = [bool(cells.home[m[0]]) for m in cells.members]
+        root = list(range(len(held)))
+
+        def top_of(k: int) -> int:
+            while root[k] != k:
+                root[k] = k = root[root[k]]
+            return k
+
+        src, rep, link = [], [], []
+        for i, j in _AHEAD:
+            for key, k in cells.of.items():
+                other = cells.of.get((key[0] + i, key[1] + j))
+                if other is None or not (home[k] or home[other]) or not len(held[k]) or not len(held[other]):
+                    continue
+                a, b = top_of(k), top_of(other)
+                # Cells that are linked already, by way of others, need no link of their own.
+                if a != b and _touch(cells.xy[held[k]], cells.xy[held[other]], r, top):
+                    root[a] = b
+                    src.append(name[k])
+                    rep.append(name[other])
+                    link.append(True)
+        for k, own in enumerate(cells.members):
+            if not home[k]:
+                continue
+            src += ids[held[k]].tolist()
+            rep += [name[k]] * len(held[k])
+            link += [False] * len(held[k])
+            border = own[~core[own]]
+            if len(border):
+                for near in cells.around(cells.keys[k]):
+                    met = held[near]
+                    if len(met):
+                        close = np.any([(_square(cells.xy[border], cells.xy[met[i : i + 4096]]) <= top).any(axis=1) for i in range(0, len(met), 4096)], axis=0)
+                        src += ids[border[close]].tolist()
+                        rep += [name[near]] * int(close.sum())
+                        link += [False] * int(close.sum())
+        kind = table.schema.field("id").type
+        return pa.table({"id": pa.array(src, kind), "rep": pa.array(rep, kind), "link": pa.array(link, pa.bool_())})
+
+    marked = blocks(placed).applyInArrow(cores, f"id {kinds['id']}, label {kinds['label']}, x double, y double, cx bigint, cy bigint, core boolean")
+    found = settled(blocks(marked).applyInArrow(links, f"id {kinds['id']}, rep {kinds['id']}, link boolean"))
+    joined = smallest_reachable(found.where("link").select(F.col("id").alias("src"), F.col("rep").alias("dst"))).withColumnRenamed("id", "rep")
+    parts = found.where("NOT link").join(joined, "rep", "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("part"))
+    out = points.select("id", "label").join(parts, "id", "left")
+    return out if min_points > 1 else out.withColumn("part", F.coalesce("part", "id"))
+
+
 def linear_weights(points: DataFrame, edges: DataFrame, ridge: float | None = None) -> DataFrame:
     """(src, dst, w): weights, of sum one, that best rebuild each point (id, vec) from its neighbours (src, dst). ``ridge`` times the trace
     steadies the local Gram matrix: by default 1e-6 where a point has more neighbours than dimensions, else nothing."""

@@ -59,6 +59,28 @@ def test_split_labels(spark):
     assert found == {0: 1, 1: 1, 2: 1, 3: 1, 4: 5, 5: 5, 6: 5, 7: None, 10: 11, 11: 11, 12: 11, 13: 11, 14: 11, 15: 11}
 
 
+def test_split_points_equals_split_labels(spark):
+    rng = np.random.default_rng(11)
+    xy = np.vstack([rng.random((250, 2)) * 14, rng.random((60, 2)) * 2 - 6, [[3.0, 4.0]] * 9, [[k * 1.0, -20.0] for k in range(12)]])
+    rows = [(i * 7 % 1009, "ab"[i % 5 == 0], float(x), float(y)) for i, (x, y) in enumerate(xy)] + [(2000, "a", None, 1.0), (2001, None, 1.0, 1.0), (2002, "a", float("nan"), 1.0)]
+    p = spark.createDataFrame(rows, "id bigint, label string, x double, y double")
+    for least in (2, 3, 5):
+        want = {r.id: r.part for r in graphs.split_labels(p, neighbors.radius(p.where("x IS NOT NULL AND NOT isnan(x) AND label IS NOT NULL"), 1.0), least).collect()}
+        assert {r.id: r.part for r in graphs.split_points(p, 1.0, least).collect()} == want
+
+
+def test_labels_split_makes_no_row_a_pair(spark, tmp_path, monkeypatch):
+    """500 points within one radius have 249,500 pairs."""
+    from meristem import catalogue
+
+    def pairs(*_, **__):
+        raise AssertionError("pairs as rows")
+
+    monkeypatch.setattr(neighbors, "radius", pairs)
+    spark.createDataFrame([(i, [i / 1e5, 0.0, 0.0], 0) for i in range(500)], "vec_id bigint, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert [(r.part, r["count"]) for r in catalogue.QUERIES["labels_split"](spark, str(tmp_path)).groupBy("part").count().collect()] == [(0, 500)]
+
+
 def test_density_clusters_of_single_points(spark):
     nodes, none = spark.createDataFrame([(1,), (2,)], "id bigint"), spark.createDataFrame([], "src bigint, dst bigint")
     assert sorted(tuple(r) for r in graphs.density_clusters(none, nodes, 1).collect()) == [(1, 1), (2, 2)]
