@@ -35,6 +35,38 @@ def test_knn_ties_go_to_the_smaller_id(spark):
             assert [got[(int(ids[q]), k + 1)] for k in range(5)] == ids[np.lexsort((ids, d[q]))[:5]].tolist()
 
 
+@pytest.mark.parametrize("dims", [1, 2, 3, 4])
+@pytest.mark.parametrize("k", [1, 7, 300])
+def test_best_in_few_dimensions_leaves_nothing_out(dims, k):
+    rng = np.random.default_rng(dims)
+    ref = np.vstack([rng.normal(size=(900, dims)), rng.normal(size=(300, dims)).round(0), 1e9 + rng.normal(size=(200, dims)), np.full((3, dims), np.nan), np.full((2, dims), np.inf), np.full((2, dims), 1e200)])
+    q = np.vstack([ref[::7], rng.normal(size=(50, dims)) * 50, np.full((2, dims), np.nan)])
+    ids, kind = rng.permutation(len(ref)), rng.integers(0, 3, len(ref))
+    for barred in (None, lambda r, c: (kind[r] == kind[c]) | (c < 40)):
+        got = {}
+        for r, c, dist in neighbors._best(q, ref, ids, k, barred):
+            for row, *pair in zip(r.tolist(), c.tolist(), dist.tolist()):
+                got.setdefault(row, []).append(tuple(pair))
+        with np.errstate(over="ignore", invalid="ignore"):
+            for i, own in enumerate(q):
+                d = np.sqrt(((ref - own) ** 2).sum(axis=1))
+                ok = np.flatnonzero(np.isfinite(d) & (True if barred is None else ~barred(np.full(len(ref), i), np.arange(len(ref)))))
+                assert got.get(i, []) == [(int(c), float(d[c])) for c in ok[np.lexsort((ids[ok], d[ok]))][:k]]
+
+
+def test_best_in_few_dimensions_meets_few_leaves(monkeypatch):
+    """Pairs that are computed, counted by the barred ones asked for: with every pair of a leaf met, all 4e8 would be."""
+    xy = np.random.default_rng(2).normal(size=(20_000, 2))
+    asked = []
+
+    def barred(r: np.ndarray, c: np.ndarray) -> np.ndarray:
+        asked.append(len(r))
+        return r == c
+
+    found = sum(len(r) for r, _, _ in neighbors._best(xy, xy, np.arange(len(xy)), 4, barred))
+    assert found == 80_000 and sum(asked) < 20_000 * 400
+
+
 def test_shortest_is_a_global_rank(spark):
     rows = [(k % 7, k, float(k % 5)) for k in range(200)]
     e = spark.createDataFrame(rows, "src bigint, dst bigint, dist double")
