@@ -31,17 +31,22 @@ def anchors(points: DataFrame, k: int = 20) -> DataFrame:
 def mnn_correct(points: DataFrame, reference: int, k: int = 20, sigma: float = 1.0, smooth: int = 20) -> DataFrame:
     """``points`` with batches moved onto batch ``reference``: a point's shift is the mean of the anchor shifts of its ``smooth`` nearest
     anchored points of its own batch, weighted by exp(-distance**2 / (2 sigma**2)). Batches without an anchor stay as they are."""
-    pairs = anchors(points, k).where(F.col("target") == reference).select("src", "dst")
+    movable, fixed = points.where(F.col("grp") != reference), points.where(F.col("grp") == reference)
+    # Of the anchors between all batches only those with ``reference`` count.
+    pairs = knn(movable, fixed, k, exclude_self=True, scope="each").select("src", "dst")
+    back = knn(fixed, movable, k, exclude_self=True, scope="each").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    pairs = pairs.join(back, ["src", "dst"], "left_semi")
     vec = points.select("id", "vec")
     ends = pairs.join(vec.withColumnsRenamed({"id": "src", "vec": "a"}), "src").join(vec.withColumnsRenamed({"id": "dst", "vec": "b"}), "dst")
-    shift = ends.select("src", F.posexplode(F.zip_with("b", "a", lambda b, a: b - a)).alias("axis", "d")).groupBy("src", "axis").agg(F.avg("d").alias("d"))
-    shift = settled(shift.groupBy("src").agg(F.transform(F.array_sort(F.collect_list(F.struct("axis", "d"))), lambda x: x["d"]).alias("shift")))
-    movable = points.where(F.col("grp") != reference)
+    # One sum an axis: a row per point and axis would be shuffled many times over.
+    axes = range(points.agg(F.max(F.size("vec"))).first()[0] or 0)
+    shift = ends.groupBy("src").agg(F.array(*[F.avg(F.get("b", F.lit(i)) - F.get("a", F.lit(i))) for i in axes]).cast("array<double>").alias("shift"))
+    shift = settled(shift)
     anchored = movable.join(shift.select(F.col("src").alias("id")), "id", "left_semi")
     near = knn(movable, anchored, smooth, exclude_self=False, scope="within")
     weighted = near.join(shift.withColumnRenamed("src", "dst"), "dst").withColumn("w", F.exp(-F.col("dist") ** 2 / (2 * sigma * sigma)))
-    each = weighted.select("src", "w", F.posexplode("shift").alias("axis", "d")).groupBy("src", "axis").agg(F.try_divide(F.sum(F.col("w") * F.col("d")), F.sum("w")).alias("d"))
-    moved = each.groupBy(F.col("src").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("axis", "d"))), lambda x: F.coalesce(x["d"], F.lit(0.0))).alias("move"))
+    each = [F.coalesce(F.try_divide(F.sum(F.col("w") * F.get("shift", F.lit(i))), F.sum("w")), F.lit(0.0)) for i in axes]
+    moved = weighted.groupBy(F.col("src").alias("id")).agg(F.array(*each).cast("array<double>").alias("move"))
     out = points.join(moved, "id", "left")
     return out.select("id", "grp", F.when(F.col("move").isNull(), F.col("vec")).otherwise(F.zip_with("vec", "move", lambda v, m: v + m)).alias("vec"))
 

@@ -68,3 +68,24 @@ def test_components_of_a_path_longer_than_any_cap(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(70)], "src bigint, dst bigint")
     assert {r.component for r in graphs.smallest_reachable(e).collect()} == {0}
     assert graphs.centrality(e.withColumn("w", F.lit(2.0))).where("id = 5").first()[1:] == (2, 4.0)
+
+
+def test_mnn_makes_no_row_for_each_axis_and_keeps_to_the_reference(spark):
+    from meristem import plans
+
+    rng = np.random.default_rng(6)
+    z = rng.normal(size=(90, 6))
+    p = spark.createDataFrame([(i, i % 3, v.tolist()) for i, v in enumerate(z)], "id bigint, grp bigint, vec array<double>")
+    out = integrate.mnn_correct(p, 0, 4, 1.0, 5)
+    assert "posexplode" not in plans.plan_text(out)
+    got = {r.id: np.array(r.vec) for r in out.collect()}
+    d, grp = np.sqrt(((z[:, None] - z[None]) ** 2).sum(-1)), np.arange(90) % 3
+    of = lambda i, g: [j for j in np.argsort(d[i]) if grp[j] == g][:4]
+    shift = {}
+    for i in range(90):
+        if ends := [j for j in of(i, 0) if grp[i] and i in of(j, grp[i])]:
+            shift[i] = (z[ends] - z[i]).mean(axis=0)
+    for i in range(90):
+        near = sorted((j for j in shift if grp[j] == grp[i]), key=lambda j: d[i, j])[:5] if grp[i] else []
+        w = np.exp(-(d[i, near] ** 2) / 2)
+        assert np.allclose(got[i], z[i] + (sum(a * shift[j] for a, j in zip(w, near, strict=True)) / w.sum() if near else 0))
